@@ -1,8 +1,10 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
+from entigraph.llm.bpe import op10_bpe
 from entigraph.llm.simhash import op4_simhash
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
