@@ -2,9 +2,11 @@
 
 from entigraph.llm.bpe import op10_bpe
 from entigraph.llm.simhash import op4_simhash
+from entigraph.llm.tokenfile import op6_token_file
 
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op6_token_file": op6_token_file,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
