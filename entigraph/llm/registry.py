@@ -1,12 +1,14 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
 from entigraph.llm.bpe import op10_bpe
+from entigraph.llm.repetition import op7_repetition
 from entigraph.llm.simhash import op4_simhash
 from entigraph.llm.tokenfile import op6_token_file
 
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_token_file": op6_token_file,
+    "op7_repetition": op7_repetition,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}

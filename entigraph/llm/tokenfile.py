@@ -110,7 +110,7 @@ def write_tokens(docs: DataFrame, path: str, file: str | None = None, end_id: in
         part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
     else:
         part = F.lit(0)
-    dealt = docs.withColumn("part", part.cast("int")).repartition(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = docs.withColumn("part", part.cast("int")).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(file)
