@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entigraph.llm.common import map_rows, table
+from entigraph.llm.common import Recent, map_rows, table
 
 #: The byte-level pre-tokenizer's pattern (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of a task's table of pieces, and of its table of token pairs, before it is emptied.
-CACHE = 300_000
+#: Entries of a task's tables of words, pieces and token pairs.
+CACHE = 150_000
 #: Texts in which blanks only part words can be cut there.
 _ODD_BLANKS = re.compile(r"[^\S\n ]|  | \n|\n |^ | $")
 
@@ -74,8 +74,7 @@ class Encoder:
                 self.ends.add_word(b.decode("latin-1"), (i, len(b)))
         self.ends.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Recent(CACHE), Recent(CACHE)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of a, then b, are encoded as just these two tokens.
@@ -107,7 +106,7 @@ class Encoder:
             if n < end:
                 pair = (last[end - n], token)
                 if (ok := pairs.get(pair)) is None:
-                    if len(pairs) >= CACHE:
+                    if len(pairs) >= 2 * CACHE:
                         pairs.clear()
                     ok = pairs[pair] = compatible(*pair)
                 if not ok:
@@ -122,12 +121,12 @@ class Encoder:
     def _pieces(self, text: str) -> bytes:
         known, out = self.pieces, []
         for p in self.findall(text):
-            if (b := known.get(p)) is None:
+            try:
+                b = known[p]
+            except KeyError:
                 b = array("I", self.piece(p)).tobytes()
-                if len(known) >= CACHE:
-                    known.clear()
                 if len(p) <= 64:
-                    known[p] = b
+                    known.put(p, b)
             out.append(b)
         return b"".join(out)
 
@@ -137,12 +136,12 @@ class Encoder:
         first, *rest = text.split(" ")
         words, out = self.words, [self._pieces(first)]
         for w in rest:
-            if (b := words.get(w)) is None:
+            try:
+                b = words[w]
+            except KeyError:
                 b = self._pieces(" " + w)
-                if len(words) >= CACHE:
-                    words.clear()
                 if len(w) <= 64:
-                    words[w] = b
+                    words.put(w, b)
             out.append(b)
         return b"".join(out)
 

@@ -58,3 +58,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
 def row_key(text: Column) -> Column:
     """Tells rows with the same doc_id apart: with doc_id, the key by which row-wise results are joined back."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+class Recent(dict):
+    """A table of at most 2 * limit entries that keeps what was used lately: a full young table becomes the old one, and hits in that move back."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, key):
+        value = self.old[key]  # KeyError: not known
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

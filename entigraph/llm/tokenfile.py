@@ -16,10 +16,12 @@ the order of their texts; extra columns are not read; an empty table makes a fil
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entigraph.llm.common import new_path, table
+from entigraph.llm.common import Recent, new_path, table
 
 END_ID = 1
 #: The dictionary is fitted on the ids of at most so many documents, and at most so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4000, 65536
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-CACHE = 250_000
+CACHE = 150_000
 _BLANKS = re.compile(r"[ \t\n\r\x0b\f]+")
 BLOCKS = "part int, block int, dict_hash string, doc_ids array<long>, n_tokens array<int>, offsets array<long>, frames binary"
 
@@ -45,33 +47,75 @@ def default_file() -> str:
 
 
 class WordEncoder:
-    """The tokenizers library's ids of whole texts, kept for words seen before.
+    """The tokenizers library's ids of whole texts, kept for words seen lately.
 
-    Its word tokenizers drop blanks and never join across them, so a text's ids are its words' ids in a row; each distinct word goes to the library once
-    per task, as long as it is in the table, which has a bounded size.
+    Word tokenizers of this kind drop blanks and never join across them, so a text's ids are its words' ids in a row. New words are cut by the file's
+    own pattern; new pieces go to the library many at once, with blanks between, and come back cut where a token ends a piece. Words that its normalizer
+    may change beyond lower case, or that may hold an added token, go to the library whole.
     """
 
     def __init__(self, file: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
-        self.lib, self.words = Tokenizer.from_file(file), {}
+        spec = json.load(open(file, encoding="utf-8"))
+        self.lib, self.words, self.pieces = Tokenizer.from_file(file), Recent(CACHE), Recent(CACHE)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+        tail = spec["model"].get("end_of_word_suffix")
+        (split,) = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.findall = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")).findall
+        self.last = np.zeros(self.lib.get_vocab_size() + 1, bool)
+        self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(tail)]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_pieces(self, new: list[str]) -> None:
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.type)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                got = self._ids(part)
+            else:
+                raw, width = ids.tobytes(), self.type.itemsize
+                got = [raw[a * width : b * width] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            for p, b in zip(part, got, strict=True):
+                self.pieces.put(p, b)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text, without an end id."""
-        known, split = self.words, [[w for w in _BLANKS.split(t) if w] if t else [] for t in texts]
-        if new := list({w for words in split for w in words if w not in known}):
-            if len(known) + len(new) > CACHE:
-                known = {}
-                new = list({w for words in split for w in words})
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, self.type).tobytes()
-            self.words = known if len(known) <= CACHE else {}
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        split = [[w for w in _BLANKS.split(t) if w] if t else [] for t in texts]
+        ids: dict[str, bytes] = {}
+        cut: dict[str, list[str]] = {}
+        whole: list[str] = []
+        for w in {w for words in split for w in words}:
+            try:
+                ids[w] = self.words[w]
+            except KeyError:
+                if "<|" in w or not w.isascii() and ("\u03a3" in w or not is_normalized("NFC", w.lower()) or not is_normalized("NFC", w)):
+                    whole.append(w)
+                else:
+                    cut[w] = self.findall(w.lower())
+        found: dict[str, bytes] = {}
+        new = []
+        for p in {p for pieces in cut.values() for p in pieces}:
+            try:
+                found[p] = self.pieces[p]
+            except KeyError:
+                new.append(p)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self._new_pieces(part)
+            found.update((p, self.pieces[p]) for p in part)
+        ids.update(zip(whole, self._ids(whole) if whole else [], strict=True))
+        ids.update((w, b"".join([found[p] for p in pieces])) for w, pieces in cut.items())
+        for w in [*cut, *whole]:
+            if len(w) <= 64:
+                self.words.put(w, ids[w])
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=2)

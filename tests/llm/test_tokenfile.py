@@ -2,11 +2,13 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from entigraph.llm import tokenfile as tf
 
-LIB = Tokenizer.from_file(tf.default_file())
+LIB, OWN = Tokenizer.from_file(tf.default_file()), tf.WordEncoder(tf.default_file())
 SCHEMA = "doc_id long, text string, ids string, part string"
 
 
@@ -56,3 +58,9 @@ def test_wrong_dictionary_is_refused(spark, tmp_path):
     tf.write_tokens(spark.createDataFrame([(1, "a b", "", "")], SCHEMA), path)
     with pytest.raises(ValueError, match="hash"):
         tf._opener("0" * 64, tf.read_dictionary(spark, path)[2])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tABetsin'.,0123<|>éßΣİ́"), st.characters(exclude_categories=["Cs", "Cn", "Co"])), max_size=60))
+def test_word_encoder_on_random_texts(text):
+    assert np.frombuffer(OWN.encode([text])[0], "<u2").tolist() == LIB.encode(text, add_special_tokens=False).ids
