@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entigraph.llm.common import map_rows, stored, table
@@ -58,10 +58,8 @@ def links(fps: DataFrame) -> DataFrame:
     spread = fps.select("fp", F.expr("explode(sequence(0, 63))").alias("slot")).select(
         "fp", "slot", F.expr("(cast(slot as bigint) << 32) | (case when slot < 32 then fp else fp >>> 32 end & 4294967295L & ~shiftleft(1L, slot % 32))").alias("key")
     )
-    buckets = stored(spread.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
-    near = "bit_count(u ^ v) <= 2"
-    two = buckets.where(f"n = 2 and {near}").select("u", "v")
-    more = spread.join(buckets.where("n > 2").select("key", "n"), "key")
+    # one shuffle of all signatures; the count runs over a sorted, spillable partition and keeps the few that are shared
+    more = stored(spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "simhash-shared")
     pairs = (
         more.where(f"n <= {SMALL_BUCKET}").groupBy("key", "slot").agg(F.collect_list("fp").alias("f"))
         # a pair with the segment equal is in 32 buckets: only the first emits it
@@ -78,7 +76,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     again = stored(again.groupBy("w", "rest").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.collect_set("fp").alias("f")).where("u <> v"), "simhash-again")
     star = again.select("u", F.explode("f").alias("v")).where("u <> v")
-    return two.union(pairs).union(star).distinct()
+    return pairs.union(star).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
