@@ -1,16 +1,22 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
 from entigraph.llm.bpe import op10_bpe
+from entigraph.llm.chat import OP2_SQL, op2_chat
 from entigraph.llm.langid import op5_language_id
+from entigraph.llm.quality import op3_quality
 from entigraph.llm.repetition import op7_repetition
 from entigraph.llm.simhash import op4_simhash
 from entigraph.llm.tokenfile import op6_token_file
 
 QUERIES = {
+    "op2_chat": op2_chat,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
     "op6_token_file": op6_token_file,
     "op7_repetition": op7_repetition,
     "op10_bpe": op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": OP2_SQL,
+}
