@@ -6,10 +6,12 @@ from entigraph.llm.contamination import OP8_SQL, op8_decontamination
 from entigraph.llm.langid import op5_language_id
 from entigraph.llm.quality import op3_quality
 from entigraph.llm.repetition import op7_repetition
+from entigraph.llm.secrets import op1_secrets
 from entigraph.llm.simhash import op4_simhash
 from entigraph.llm.tokenfile import op6_token_file
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
