@@ -30,8 +30,8 @@ def words(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), row_key(text).alias("th"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    """All columns of docs, with d and th, which tell rows apart."""
+    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "th": row_key(F.col("text").cast("string"))})
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -81,7 +81,8 @@ def _verified(texts: DataFrame, near: float) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each of docs: doc_id, text, n_words, n_hit, items (sorted as strings), contaminated."""
+    """docs with n_words, n_hit, items (sorted as strings) and contaminated; columns of docs that have these names, or d or th, are left out."""
+    docs = docs.drop("d", "th", "n_words", "n_hit", "items", "contaminated")
     exact = matches(docs, benchmark, window).select("d", "th", F.expr("filter(hits, h -> h.matched = h.size)").alias("hits")).where(F.size("hits") > 0)
     marks = exact.select(
         "d", "th",
@@ -92,7 +93,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     out = _keyed(docs).withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(marks, ["d", "th"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "text", "n_words", n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (ONE_IN * n_hit >= F.col("n_words"))).alias("contaminated"))
+    out = out.withColumns({"n_hit": n_hit, "items": items})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).drop("d", "th")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from entigraph.llm.bpe import op10_bpe
 from entigraph.llm.chat import OP2_SQL, op2_chat
 from entigraph.llm.contamination import OP8_SQL, op8_decontamination
 from entigraph.llm.langid import op5_language_id
+from entigraph.llm.passages import op9_passages
 from entigraph.llm.quality import op3_quality
 from entigraph.llm.repetition import op7_repetition
 from entigraph.llm.secrets import op1_secrets
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_token_file": op6_token_file,
     "op7_repetition": op7_repetition,
     "op8_decontamination": op8_decontamination,
+    "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
 }
 ORACLE_SQL: dict[str, str] = {

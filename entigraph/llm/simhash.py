@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entigraph.llm.common import map_rows, stored, table
+from entigraph.llm.common import map_rows, row_key, stored, table
 from entigraph.llm.components import components
 
 SEED, WIDTH = 42, 3
@@ -38,17 +38,23 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp long) for every row of docs."""
+def map_fingerprints(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """rows, columns of longs and last a text, with fp in the text's place."""
+    names = rows.columns[:-1]
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = pa.array([fingerprint(t.as_py(), width) for t in batch.column(1)], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+            fp = pa.array([fingerprint(t.as_py(), width) for t in batch.columns[-1]], pa.int64())
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*names, "fp"])
 
         return f
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, fp long")
+    return map_rows(rows, make, ", ".join(f"{n} long" for n in [*names, "fp"]))
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, fp long) for every row of docs."""
+    return map_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -79,6 +85,17 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(star).distinct()
 
 
+def first_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest doc_id (nulls last), of its texts and repeated rows one."""
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_t": row_key(F.col("text").cast("string"))})
+    fps = map_fingerprints(keyed.select("_d", "_t", F.col("text").cast("string")), width)
+    rows = stored(fps, "simhash-fp")
+    roots = components(links(rows.select("fp").distinct())).withColumnRenamed("node", "fp")
+    first = rows.groupBy("fp").agg(F.min(F.struct("_d", "_t")).alias("first")).join(roots, "fp", "left")
+    first = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first._d", "first._t")
+    return keyed.join(first, ["_d", "_t"]).dropDuplicates(["_d", "_t"]).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable by links of at most two differing bits."""
     rows = stored(fingerprints(docs, width), "simhash-fp")
