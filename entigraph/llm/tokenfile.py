@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,14 +28,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entigraph.llm.common import Recent, new_path, table
+from entigraph.llm.common import new_path, table
 
 END_ID = 1
-#: The dictionary is fitted on the ids of at most so many documents, and at most so many ids of each.
+#: The dictionary is fitted on the ids of about so many documents, and at most so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4000, 65536
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-CACHE = 150_000
-_BLANKS = re.compile(r"[ \t\n\r\x0b\f]+")
+CACHE = 400_000
 BLOCKS = "part int, block int, dict_hash string, doc_ids array<long>, n_tokens array<int>, offsets array<long>, frames binary"
 
 
@@ -47,11 +45,11 @@ def default_file() -> str:
 
 
 class WordEncoder:
-    """The tokenizers library's ids of whole texts, kept for words seen lately.
+    """The tokenizers library's ids of whole texts, with the ids of pieces seen before at hand.
 
-    Word tokenizers of this kind drop blanks and never join across them, so a text's ids are its words' ids in a row. New words are cut by the file's
-    own pattern; new pieces go to the library many at once, with blanks between, and come back cut where a token ends a piece. Words that its normalizer
-    may change beyond lower case, or that may hold an added token, go to the library whole.
+    Word tokenizers of this kind drop blanks and never join across pieces, so a text's ids are its pieces' ids in a row. Texts are cut by the file's own
+    pattern; new pieces go to the library many at once, with blanks between, and come back cut where a token ends a piece. Texts that its normalizer
+    may change beyond lower case, or that may hold an added token, go to the library whole. The table of pieces is emptied when it has grown past CACHE.
     """
 
     def __init__(self, file: str) -> None:
@@ -59,7 +57,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         spec = json.load(open(file, encoding="utf-8"))
-        self.lib, self.words, self.pieces = Tokenizer.from_file(file), Recent(CACHE), Recent(CACHE)
+        self.lib, self.pieces = Tokenizer.from_file(file), {}
         self.lib.no_truncation()
         self.lib.no_padding()
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
@@ -82,40 +80,20 @@ class WordEncoder:
             else:
                 raw, width = ids.tobytes(), self.type.itemsize
                 got = [raw[a * width : b * width] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-            for p, b in zip(part, got, strict=True):
-                self.pieces.put(p, b)
+            self.pieces.update(zip(part, got, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text, without an end id."""
-        split = [[w for w in _BLANKS.split(t) if w] if t else [] for t in texts]
-        ids: dict[str, bytes] = {}
-        cut: dict[str, list[str]] = {}
-        whole: list[str] = []
-        for w in {w for words in split for w in words}:
-            try:
-                ids[w] = self.words[w]
-            except KeyError:
-                if "<|" in w or not w.isascii() and ("\u03a3" in w or not is_normalized("NFC", w.lower()) or not is_normalized("NFC", w)):
-                    whole.append(w)
-                else:
-                    cut[w] = self.findall(w.lower())
-        found: dict[str, bytes] = {}
-        new = []
-        for p in {p for pieces in cut.values() for p in pieces}:
-            try:
-                found[p] = self.pieces[p]
-            except KeyError:
-                new.append(p)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self._new_pieces(part)
-            found.update((p, self.pieces[p]) for p in part)
-        ids.update(zip(whole, self._ids(whole) if whole else [], strict=True))
-        ids.update((w, b"".join([found[p] for p in pieces])) for w, pieces in cut.items())
-        for w in [*cut, *whole]:
-            if len(w) <= 64:
-                self.words.put(w, ids[w])
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        cut: list[list[str] | None] = []
+        for t in texts:
+            low = (t or "").lower()
+            plain = low.isascii() or "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", low)
+            cut.append(self.findall(low) if plain and "<|" not in low else None)
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        self._new_pieces(list({p for pieces in cut if pieces for p in pieces if p not in self.pieces}))
+        known = self.pieces
+        return [self._ids([t])[0] if pieces is None else b"".join([known[p] for p in pieces]) for t, pieces in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -128,10 +106,13 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def train_dictionary(docs: DataFrame, file: str) -> bytes:
-    """From the documents whose hash is least: a bounded sample that does not depend on the partitions."""
-    rows = _plain(docs).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(SAMPLE_DOCS).collect()
+    """From documents chosen by hash: a bounded sample that does not depend on the partitions."""
+    rows = _plain(docs)
+    part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    mixed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
+    rows = rows.where(mixed < part * 1_000_003).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(2 * SAMPLE_DOCS).collect()
     e = word_encoder(file)
-    samples = [b[: SAMPLE_IDS * e.type.itemsize] for b in e.encode([r.text for r in rows]) if len(b) >= 8]
+    samples = sorted(b[: SAMPLE_IDS * e.type.itemsize] for b in e.encode([r.text for r in rows]) if len(b) >= 8)
     if sum(map(len, samples)) < 20 * 1024 or len(samples) < 16:
         return b"".join(samples)[:DICT_BYTES]  # too little to train on: its content alone, as a raw dictionary
     return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples, level=3).as_bytes()
