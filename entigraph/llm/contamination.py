@@ -75,9 +75,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: f
 
 
 def _verified(texts: DataFrame, near: float) -> DataFrame:
+    """The words stand in a one-element array, so that they are cut once a text and not once for each comparison."""
     one = """transform(f.starts, s -> struct(f.item_id as item_id, f.offset + s as start, f.size as size,
-        size(filter(sequence(0, f.size - 1), i -> get(words, f.offset + s + i) = f.w[s + i])) as matched))"""
-    return texts.withColumn("n_words", F.size("words")).withColumn("hits", F.expr(f"filter(flatten(transform(found, f -> {one})), h -> h.matched >= {float(near)} * h.size)"))
+        size(filter(sequence(0, f.size - 1), i -> get(t.words, f.offset + s + i) = f.w[s + i])) as matched))"""
+    hits = f"transform(array(struct(words, found)), t -> filter(flatten(transform(t.found, f -> {one})), h -> h.matched >= {float(near)} * h.size))[0]"
+    return texts.withColumn("hits", F.expr(hits))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
