@@ -89,7 +89,9 @@ def corpus_text(documents: DataFrame, sections: DataFrame) -> DataFrame:
     lines = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     front = F.when(F.size("front") > 0, F.concat(F.lit("---\n"), lines, F.lit("\n---\n\n"))).otherwise("")
     preamble = F.when(F.coalesce("preamble", F.lit("")) != "", F.concat("preamble", F.lit("\n\n"))).otherwise("")
-    return documents.join(body, "rel_path", "left").select("rel_path", F.concat(front, preamble, F.coalesce("body", F.lit(""))).alias("value"))
+    value = F.concat(front, preamble, F.coalesce("body", F.lit("")))
+    # readers leave empty files out, so an empty document is one newline
+    return documents.join(body, "rel_path", "left").select("rel_path", F.when(value == "", "\n").otherwise(value).alias("value"))
 
 
 def write_markdown_corpus(documents: DataFrame, sections: DataFrame, folder: str) -> None:
