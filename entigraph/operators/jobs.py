@@ -37,7 +37,7 @@ def due_jobs(table: DataFrame, now) -> DataFrame:
 
 def job_outcomes(executions: DataFrame, max_attempts: int = 3) -> DataFrame:
     """(job, attempts, duration_ms, outcome) from executions (job, status, finished_at, attempt, duration_ms): the last attempt decides."""
-    last = F.max_by("status", F.struct("finished_at", "attempt"))
+    last = F.max_by("status", F.struct("finished_at", "attempt", "status"))
     out = executions.groupBy("job").agg(F.count("*").alias("attempts"), F.sum("duration_ms").alias("duration_ms"), last.alias("last"))
     outcome = F.when(F.col("last") == "completed", "completed").when(F.col("attempts") < max_attempts, "retry").otherwise("failed")
     return out.select("job", "attempts", "duration_ms", outcome.alias("outcome"))

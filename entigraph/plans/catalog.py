@@ -925,7 +925,7 @@ def _runs(g, sf=None):
 _RUNS = _RUNS.replace("l_returnflag = 'R'", "l_quantity > 30")
 
 
-@query("m3_job_outcomes", f"WITH {_RUNS} SELECT job, count(*) AS attempts, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, CASE WHEN arg_max(status, (finished_at, attempt)) = 'completed' THEN 'completed' WHEN count(*) < 3 THEN 'retry' ELSE 'failed' END AS outcome FROM runs GROUP BY job")
+@query("m3_job_outcomes", f"WITH {_RUNS} SELECT job, count(*) AS attempts, CAST(sum(duration_ms) AS BIGINT) AS duration_ms, CASE WHEN arg_max(status, (finished_at, attempt, status)) = 'completed' THEN 'completed' WHEN count(*) < 3 THEN 'retry' ELSE 'failed' END AS outcome FROM runs GROUP BY job")
 def _(g):
     return jobs.job_outcomes(_runs(g))
 
