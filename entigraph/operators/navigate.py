@@ -68,6 +68,8 @@ def graph_walk(seeds: DataFrame, edges: DataFrame, hops: int | None = 4, directi
     way = lambda a, b, d: edges.select(F.col(a).alias("node"), F.struct("predicate", F.lit(d).alias("direction"), F.col(b).alias("node")).alias("step"))
     ways = {"forward": [("src", "dst", "forward")], "inverse": [("dst", "src", "inverse")], "both": [("src", "dst", "forward"), ("dst", "src", "inverse")]}[direction]
     steps = reduce(DataFrame.union, [way(*w) for w in ways])
+    if hops is None or hops > 2:  # many rounds read it: what makes the edges runs once
+        steps = stored(steps, "walk-steps")
     new = _seeds(seeds).select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
     if paths:
         new = new.withColumn("path", F.array().cast("array<struct<predicate:string,direction:string,node:string>>"))

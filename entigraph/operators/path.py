@@ -138,6 +138,19 @@ def Or(*parts: Path) -> Path:
     return flat[0] if len(flat) == 1 else _Or(tuple(flat))
 
 
+def _predicates(p: Path) -> set[str] | None:
+    """All that an expression follows; None: any."""
+    if isinstance(p, Step):
+        return None if p.others or p.predicates is None else set(p.predicates)
+    out: set[str] = set()
+    for q in getattr(p, "parts", None) or ([p.part] if hasattr(p, "part") else []):
+        got = _predicates(q)
+        if got is None:
+            return None
+        out |= got
+    return out
+
+
 @dataclass(frozen=True)
 class _Repeat(Path):
     """At least m steps, at most n (None: until nothing new)."""
@@ -158,6 +171,8 @@ class _Repeat(Path):
         return c.once(out, "rank")
 
     def _all(self, c, rel):
+        used = _predicates(self.part)
+        c = replace(c, edges=stored(c.edges if used is None else c.edges.where(F.col("predicate").isin(sorted(used))), "path-edges"))
         new = rel = stored(rel, "path")
         seen = rel if self.m == 0 else None
         for _ in range(MAX_ROUNDS):

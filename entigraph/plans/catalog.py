@@ -441,27 +441,26 @@ def _(g):
     return w.select("seed", "node", "hop", F.array_join(F.transform("path", lambda s: F.concat(s["predicate"], F.lit(">"), s["node"])), ">").alias("way"))
 
 
-@query("f7_realize_bundle", "SELECT DISTINCT 'Utterance/' || conv_id || '-' || turn AS id FROM conversations WHERE conv_id % 10 = 0")
+@query("f7_realize_bundle", "SELECT DISTINCT 'Utterance/' || conv_id || '-' || turn AS id FROM conversations")
 def _(g):
     u = g.scan_class("Utterance", ["next_turn"])
-    seeds = u.where(F.expr("id like '%-0' and try_cast(regexp_extract(id, '/([0-9]+)-', 1) as long) % 10 = 0")).select("id")
+    seeds = u.where("id like '%-0'").select("id")
     return navigate.realize_bundle(seeds, u, g.edges(["next_turn"]), ["next_turn"]).select("id").distinct()
 
 
-@query("f8_section_chain", "SELECT 'Utterance/' || conv_id || '-0' AS head, 'Utterance/' || conv_id || '-' || turn AS id, CAST(turn AS INTEGER) AS ord FROM conversations WHERE conv_id % 10 = 1")
+@query("f8_section_chain", "SELECT 'Utterance/' || conv_id || '-0' AS head, 'Utterance/' || conv_id || '-' || turn AS id, CAST(turn AS INTEGER) AS ord FROM conversations")
 def _(g):
-    u = g.scan_class("Utterance", ["next_turn"]).where("try_cast(regexp_extract(id, '/([0-9]+)-', 1) as long) % 10 = 1")
-    return navigate.section_chain(u, "next_turn")
+    return navigate.section_chain(g.scan_class("Utterance", ["next_turn"]), "next_turn")
 
 
 # G: path algebra
 
 _P, _SEEDS_O = path, "seeds AS (SELECT 'Order/' || o_orderkey AS seed FROM orders WHERE o_orderkey % 50 = 0)"
-_CHAIN = "seeds AS (SELECT 'Utterance/' || conv_id || '-' || turn AS seed FROM conversations WHERE conv_id % 20 = 0 AND turn <= 1)"
+_CHAIN = "seeds AS (SELECT 'Utterance/' || conv_id || '-' || turn AS seed FROM conversations)"
 
 
 def _utterances(g):
-    return g.scan_class("Utterance", []).where("try_cast(regexp_extract(id, '/([0-9]+)-', 1) as long) % 20 = 0 and try_cast(substring_index(id, '-', -1) as int) <= 1").select("id")
+    return g.scan_class("Utterance", []).select("id")
 
 
 def _g(name, body, via, seeds=None):
