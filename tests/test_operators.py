@@ -78,11 +78,11 @@ def test_registry_rules():
 
 
 def test_search_statistics(spark):
-    rows = spark.createDataFrame([("1", "foo bar baz", "", ["Datomic", "x"]), ("2", "x", None, None)], "id string, name string, description string, tags array<string>")
+    rows = spark.createDataFrame([("1", "foo bar baz", "", ["Kettles", "x"]), ("2", "x", None, None)], "id string, name string, description string, tags array<string>")
     i = search.Index(rows, {"name": 12.0, "description": 8.0, "tags": 1.0})
     assert {r.field: r.avgdl for r in search.average_lengths(i.lengths).collect()} == {"name": 2.0, "description": 0.0, "tags": 1.0}
     assert {r.term: r.df for r in search.document_frequencies(i.postings).collect()}["x"] == 2
-    assert [r.id for r in i.score("DATOMIC nothing").collect()] == ["1"]
+    assert [r.id for r in i.score("KETTLES nothing").collect()] == ["1"]
     parts = i.explain("x foo").groupBy("id").agg(F.round(F.sum("contribution"), 9).alias("s")).collect()
     assert {r.id: r.s for r in parts} == {r.id: round(r.score, 9) for r in i.score("x foo").collect()}
     assert i.score("").count() == 0
@@ -93,8 +93,8 @@ def test_search_statistics(spark):
 
 
 def test_stemmer_words():
-    words = "caresses ponies cats feed agreed plastered motoring sing conflated sized hopping falling filing happy sky relational rational digitizer hopefulness goodness adoption cease controlling datomic at ÉTÉS"
-    assert [stem(w) for w in words.split()] == "caress poni cat feed agre plaster motor sing conflat size hop fall file happi sky relat ration digit hope good adopt ceas control datom at ÉTÉS".split()
+    words = "caresses ponies cats feed agreed plastered motoring sing conflated sized hopping falling filing happy sky relational rational digitizer hopefulness goodness adoption cease controlling kettles at ÉTÉS"
+    assert [stem(w) for w in words.split()] == "caress poni cat feed agre plaster motor sing conflat size hop fall file happi sky relat ration digit hope good adopt ceas control kettl at ÉTÉS".split()
 
 
 def test_text_functions(spark):
