@@ -230,6 +230,7 @@ def held_out():
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).where(~held_out() & F.col("y").isNotNull())
-    model = train(docs.where(~held_out()).join(labels, "doc_id"))
+    # labels grow with the documents: a shuffled join at every size
+    model = train(docs.where(~held_out()).join(labels.hint("merge"), "doc_id"))
     out = score(docs.withColumn("held_out", held_out()), model)
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
