@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +13,31 @@ from entigraph.model import TypeRegistry
 EDGES = "src string, predicate string, dst string"
 
 
+class Sources(Mapping):
+    """Class tables that are opened when they are asked for: a query over two classes reads the schemas of two."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+    def __contains__(self, name) -> bool:
+        return name in self.makers
+
+
 class TypedGraph:
     """sources: a DataFrame for each concrete class with id, the class's slots (any may be absent) and perhaps ident."""
 
-    def __init__(self, spark: SparkSession, registry: TypeRegistry, sources: dict[str, DataFrame]) -> None:
+    def __init__(self, spark: SparkSession, registry: TypeRegistry, sources: Mapping[str, DataFrame]) -> None:
         self.spark, self.registry, self.sources = spark, registry, sources
         self.tests: dict = {}
 
@@ -60,13 +81,18 @@ class TypedGraph:
     def edges(self, predicates: Iterable[str] | None = None, include_type: bool = False) -> DataFrame:
         """(src, predicate, dst), distinct, of every reference slot of every class table, or of some predicates; include_type adds (id, type, class)."""
         wanted, parts = None if predicates is None else set(predicates), []
-        for c, df in self.sources.items():
-            for s in self.registry.slots_of(c):
-                if s.is_ref and s.name in df.columns and (wanted is None or s.name in wanted):
+        for c in self.sources:
+            refs = [s for s in self.registry.slots_of(c) if s.is_ref and (wanted is None or s.name in wanted)]
+            typed = include_type and (wanted is None or "type" in wanted)
+            if not refs and not typed:
+                continue
+            df = self.sources[c]
+            for s in refs:
+                if s.name in df.columns:
                     dst = F.explode(s.name) if s.many else F.col(s.name)
                     e = df.select(F.col("id").alias("src"), F.lit(s.name).alias("predicate"), dst.alias("dst")).where(F.col("dst").isNotNull())
                     parts.append(e.distinct() if s.many else e)
-            if include_type and (wanted is None or "type" in wanted):
+            if typed:
                 parts.append(df.select(F.col("id").alias("src"), F.lit("type").alias("predicate"), F.lit(c).alias("dst")))
         return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], EDGES)
 

@@ -221,7 +221,7 @@ class Restrict(Path):
     def step(self, c, rel):
         g, hits = c.graph, None
         for name in g.sources:
-            if self.slot in g.sources[name].columns and any(s.name == self.slot for s in g.registry.slots_of(name)):
+            if any(s.name == self.slot for s in g.registry.slots_of(name)) and self.slot in g.sources[name].columns:
                 ids = g.where(name, (self.slot, "=", self.value), slots=[self.slot]).select(F.col("id").alias("node"))
                 hits = ids if hits is None else hits.union(ids)
         if hits is None:

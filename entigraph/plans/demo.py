@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entigraph.graph import TypedGraph
+from entigraph.graph import Sources, TypedGraph
 from entigraph.model import ClassDef, Slot, TypeRegistry
 
 CLASSES = [
@@ -47,25 +47,29 @@ def registry() -> TypeRegistry:
 
 def graph(spark: SparkSession, sf_dir: str) -> TypedGraph:
     t = lambda n: table(spark, sf_dir, n)
-    said = t("conversations").select("conv_id", "turn", F.col("role"), F.col("text").alias("said"))
-    turns = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("next")).distinct()
+
+    def utterances() -> DataFrame:
+        said = t("conversations").select("conv_id", "turn", F.col("role"), F.col("text").alias("said"))
+        turns = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("next")).distinct()
+        out = said.join(turns, ["conv_id", "turn"], "left").select(_id("Utterance", "conv_id", "turn"), "role", "said", _ref("Utterance", "conv_id", "next").alias("next_turn"))
+        # the reference is null where there is no next turn
+        return out.withColumn("next_turn", F.when(F.col("next_turn").contains("-"), F.col("next_turn")))
+
     sources = {
-        "Region": t("region").select(_id("Region", "r_regionkey"), F.col("r_name").alias("ident"), "r_name"),
-        "Nation": t("nation").select(_id("Nation", "n_nationkey"), F.col("n_name").alias("ident"), "n_name", _ref("Region", "n_regionkey").alias("in_region")),
-        "Customer": t("customer").select(_id("Customer", "c_custkey"), F.col("c_name").alias("name"), _ref("Nation", "c_nationkey").alias("in_nation"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("mktsegment")),
-        "Supplier": t("supplier").select(_id("Supplier", "s_suppkey"), F.col("s_name").alias("name"), _ref("Nation", "s_nationkey").alias("in_nation"), F.col("s_acctbal").alias("acctbal")),
-        "Part": t("part").select(_id("Part", "p_partkey"), "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
-        "Order": t("orders").select(_id("Order", "o_orderkey"), _ref("Customer", "o_custkey").alias("placed_by"), F.col("o_orderstatus").alias("orderstatus"), F.col("o_totalprice").alias("totalprice"), F.col("o_orderdate").cast("timestamp").alias("orderdate"), F.col("o_orderpriority").alias("orderpriority")),
-        "LineItem": t("lineitem").select(_id("LineItem", "l_orderkey", "l_linenumber"), _ref("Order", "l_orderkey").alias("line_of"), _ref("Part", "l_partkey").alias("of_part"), _ref("Supplier", "l_suppkey").alias("supplied_by"), F.col("l_quantity").alias("quantity"), F.col("l_shipdate").cast("timestamp").alias("shipdate")),
-        "Event": t("events").select(_id("Event", "event_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props"),
-        "Document": t("documents").select(_id("Document", "doc_id"), "text", "lang", "source"),
-        "Page": t("pages").select(_id("Page", "page_id"), "url", "html"),
-        "BenchmarkItem": t("benchmark").select(_id("BenchmarkItem", "item_id"), F.col("text").alias("item_text")),
-        "Utterance": said.join(turns, ["conv_id", "turn"], "left").select(_id("Utterance", "conv_id", "turn"), "role", "said", _ref("Utterance", "conv_id", "next").alias("next_turn")),
+        "Region": lambda: t("region").select(_id("Region", "r_regionkey"), F.col("r_name").alias("ident"), "r_name"),
+        "Nation": lambda: t("nation").select(_id("Nation", "n_nationkey"), F.col("n_name").alias("ident"), "n_name", _ref("Region", "n_regionkey").alias("in_region")),
+        "Customer": lambda: t("customer").select(_id("Customer", "c_custkey"), F.col("c_name").alias("name"), _ref("Nation", "c_nationkey").alias("in_nation"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("mktsegment")),
+        "Supplier": lambda: t("supplier").select(_id("Supplier", "s_suppkey"), F.col("s_name").alias("name"), _ref("Nation", "s_nationkey").alias("in_nation"), F.col("s_acctbal").alias("acctbal")),
+        "Part": lambda: t("part").select(_id("Part", "p_partkey"), "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+        "Order": lambda: t("orders").select(_id("Order", "o_orderkey"), _ref("Customer", "o_custkey").alias("placed_by"), F.col("o_orderstatus").alias("orderstatus"), F.col("o_totalprice").alias("totalprice"), F.col("o_orderdate").cast("timestamp").alias("orderdate"), F.col("o_orderpriority").alias("orderpriority")),
+        "LineItem": lambda: t("lineitem").select(_id("LineItem", "l_orderkey", "l_linenumber"), _ref("Order", "l_orderkey").alias("line_of"), _ref("Part", "l_partkey").alias("of_part"), _ref("Supplier", "l_suppkey").alias("supplied_by"), F.col("l_quantity").alias("quantity"), F.col("l_shipdate").cast("timestamp").alias("shipdate")),
+        "Event": lambda: t("events").select(_id("Event", "event_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props"),
+        "Document": lambda: t("documents").select(_id("Document", "doc_id"), "text", "lang", "source"),
+        "Page": lambda: t("pages").select(_id("Page", "page_id"), "url", "html"),
+        "BenchmarkItem": lambda: t("benchmark").select(_id("BenchmarkItem", "item_id"), F.col("text").alias("item_text")),
+        "Utterance": utterances,
     }
-    # the reference is null where there is no next turn
-    sources["Utterance"] = sources["Utterance"].withColumn("next_turn", F.when(F.col("next_turn").contains("-"), F.col("next_turn")))
-    return TypedGraph(spark, registry(), sources)
+    return TypedGraph(spark, registry(), Sources(sources))
 
 
 #: The same in SQL (DuckDB), as WITH clauses.
