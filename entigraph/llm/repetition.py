@@ -4,6 +4,9 @@ The suffix array of a text's words is built by doubling; the longest common pref
 longest repeat that starts at a word is the deepest interval that holds its suffix. Repeats that cannot be extended to the left are the maximal
 ones; the union of their spans is what the text repeats. A text fails if that union covers too large a part of it, or if one repeat alone does.
 
+Repeats shorter than the base rule's window count too: the union of all repeats of PART_REPEAT words, and short phrases that stand at least PHRASE_LEAST
+times in a text, whose places are the intervals of the suffix array where neighbours have that many words in common.
+
 Texts of one Arrow batch are worked on together, in bounded groups, with a barrier between texts that no repeat crosses.
 
 Defined cases: a null text has no words; a text of fewer than 20 words fails (base rule); repeated rows are judged alike; extra columns are not read.
@@ -25,6 +28,10 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
 #: The method's rule: repeats of at least so many words count; the largest part of the words that they may cover together, and one of them alone.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.30, 0.25
+#: Repeats of so many words, the shortest of which the rules for web text of Gopher (Rae et al. 2021, table A1) count duplicates, may cover MAX_COVERED together.
+PART_REPEAT = 5
+#: Of those rules also: the largest part of a text that one phrase of so many words may cover. One that stands there twice is no pattern.
+PHRASES, PHRASE_LEAST = {2: 0.20, 3: 0.18, 4: 0.16}, 3
 #: Words worked on at once; a longer text is a group of its own.
 GROUP_WORDS = 120_000
 _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
@@ -72,14 +79,12 @@ def ranks_by_doubling(word: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
     return levels
 
 
-def longest_repeats(word: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each place, the words of the longest repeat in its own text that starts there: its suffix's deepest interval of common prefixes.
+def suffix_array(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes' places in order, and of each two neighbours the words that they have in common.
 
-    word: numbers of words; text: the number of each word's text, ascending. Occurrences may overlap.
+    word: numbers of words, one at least; text: the number of each word's text, ascending.
     """
     n = len(word)
-    if not n:
-        return np.zeros(0, np.int64)
     ends = np.searchsorted(text, text, side="right")
     left = ends - np.arange(n)
     _, own = np.unique(text.astype(np.int64) << 32 | word.astype(np.int64), return_inverse=True)  # words of different texts differ
@@ -95,12 +100,40 @@ def longest_repeats(word: np.ndarray, text: np.ndarray) -> np.ndarray:
         common[fits] += k
         a[fits] += k
         b[fits] += k
-    out = np.zeros(n, np.int64)
+    return suffix, common
+
+
+def longest_repeats(word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each place, the words of the longest repeat in its own text that starts there: its suffix's deepest interval of common prefixes.
+
+    word: numbers of words; text: the number of each word's text, ascending. Occurrences may overlap.
+    """
+    return _longest(*suffix_array(word, text)) if len(word) else np.zeros(0, np.int64)
+
+
+def _longest(suffix: np.ndarray, common: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(suffix), np.int64)
     out[suffix[:-1]] = common
     np.maximum.at(out, suffix[1:], common)
     return out
 
 
+def phrase_cover(suffix: np.ndarray, common: np.ndarray, text: np.ndarray, size: int, texts: int) -> np.ndarray:
+    """For each of so many texts, the most words that one phrase of `size` words covers which stands there PHRASE_LEAST times or more."""
+    out = np.zeros(texts, np.int64)
+    group = np.concatenate(([0], np.cumsum(common < size)))  # suffixes that begin with the same phrase
+    many = np.bincount(group)[group] >= PHRASE_LEAST
+    group, place = group[many], suffix[many]
+    if len(group):
+        order = np.lexsort((place, group))
+        group, place = group[order], place[order]
+        words = np.full(len(group), size, np.int64)
+        words[:-1] = np.where(group[1:] == group[:-1], np.minimum(np.diff(place), size), size)
+        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        np.maximum.at(out, text[place[start]], np.add.reduceat(words, start))
+    return out
+
+
 def covered(longest: np.ndarray, least: int, span: int | None = None) -> np.ndarray:
     """Whether each word lies in a repeat of at least so many words; span: count only so many words from each start."""
     n = len(longest)
@@ -117,7 +150,8 @@ def _numbers(words: list[str]) -> list[int]:
 
 
 def measure(texts: list[str]) -> list[tuple]:
-    """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, longest_repeat, spans [(start, end) in words]."""
+    """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, longest_repeat, spans [(start, end) in words],
+    n_part_words, and the most words that one phrase of each size of PHRASES covers."""
     out: list[tuple] = []
     group: list[tuple[list[int], list]] = []
     size = 0
@@ -125,14 +159,17 @@ def measure(texts: list[str]) -> list[tuple]:
     def flush() -> None:
         counts = np.array([len(ids) for ids, _ in group], np.int64)
         word = np.fromiter((i for ids, _ in group for i in ids), np.int64, int(counts.sum()))
-        longest = longest_repeats(word, np.repeat(np.arange(len(group)), counts))
-        windows, all_ = covered(longest, WINDOW, WINDOW), covered(longest, MIN_REPEAT)
+        text = np.repeat(np.arange(len(group)), counts)
+        suffix, common = suffix_array(word, text) if len(word) else (word, word)
+        longest = _longest(suffix, common) if len(word) else word
+        phrases = [phrase_cover(suffix, common, text, k, len(group)) if len(word) else np.zeros(len(group), np.int64) for k in PHRASES]
+        windows, all_, parts = covered(longest, WINDOW, WINDOW), covered(longest, MIN_REPEAT), covered(longest, PART_REPEAT)
         at = 0
-        for (ids, base), n in zip(group, counts.tolist(), strict=True):
+        for (ids, base), n, *most in zip(group, counts.tolist(), *(p.tolist() for p in phrases), strict=True):
             here, there = all_[at : at + n], longest[at : at + n]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], here.view(np.int8), [0]))))
             top = int(there.max()) if n else 0
-            out.append((n, *base, int(windows[at : at + n].sum()), int(here.sum()), top, edge.tolist()))
+            out.append((n, *base, int(windows[at : at + n].sum()), int(here.sum()), top, edge.tolist(), int(parts[at : at + n].sum()), *most))
             at += n
         group.clear()
 
@@ -151,24 +188,30 @@ def measure(texts: list[str]) -> list[tuple]:
 
 def repetition(docs: DataFrame) -> DataFrame:
     """docs' doc_id with the measures of its text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, longest_repeat
-    (all long) and spans, the union of the maximal repeats of MIN_REPEAT words or more as array<int>: start, end, start, end ... in words."""
+    (all long), spans, the union of the maximal repeats of MIN_REPEAT words or more as array<int>: start, end, start, end ... in words, then
+    n_part_words, the words that repeats of PART_REPEAT words or more cover, and n_phrase2_words ..., the most that one phrase of so many covers."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat"]
+    more = ["n_part_words", *(f"n_phrase{k}_words" for k in PHRASES)]
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = measure([t or "" for t in batch.column(1).to_pylist()])
             cols = [batch.column(0), *(pa.array([r[i] for r in got], pa.int64()) for i in range(7)), pa.array([r[7] for r in got], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", *names, "spans"])
+            cols += (pa.array([r[8 + i] for r in got], pa.int64()) for i in range(len(more)))
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", *names, "spans", *more])
 
         return f
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", spans array<int>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", spans array<int>, " + ", ".join(f"{n} long" for n in more))
 
 
 def judged(measures: DataFrame, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
-    """measures with base_failed, and kept: not base_failed, and repeats within both limits."""
+    """measures with base_failed, and kept: not base_failed, and repeats and phrases within all limits."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     fits = (F.col("n_covered_words") <= max_covered * F.col("n_words")) & ((F.col("longest_repeat") < MIN_REPEAT) | (F.col("longest_repeat") <= max_longest * F.col("n_words")))
+    fits &= F.col("n_part_words") <= max_covered * F.col("n_words")
+    for k, most in PHRASES.items():
+        fits &= F.col(f"n_phrase{k}_words") <= most * F.col("n_words")
     return measures.withColumn("base_failed", base).withColumn("kept", ~base & fits)
 
 
