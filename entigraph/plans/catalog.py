@@ -546,6 +546,12 @@ def _(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
 
 
+@query("h1_all_tokens", f"SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS term FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)", graph=False)
+def _(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", search.raw_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.posexplode("t").alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("h2_stemmed_tokens")
 def _(g):
     return search.stemmed(search.tokens(g.scan_class("Document", ["text"]), ["text"])).groupBy("term").agg(F.count("*").alias("n"))
