@@ -521,6 +521,31 @@ def _(g):
     out = path.prefixes(w.where("size(path.edges) = 1"), w.where("size(path.edges) <= 3"))
     return out.select(F.expr("short.nodes[0]").alias("seed"), F.element_at("short.nodes", -1).alias("short_end"), F.element_at("long.nodes", -1).alias("long_end"))
 
+_REACH = f"WITH RECURSIVE {EDGES_SQL}, {_CHAIN}, reach AS (SELECT seed, dst AS node, 1 AS n FROM seeds JOIN edges ON src = seed AND predicate = 'next_turn' UNION SELECT seed, dst, n + 1 FROM reach JOIN edges ON src = node AND predicate = 'next_turn')"
+
+
+def _ends(pairs):
+    return pairs.select(*(F.element_at(f"{k}.nodes", i).alias(f"{k}_{name}") for k in ("short", "long") for i, name in ((1, "start"), (-1, "end"))))
+
+
+@query("g19_all_prefixes", f"{_REACH} SELECT a.seed AS short_start, a.node AS short_end, b.seed AS long_start, b.node AS long_end FROM reach a JOIN reach b ON a.seed = b.seed AND a.n <= b.n")
+def _(g):
+    w = _walked(g)
+    return _ends(path.prefixes(w, w))
+
+
+@query("g19_suffixes", f"{_REACH} SELECT a.seed AS short_start, a.node AS short_end, b.seed AS long_start, b.node AS long_end FROM reach a JOIN reach b ON a.node = b.node AND a.n <= b.n")
+def _(g):
+    w = _walked(g)
+    return _ends(path.suffixes(w, w))
+
+
+@query("g19_subpaths", f"{_REACH}, places AS (SELECT seed, seed AS node, 0 AS n FROM seeds UNION ALL SELECT * FROM reach) SELECT DISTINCT a.seed AS short_start, a.node AS short_end, b.seed AS long_start, b.node AS long_end FROM reach b JOIN places p ON p.seed = b.seed JOIN reach a ON a.seed = p.node AND p.n + a.n <= b.n")
+def _(g):
+    w = _walked(g)
+    return _ends(path.subpaths(w, w))
+
+
 
 # H: search
 
