@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from entigraph.scratch import new_path, shared_dir, stored
 
-__all__ = ["LOWER", "UPPER", "Recent", "ascii_lower", "map_rows", "new_path", "row_key", "shared_dir", "stored", "table"]
+__all__ = ["LOWER", "UPPER", "Recent", "ascii_lower", "map_rows", "new_path", "row_key", "shared_dir", "stored", "table", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,6 +36,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name beginning like this that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(text: Column) -> Column:
     """Tells rows with the same doc_id apart: with doc_id, the key by which row-wise results are joined back."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

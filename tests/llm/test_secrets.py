@@ -1,6 +1,28 @@
+import argparse
+import asyncio
+import email
 import hashlib
+import http.client
+import inspect
+import logging
+import os
 import random
 import re
+import socket
+import sqlite3
+import ssl
+import string
+import tarfile
+import typing
+import unittest
+import urllib.request
+import xml.dom.minidom
+import zipfile
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from entigraph.llm import secrets as S
 
@@ -73,4 +95,58 @@ def test_query_finds_planted_and_keeps_others(spark):
         base = slow(text[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
-    assert sum("markov" in r.spans for r in out) < 0.02 * len(out)
+    assert not [r.spans for r in out if "markov" in r.spans]  # nothing is hidden in these texts but what the patterns find
+
+
+ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "upper": string.ascii_uppercase + string.digits}
+
+
+@pytest.fixture(scope="module")
+def query_model(spark):
+    return S.model_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def names_in_libraries():
+    """Identifiers of 16 characters or more that people wrote."""
+    names = set()
+    for m in (argparse, asyncio, email, http.client, logging, os, socket, sqlite3, ssl, tarfile, typing, unittest, urllib.request, xml.dom.minidom, zipfile, np, pd, F):
+        for k, v in vars(m).items():
+            names |= {k, *(vars(v) if inspect.isclass(v) else ())}
+    return sorted(n for n in names if re.fullmatch(S.CANDIDATE, n) and re.search("[A-Za-z]", n))
+
+
+def found(spark, model, words):
+    rows = spark.createDataFrame([(i, f"see {w} here", "", 0) for i, w in enumerate(words)], SCHEMA)
+    return {words[r.doc_id] for r in S.scan(rows, model).where("size(spans) > 0").collect()}
+
+
+def test_query_model_on_strings_it_has_not_seen(spark, query_model):
+    """Without key names, and of 20 characters, fewer than the pattern for hexadecimal asks for."""
+    r = random.Random(5)
+    for name, signs in ALPHABETS.items():
+        words = ["".join(r.choice(signs) for _ in range(20)) for _ in range(300)]
+        assert len(found(spark, query_model, words)) >= 0.9 * len(words), name
+    names = names_in_libraries()
+    assert len(names) > 1000 and len(found(spark, query_model, names)) <= 0.01 * len(names)
+
+
+def test_query_model_leaves_identifiers_and_fillers(spark, query_model):
+    plain = ["ThisIsAnOrdinaryIdentifierName", "this_is_a_snake_case_name", "getHttpResponseHeader", "MAX_CONNECTION_TIMEOUT", "x" * 20, "=" * 40, "-" * 16 + "BEGIN" + "-" * 16, "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "path/to/the/other/file", "customer-order-history-2024"]
+    assert found(spark, query_model, plain) == set()
+
+
+def test_query_adds_spans_for_keys_without_names(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    r = random.Random(8)
+    keys = {-i: "".join(r.choice(ALPHABETS["base62"]) for _ in range(24)) for i in range(1, 41)}
+    planted = [(i, f"Wer {k} findet, the end") for i, k in keys.items()]
+    docs.union(spark.createDataFrame(planted, "doc_id long, text string")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = {x.doc_id: x.spans for x in S.op1_secrets(spark, f"file://{tmp_path}").collect()}
+    assert sum(out[i] == "markov:4:28" for i in keys) >= 0.9 * len(keys)
+    assert not any("markov" in v for i, v in out.items() if i not in keys)
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = spark.createDataFrame([(1, "see q7Zk29xLmP0aWv81TdRs", "mine", 5)], "doc_id long, text string, found string, Found_ int")
+    (row,) = S.scan(docs, model(spark)).collect()
+    assert row.asDict()["found"] == "mine" and row.asDict()["Found_"] == 5 and len(row.spans) == 1
