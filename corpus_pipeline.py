@@ -34,8 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are masked; all documents stay."""
-    model = secrets.train(stored(secrets.samples_of(docs), "secret-samples"))
-    out = secrets.scan(docs.select(*COLUMNS), model).withColumn("text", secrets.masked("text", "spans"))
+    out = secrets.scan(docs.select(*COLUMNS), secrets.model_of(docs)).withColumn("text", secrets.masked("text", "spans"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
