@@ -1,11 +1,13 @@
 """Quality rules from repetition inside a text, by a suffix array over its words.
 
 The suffix array of a text's words is built by doubling; the longest common prefixes of neighbours in it give the intervals of equal prefixes. The
-longest repeat that starts at a word is the deepest interval that holds its suffix. Repeats that cannot be extended to the left are the maximal
-ones; the union of their spans is what the text repeats. A text fails if that union covers too large a part of it, or if one repeat alone does.
+longest repeat that starts at a word is the deepest interval that holds its suffix. Repeats of MIN_REPEAT words or more that cannot be extended to the
+left are the maximal ones; the union of their spans is what the text repeats. A text fails if that union covers too large a part of its characters, or
+if one repeat of LONG_REPEAT words or more alone is too large a part of them.
 
-Repeats shorter than the base rule's window count too: the union of all repeats of PART_REPEAT words, and short phrases that stand at least PHRASE_LEAST
-times in a text, whose places are the intervals of the suffix array where neighbours have that many words in common.
+The base rule counts windows of eight words; these repeats begin at five and are measured in characters. Still shorter ones count as phrases: one of
+two to four words that stands at least PHRASE_LEAST times in a text, its places an interval of the suffix array where neighbours have that many words
+in common, must not cover too much of it either.
 
 Texts of one Arrow batch are worked on together, in bounded groups, with a barrier between texts that no repeat crosses.
 
@@ -26,11 +28,12 @@ from entigraph.llm.common import map_rows, table
 #: Fixed values of the base rules.
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
-#: The method's rule: repeats of at least so many words count; the largest part of the words that they may cover together, and one of them alone.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.30, 0.25
-#: Repeats of so many words, the shortest of which the rules for web text of Gopher (Rae et al. 2021, table A1) count duplicates, may cover MAX_COVERED together.
-PART_REPEAT = 5
-#: Of those rules also: the largest part of a text that one phrase of so many words may cover. One that stands there twice is no pattern.
+#: The method's repeats are so many words long at least; the largest part of a text's characters (those in words) that they may cover together. Five words are
+#: the shortest of which the rules for web text of Gopher (Rae et al. 2021, table A1) count duplicates.
+MIN_REPEAT, MAX_COVERED = 5, 0.30
+#: The largest part that one repeat alone may have: with its copy that is a quarter of the text. Shorter ones, such as a title said twice, count together only.
+LONG_REPEAT, MAX_LONGEST = 10, 0.125
+#: The largest part of a text's words that one phrase of so many words may cover, of the same rules. One that stands there twice is no pattern.
 PHRASES, PHRASE_LEAST = {2: 0.20, 3: 0.18, 4: 0.16}, 3
 #: Words worked on at once; a longer text is a group of its own.
 GROUP_WORDS = 120_000
@@ -149,27 +152,32 @@ def _numbers(words: list[str]) -> list[int]:
     return [seen.setdefault(w, len(seen)) for w in words]
 
 
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "n_covered_chars", "longest_repeat", "longest_repeat_chars", *(f"n_phrase{k}_words" for k in PHRASES)]
+
+
 def measure(texts: list[str]) -> list[tuple]:
-    """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, longest_repeat, spans [(start, end) in words],
-    n_part_words, and the most words that one phrase of each size of PHRASES covers."""
+    """Per text the measures of NAMES, then the spans [start, end, start, end ...] in words of all repeats of MIN_REPEAT words or more."""
     out: list[tuple] = []
-    group: list[tuple[list[int], list]] = []
+    group: list[tuple[list[int], list[int], list[int]]] = []  # a text's words by number, their lengths, and its base counts
     size = 0
 
     def flush() -> None:
-        counts = np.array([len(ids) for ids, _ in group], np.int64)
-        word = np.fromiter((i for ids, _ in group for i in ids), np.int64, int(counts.sum()))
+        counts = np.array([len(ids) for ids, *_ in group], np.int64)
+        word = np.fromiter((i for ids, *_ in group for i in ids), np.int64, int(counts.sum()))
+        chars = np.concatenate(([0], np.cumsum(np.fromiter((n for _, sizes, _ in group for n in sizes), np.int64, len(word)))))
         text = np.repeat(np.arange(len(group)), counts)
         suffix, common = suffix_array(word, text) if len(word) else (word, word)
         longest = _longest(suffix, common) if len(word) else word
         phrases = [phrase_cover(suffix, common, text, k, len(group)) if len(word) else np.zeros(len(group), np.int64) for k in PHRASES]
-        windows, all_, parts = covered(longest, WINDOW, WINDOW), covered(longest, MIN_REPEAT), covered(longest, PART_REPEAT)
+        windows, all_ = covered(longest, WINDOW, WINDOW), covered(longest, MIN_REPEAT)
+        covered_chars = np.concatenate(([0], np.cumsum(np.where(all_, np.diff(chars), 0))))
+        repeat_chars = chars[np.arange(len(word)) + longest] - chars[:-1]
         at = 0
-        for (ids, base), n, *most in zip(group, counts.tolist(), *(p.tolist() for p in phrases), strict=True):
-            here, there = all_[at : at + n], longest[at : at + n]
+        for (_, _, base), n, *most in zip(group, counts.tolist(), *(p.tolist() for p in phrases), strict=True):
+            here = all_[at : at + n]
             edge = np.flatnonzero(np.diff(np.concatenate(([0], here.view(np.int8), [0]))))
-            top = int(there.max()) if n else 0
-            out.append((n, *base, int(windows[at : at + n].sum()), int(here.sum()), top, edge.tolist(), int(parts[at : at + n].sum()), *most))
+            top, top_chars = (int(longest[at : at + n].max()), int(repeat_chars[at : at + n].max())) if n else (0, 0)
+            out.append((n, *base, int(windows[at : at + n].sum()), int(here.sum()), int(covered_chars[at + n] - covered_chars[at]), top, top_chars, *most, edge.tolist()))
             at += n
         group.clear()
 
@@ -179,7 +187,8 @@ def measure(texts: list[str]) -> list[tuple]:
         if size + len(words) > GROUP_WORDS and group:
             flush()
             size = 0
-        group.append((_numbers(words), [sum(map(len, words)), len(_SYMBOL.findall(t)), len(lines) - len(set(lines))]))
+        sizes = list(map(len, words))
+        group.append((_numbers(words), sizes, [sum(sizes), len(_SYMBOL.findall(t)), len(lines) - len(set(lines))]))
         size += len(words)
     if group:
         flush()
@@ -187,32 +196,27 @@ def measure(texts: list[str]) -> list[tuple]:
 
 
 def repetition(docs: DataFrame) -> DataFrame:
-    """docs' doc_id with the measures of its text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, longest_repeat
-    (all long), spans, the union of the maximal repeats of MIN_REPEAT words or more as array<int>: start, end, start, end ... in words, then
-    n_part_words, the words that repeats of PART_REPEAT words or more cover, and n_phrase2_words ..., the most that one phrase of so many covers."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat"]
-    more = ["n_part_words", *(f"n_phrase{k}_words" for k in PHRASES)]
+    """docs' doc_id with the measures of its text (NAMES, all long) and spans, the union of the repeats as array<int>: start, end, start, end ... in words."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = measure([t or "" for t in batch.column(1).to_pylist()])
-            cols = [batch.column(0), *(pa.array([r[i] for r in got], pa.int64()) for i in range(7)), pa.array([r[7] for r in got], pa.list_(pa.int32()))]
-            cols += (pa.array([r[8 + i] for r in got], pa.int64()) for i in range(len(more)))
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", *names, "spans", *more])
+            cols = [batch.column(0), *(pa.array([r[i] for r in got], pa.int64()) for i in range(len(NAMES))), pa.array([r[-1] for r in got], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", *NAMES, "spans"])
 
         return f
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", spans array<int>, " + ", ".join(f"{n} long" for n in more))
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, " + ", ".join(f"{n} long" for n in NAMES) + ", spans array<int>")
 
 
 def judged(measures: DataFrame, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
-    """measures with base_failed, and kept: not base_failed, and repeats and phrases within all limits."""
+    """measures with base_failed, repeats_failed (the method's verdict), and kept: neither."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    fits = (F.col("n_covered_words") <= max_covered * F.col("n_words")) & ((F.col("longest_repeat") < MIN_REPEAT) | (F.col("longest_repeat") <= max_longest * F.col("n_words")))
-    fits &= F.col("n_part_words") <= max_covered * F.col("n_words")
+    failed = F.col("n_covered_chars") > max_covered * F.col("word_chars")
+    failed |= (F.col("longest_repeat") >= LONG_REPEAT) & (F.col("longest_repeat_chars") > max_longest * F.col("word_chars"))
     for k, most in PHRASES.items():
-        fits &= F.col(f"n_phrase{k}_words") <= most * F.col("n_words")
-    return measures.withColumn("base_failed", base).withColumn("kept", ~base & fits)
+        failed |= F.col(f"n_phrase{k}_words") > most * F.col("n_words")
+    return measures.withColumns({"base_failed": base, "repeats_failed": failed, "kept": ~base & ~failed})
 
 
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

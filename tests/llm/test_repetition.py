@@ -21,12 +21,13 @@ def slow(text):
         window.setdefault(tuple(words[i : i + 8]), []).append(i)
     in_window = {j for s in window.values() if len(s) > 1 for i in s for j in range(i, i + 8)}
     cover = {j for i in range(n) if longest[i] >= MIN_REPEAT for j in range(i, i + longest[i])}
+    chars = lambda at: sum(len(words[j]) for j in at)
     lines, dup, seen = text.split("\n"), 0, set()
     for x in lines:
         if x.strip(" \t\n\x0b\f\r"):
             dup += x in seen
             seen.add(x)
-    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(in_window), len(cover), max(longest, default=0)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(in_window), len(cover), chars(cover), max(longest, default=0), max((chars(range(i, i + k)) for i, k in enumerate(longest)), default=0)
 
 
 def random_texts(r):
@@ -43,12 +44,12 @@ def random_texts(r):
 @pytest.mark.parametrize("seed", range(6))
 def test_against_brute_force(seed):
     texts = random_texts(random.Random(seed))
-    assert [m[:7] for m in measure(texts)] == [slow(t) for t in texts]
+    assert [m[:9] for m in measure(texts)] == [slow(t) for t in texts]
 
 
 def test_empty_and_lone_words():
-    assert measure(["", "a", "a a"])[0][:7] == (0,) * 7
-    assert [m[6] for m in measure(["", "a", "a a"])] == [0, 0, 1]
+    assert measure(["", "a", "a a"])[0][:9] == (0,) * 9
+    assert [m[7] for m in measure(["", "a", "a a"])] == [0, 0, 1]
     import numpy as np
 
     assert longest_repeats(np.array([], int), np.array([], int)).tolist() == []
@@ -57,7 +58,7 @@ def test_empty_and_lone_words():
 def test_spans_join_maximal_repeats():
     part = " ".join(f"x{i}" for i in range(10))
     (m,) = measure([f"{part} a b {part} c"])
-    assert m[7] == [0, 10, 12, 22] and m[6] == 10
+    assert m[-1] == [0, 10, 12, 22] and m[7:9] == (10, 20)
 
 
 def test_rows_and_verdicts(spark):
@@ -69,11 +70,12 @@ def test_rows_and_verdicts(spark):
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
     assert {k: r.kept for k, r in by.items()} == {1: True, 2: False, None: False, 3: False, 4: True, 5: False, 6: False}
+    assert {k: (r.base_failed, r.repeats_failed) for k, r in by.items() if k in (1, 3, 4, 6)} == {1: (False, False), 3: (True, True), 4: (False, False), 6: (True, False)}
     assert by[5].longest_repeat == 49999 and by[6].base_failed and by[2].n_words == 0
     assert judged(repetition(docs.limit(0))).count() == 0
 
 
 def test_documents_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 2500")
-    got = {r.doc_id: tuple(r)[1:8] for r in repetition(docs).collect()}
+    got = {r.doc_id: tuple(r)[1:10] for r in repetition(docs).collect()}
     assert got == {r.doc_id: slow(r.text) for r in docs.collect()}
