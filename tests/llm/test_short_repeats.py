@@ -48,7 +48,7 @@ def test_characters_decide_where_words_do_not(spark):
 
 def test_one_long_repeat_decides(spark):
     """An eighth of a text said twice: the base rule and the covered part let it pass."""
-    fresh = [f"w{i}" for i in range(200)]
+    fresh = [f"w{i:03}" for i in range(200)]
     rows = [(1, " ".join(fresh[:70] + fresh[:11])), (2, " ".join(fresh + fresh[:11])), (3, " ".join(fresh[:30] + fresh[:5]))]
     out = {r.doc_id: r for r in judged(repetition(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert not any(r.base_failed for r in out.values())
