@@ -113,8 +113,8 @@ def samples_of(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     plain = F.regexp_replace(b64, "[+/]", "")
     random = few.select(F.explode(F.array(digest, b64, F.translate(b64, "+/", "-_"), plain, F.upper(plain))).alias("text"))
     left = few.select(F.expr(f"regexp_replace(regexp_replace(regexp_replace(text, {_sql(ASSIGN)}, ' '), {_sql(ACCESS)}, ' '), {_sql(HEX)}, ' ')").alias("text"))
-    words = "regexp_extract_all(text, '[A-Za-z0-9+/_=-]{4,}', 0)"
-    parts = left.select(F.col("text"), F.expr("transform(regexp_extract_all(text, '[A-Za-z]{2,}', 0), w -> lower(w))").alias("w"))
+    words = "filter(split(text, '[^A-Za-z0-9+/_=-]+'), w -> length(w) >= 4)"
+    parts = left.select(F.col("text"), F.expr("transform(filter(split(text, '[^A-Za-z]+'), w -> length(w) >= 2), w -> lower(w))").alias("w"))
     threes = "if(size(w) < 3, array(), transform(sequence(0, size(w) - 3, 3), i -> struct(slice(w, i + 1, 3) as g, transform(slice(w, i + 1, 3), x -> initcap(x)) as c, i as i)))"
     named = """flatten(transform({}, t -> array(concat_ws('_', t.g), concat_ws('', t.c), concat(t.g[0], t.c[1], t.c[2]), concat_ws('-', t.g), concat_ws('/', t.g),
         upper(concat_ws('_', t.g)), concat(t.g[0], t.i, '_', t.g[1]))))""".format(threes)
