@@ -5,8 +5,8 @@ is one sign by its case (upper, lower, digits, other alphabets as lower), a word
 Each indicator is scaled by the log-ratio of its smoothed counts in the two classes; the counts are taken over all rows with a label. A linear model
 of the scaled indicators, each text's vector of length 1, is fitted to the hinge loss by dual coordinate descent.
 
-The fit uses a bounded part of the labelled rows, FIT_ROWS, chosen by hash. They are dealt to shards of about SHARD_ROWS rows, each fitted by its own
-descent, and the shards' weights are averaged. A logistic curve fitted to margins of all labelled rows, by a histogram of fixed size, makes margins scores.
+The fit uses a bounded part of the labelled rows, FIT_ROWS, chosen by hash, and is one descent over all of them in one task, whose size that bound
+fixes. A logistic curve fitted to margins of all labelled rows, by a histogram of fixed size, makes margins scores.
 
 Defined cases: a null text counts as empty, which has no features and gets the curve's value at the intercept; null labels and labels other than 0 and 1 are not learned
 from; several labels of one doc_id count as several rows; with one class or none to learn from the score is that class (0.5 for none); a null doc_id is not held out; extra columns are not read.
@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +25,8 @@ from entigraph.llm.common import map_rows, stored, table
 
 BITS = 17
 DIM = 1 << BITS
-#: At most about so many labelled rows are used for the hinge-loss fit, in shards of about so many.
-FIT_ROWS, SHARD_ROWS = 24_000, 2_000
+#: At most so many labelled rows, those of the least hashes, are used for the hinge-loss fit.
+FIT_ROWS = 6_000
 SMOOTH, COST, ROUNDS = 1.0, 1.0, 8
 THRESHOLD = 0.3
 #: The curve's histogram: so many steps between margins -LIMIT and LIMIT.
@@ -141,20 +140,22 @@ def descend(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, cost: float =
 
 
 def fit(rows: DataFrame, ratio: np.ndarray, n_rows: int) -> tuple[np.ndarray, float]:
-    part = min(1.0, FIT_ROWS / max(1, n_rows))
-    shards = max(1, round(n_rows * part / SHARD_ROWS))
+    """The descent over FIT_ROWS rows in a task of their own; what comes to the driver are DIM + 1 weights at most."""
+    part = min(1.0, 1.2 * FIT_ROWS / max(1, n_rows))  # a coarse cut, so that few rows are sorted
     mixed = F.xxhash64("doc_id", "text", "y")
-    chosen = rows.where(F.pmod(mixed, F.lit(1_000_003)) < part * 1_000_003).select(F.pmod(F.xxhash64(mixed, F.lit(1)), F.lit(shards)).alias("shard"), "text", "y")
+    chosen = rows.where(F.pmod(mixed, F.lit(1_000_003)) < part * 1_000_003).select(mixed.alias("h"), "text", "y").orderBy("h", "text", "y").limit(FIT_ROWS)
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["text", "y"], na_position="first")  # the same descent whenever it is run again
-        w, b = descend([(features(t), int(y)) for t, y in zip(pdf.text, pdf.y, strict=True)], ratio)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"feature": [*at.tolist(), -1], "w": [*w[at].tolist(), b]})
+    def descent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = [(features(t.as_py()), y) for b in batches for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
+        if data:
+            w, b = descend(data, ratio)
+            at = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*w[at].tolist(), b], pa.float64())], ["feature", "w"])
 
-    got = chosen.groupBy("shard").applyInPandas(shard, "feature int, w double").groupBy("feature").agg(F.sum("w").alias("w")).toPandas()  # DIM + 1 rows at most
+    # limit() leaves one partition, in order of the hash: the same descent whenever it is run again
+    got = chosen.select("text", "y").mapInArrow(descent, "feature int, w double").toPandas()
     w = np.zeros(DIM + 1)
-    w[got.feature] = got.w / shards  # -1, the intercept, is the last
+    w[got.feature] = got.w  # -1, the intercept, is the last
     return w[:-1], float(w[-1])
 
 
