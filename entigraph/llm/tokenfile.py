@@ -5,12 +5,13 @@ A token file is a folder with two Parquet datasets:
 - dictionary: one row (dict_hash, width, data): the dictionary trained on serialized id arrays of a bounded sample, and its SHA-256;
 - blocks: rows (part, block, dict_hash, doc_ids, n_tokens, offsets, frames). frames is the concatenation of the documents' zstandard frames and
   offsets their ends in it, so that a short document is read by cutting out and decompressing its own frame alone. Parts are ranges of doc_id in
-  ascending order; within a part blocks, and in a block documents, ascend.
+  ascending order, of about PART_CHARS characters; within a part blocks, and in a block documents, ascend.
 
 Spark's own writer makes them, so they may lie in any store that Spark reaches, and a lost task is simply written again.
 
-Defined cases: a null text is encoded as an empty one; an empty document still has its end id; a null doc_id comes first; rows of one doc_id are in
-the order of their texts; extra columns are not read; an empty table makes a file without blocks.
+Defined cases: a null text is encoded as an empty one; an empty document still has its end id; a null doc_id comes first; rows of one doc_id, which may
+fill several parts, are in the order of a hash of their texts; extra columns are not read; an empty table makes a file without blocks; a sample of fewer
+than MIN_SAMPLES texts or MIN_SAMPLE_BYTES bytes of ids is too little to train on, and is the dictionary as it is.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entigraph.llm.common import new_path, table
 
 END_ID = 1
-#: The dictionary is fitted on the ids of about so many documents, and at most so many ids of each.
+#: The dictionary is fitted on the ids of about so many documents, those of the least hashes, and at most so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4000, 65536
+MIN_SAMPLES, MIN_SAMPLE_BYTES = 16, 20 * 1024
+#: Characters of text in a part, about; there are no fewer parts than shuffle partitions.
+PART_CHARS = 64_000_000
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 CACHE = 400_000
 BLOCKS = "part int, block int, dict_hash string, doc_ids array<long>, n_tokens array<int>, offsets array<long>, frames binary"
@@ -105,43 +109,65 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def train_dictionary(docs: DataFrame, file: str) -> bytes:
-    """From documents chosen by hash: a bounded sample that does not depend on the partitions."""
+def train_dictionary(docs: DataFrame, file: str, n_docs: int) -> bytes:
+    """From SAMPLE_DOCS documents chosen by hash: a bounded sample that does not depend on the partitions."""
     rows = _plain(docs)
-    part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    part = min(1.0, 2 * SAMPLE_DOCS / max(1, n_docs))  # a coarse cut, so that few rows are sorted
     mixed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
-    rows = rows.where(mixed < part * 1_000_003).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(2 * SAMPLE_DOCS).collect()
+    least = rows.where(mixed < part * 1_000_003).select(mixed.alias("h"), "doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
+    rows = least.orderBy("h", "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()
     e = word_encoder(file)
     samples = sorted(b[: SAMPLE_IDS * e.type.itemsize] for b in e.encode([r.text for r in rows]) if len(b) >= 8)
-    if sum(map(len, samples)) < 20 * 1024 or len(samples) < 16:
-        return b"".join(samples)[:DICT_BYTES]  # too little to train on: its content alone, as a raw dictionary
+    if sum(map(len, samples)) < MIN_SAMPLE_BYTES or len(samples) < MIN_SAMPLES:
+        return b"".join(samples)[:DICT_BYTES]
     return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples, level=3).as_bytes()
 
 
+def _place(bounds: list[int], d: Column, equal: bool) -> Column:
+    """How many of the sorted bounds are less than d, or equal to it too: a binary search."""
+    at, n = F.lit(bounds).cast("array<bigint>"), len(bounds)
+    low = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def half(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        below = F.get(at, mid) <= d if equal else F.get(at, mid) < d
+        go = (a["lo"] < a["hi"]) & below
+        return F.struct(F.when(go, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(go, a["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), low, half, lambda a: a["lo"])
+
+
+def _dealt(docs: DataFrame, parts: int) -> DataFrame:
+    """docs (doc_id, text) with part and h, in parts of ascending doc_id, each in its order.
+
+    Parts end at the quantiles of doc_id, which read that column alone and are the same whenever a task is run again. A doc_id that is several quantiles
+    has several parts, dealt by h, a hash of the text."""
+    key, h = F.coalesce("doc_id", F.lit(-(2**63))), F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    part = F.lit(0)
+    if cuts:
+        first, behind = _place(cuts, key, False), _place(cuts, key, True)
+        part = first + F.floor((behind - first) * F.col("h") / (1 << 20))
+    out = docs.withColumn("h", h).withColumn("part", part.cast("int")).repartitionById(len(cuts or []) + 1, F.col("part"))
+    return out.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h", "text")
+
+
 def write_tokens(docs: DataFrame, path: str, file: str | None = None, end_id: int = END_ID, parts: int | None = None) -> None:
     """Encodes docs (doc_id, text) and writes the token file at path, in ascending doc_id order."""
     spark, file = docs.sparkSession, file or default_file()
     docs = _plain(docs)
-    data = train_dictionary(docs, file)
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    data = train_dictionary(docs, file, size.n)
     e = word_encoder(file)
     name, width, end = hashlib.sha256(data).hexdigest(), e.type.itemsize, np.array([end_id], e.type).tobytes()
     spark.createDataFrame([(name, width, bytearray(data))], "dict_hash string, width int, data binary").write.parquet(f"{path}/dictionary")
-    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Ranges of doc_id from its quantiles: reads that one column, and the ranges are the same whenever a task is run again.
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
-    else:
-        part = F.lit(0)
-    dealt = docs.withColumn("part", part.cast("int")).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = _dealt(docs, parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size.chars // PART_CHARS))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(file)
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data), write_checksum=False) if data else zstandard.ZstdCompressor(level=3)
         number: dict[int, int] = {}
-        ids, counts, frames, at = [], [], [], None
+        ids, counts, frames, filled, at = [], [], [], 0, None
 
         def block() -> pa.RecordBatch:
             k = number[at] = number.get(at, -1) + 1
@@ -152,13 +178,14 @@ def write_tokens(docs: DataFrame, path: str, file: str | None = None, end_id: in
             for lo in range(0, batch.num_rows, 256):
                 cut = batch.slice(lo, 256)
                 for p, d, b in zip(cut.column(2).to_pylist(), cut.column(0).to_pylist(), enc.encode(cut.column(1).to_pylist()), strict=True):
-                    if ids and (p != at or len(ids) >= BLOCK_DOCS or sum(map(len, frames)) >= BLOCK_BYTES):
+                    if ids and (p != at or len(ids) >= BLOCK_DOCS or filled >= BLOCK_BYTES):
                         yield block()
-                        ids, counts, frames = [], [], []
+                        ids, counts, frames, filled = [], [], [], 0
                     at = p
                     ids.append(d)
                     counts.append((len(b) + width) // width)
                     frames.append(press.compress(b + end))
+                    filled += len(frames[-1])
         if ids:
             yield block()
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -18,8 +19,14 @@ def test_word_encoder_is_the_library(text):
     assert got == LIB.encode(text, add_special_tokens=False).ids
 
 
+def hashed(text):
+    """The order of rows of one doc_id: Spark's hash of a string is this with seed 42, signed."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return (h - 2**64 if h >= 2**63 else h) % (1 << 20), text or ""
+
+
 def expected(rows):
-    rows, start, out = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), 0, []
+    rows, start, out = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1]))), 0, []
     for d, t, *_ in rows:
         ids = [*LIB.encode(t or "", add_special_tokens=False).ids, tf.END_ID]
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -64,3 +71,22 @@ def test_wrong_dictionary_is_refused(spark, tmp_path):
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tABetsin'.,0123<|>éßΣİ́"), st.characters(exclude_categories=["Cs", "Cn", "Co"])), max_size=60))
 def test_word_encoder_on_random_texts(text):
     assert np.frombuffer(OWN.encode([text])[0], "<u2").tolist() == LIB.encode(text, add_special_tokens=False).ids
+
+
+def test_a_doc_id_with_most_rows_fills_several_parts(spark, tmp_path):
+    """A third of the rows has one doc_id, another third none."""
+    r = np.random.default_rng(3)
+    rows = [(d, f"text {k} {r.integers(10**9)}", "", "") for k, d in enumerate([7] * 60 + [None] * 60 + list(range(60)))]
+    path = f"file://{tmp_path}/t"
+    tf.write_tokens(spark.createDataFrame(rows, SCHEMA), path, parts=12)
+    assert read(spark, path) == expected(rows)
+    parts = tf.read_blocks(spark, path).select("part", tf.F.explode("doc_ids").alias("d")).groupBy(tf.F.coalesce("d", tf.F.lit(-1)).alias("d")).agg(tf.F.countDistinct("part").alias("n")).collect()
+    assert {x.d: x.n > 2 for x in parts if x.d in (7, -1)} == {7: True, -1: True}
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=20), st.integers(-1, 10))
+@settings(max_examples=20, deadline=None)
+def test_binary_search(spark, bounds, d):
+    bounds = sorted(bounds)
+    at = spark.range(1).select(tf._place(bounds, tf.F.lit(d).cast("long"), False), tf._place(bounds, tf.F.lit(d).cast("long"), True)).first()
+    assert tuple(at) == (sum(b < d for b in bounds), sum(b <= d for b in bounds))
