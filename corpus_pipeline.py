@@ -2,6 +2,9 @@
 
 STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
 columns of documents. run() writes each stage's result to the shared folder and reads it again.
+
+Defined cases, of every stage: null and empty texts, texts of any length, ties, repeated rows and null ids are taken as the stage's operator says; columns
+besides those of documents are dropped by all but the last, which gives its own three; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of each document; a null text is encoded as an empty one, without ids."""
     return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -53,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents of sf_dir; benchmark is the other table that is read."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

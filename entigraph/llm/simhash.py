@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entigraph.llm.common import map_rows, row_key, stored, table
+from entigraph.llm.common import map_rows, row_key, stored, table, unused
 from entigraph.llm.components import components
 
 SEED, WIDTH = 42, 3
@@ -87,13 +87,15 @@ def links(fps: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id (nulls last), of its texts and repeated rows one."""
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_t": row_key(F.col("text").cast("string"))})
-    fps = map_fingerprints(keyed.select("_d", "_t", F.col("text").cast("string")), width)
+    keys = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_t": row_key(F.col("text").cast("string"))}
+    fps = map_fingerprints(docs.select(*[c.alias(n) for n, c in keys.items()], F.col("text").cast("string").alias("text")), width)
     rows = stored(fps, "simhash-fp")
     roots = components(links(rows.select("fp").distinct())).withColumnRenamed("node", "fp")
     first = rows.groupBy("fp").agg(F.min(F.struct("_d", "_t")).alias("first")).join(roots, "fp", "left")
     first = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first._d", "first._t")
-    return keyed.join(first, ["_d", "_t"]).dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    own = {n: unused(docs, n) for n in keys}  # the caller's columns stay as they are
+    keyed = docs.withColumns({own[n]: c for n, c in keys.items()})
+    return keyed.join(first.withColumnsRenamed(own), list(own.values())).dropDuplicates(list(own.values())).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
