@@ -77,3 +77,16 @@ def stem(w: str) -> str:
 def stem_column(words: pd.Series) -> pd.Series:
     known = {w: stem(w) for w in words.dropna().unique()}
     return words.map(known)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_arrays(texts: pd.Series) -> pd.Series:
+    """The words of each text stemmed, in their places: no word leaves its row, and a batch's distinct words are stemmed once."""
+    known: dict[str, str] = {}
+
+    def one(w: str) -> str:
+        if (s := known.get(w)) is None:
+            s = known[w] = stem(w)
+        return s
+
+    return texts.map(lambda words: None if words is None else [one(w) for w in words])

@@ -9,8 +9,8 @@ UUID = "(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
 def raw_tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits of any alphabet."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits of any alphabet. Cut at what is between them: regexp_extract_all() copies the text for each match."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def slugify(c: Column) -> Column:

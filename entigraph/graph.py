@@ -78,22 +78,50 @@ class TypedGraph:
     def scan_named(self, name: str) -> DataFrame:
         return self.scan_instances(name).where(F.col("ident").isNotNull())
 
-    def edges(self, predicates: Iterable[str] | None = None, include_type: bool = False) -> DataFrame:
-        """(src, predicate, dst), distinct, of every reference slot of every class table, or of some predicates; include_type adds (id, type, class)."""
+    def edges(self, predicates: Iterable[str] | None = None, include_type: bool = False, near: str | None = None) -> DataFrame:
+        """(src, predicate, dst) of every reference slot of every class table, or of some predicates; include_type adds (id, type, class).
+
+        Ids are taken to be unique: an id that stands in two rows has its edges twice; the values of a many-valued slot are told once. near: only references
+        from or to instances of a class or of those below it, as the class model allows; other tables and slots are not read."""
         wanted, parts = None if predicates is None else set(predicates), []
+        close = None if near is None else set(self.registry.family(near))
         for c in self.sources:
-            refs = [s for s in self.registry.slots_of(c) if s.is_ref and (wanted is None or s.name in wanted)]
-            typed = include_type and (wanted is None or "type" in wanted)
-            if not refs and not typed:
-                continue
-            df = self.sources[c]
-            for s in refs:
-                if s.name in df.columns:
-                    dst = F.explode(s.name) if s.many else F.col(s.name)
-                    e = df.select(F.col("id").alias("src"), F.lit(s.name).alias("predicate"), dst.alias("dst")).where(F.col("dst").isNotNull())
-                    parts.append(e.distinct() if s.many else e)
+            refs = [s for s in self.registry.slots_of(c) if s.is_ref and (wanted is None or s.name in wanted) and (close is None or c in close or self._meets(s.range, close))]
+            typed = include_type and (wanted is None or "type" in wanted) and (close is None or c in close)
+            parts += self._edges_of(c, refs)
             if typed:
-                parts.append(df.select(F.col("id").alias("src"), F.lit("type").alias("predicate"), F.lit(c).alias("dst")))
+                parts.append(self.sources[c].select(F.col("id").alias("src"), F.lit("type").alias("predicate"), F.lit(c).alias("dst")))
+        return self._union(parts)
+
+    def edges_within(self, name: str, hops: int, direction: str = "forward", predicates: Iterable[str] | None = None) -> DataFrame:
+        """The edges that a walk of so many hops from instances of a class can take, by the class model: a table is read if it lies within reach."""
+        wanted = None if predicates is None else set(predicates)
+        all_refs = [(c, s) for c in self.sources for s in self.registry.slots_of(c) if s.is_ref and (wanted is None or s.name in wanted)]
+        reached, taken = set(self.registry.family(name)), set()
+        for _ in range(hops):
+            new = set()
+            for c, s in all_refs:
+                if direction != "inverse" and c in reached:
+                    taken.add((c, s.name))
+                    new |= set(self.registry.family(s.range))
+                if direction != "forward" and self._meets(s.range, reached):
+                    taken.add((c, s.name))
+                    new.add(c)
+            reached |= new
+        return self._union([e for c in self.sources for e in self._edges_of(c, [s for d, s in all_refs if d == c and (c, s.name) in taken])])
+
+    def _meets(self, range_: str, classes: set[str]) -> bool:
+        return not classes.isdisjoint(self.registry.family(range_))
+
+    def _edges_of(self, name: str, refs: list) -> list[DataFrame]:
+        df, out = self.sources[name] if refs else None, []
+        for s in refs:
+            if s.name in df.columns:
+                dst = F.explode(F.array_distinct(s.name)) if s.many else F.col(s.name)
+                out.append(df.select(F.col("id").alias("src"), F.lit(s.name).alias("predicate"), dst.alias("dst")).where(F.col("dst").isNotNull()))
+        return out
+
+    def _union(self, parts: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], EDGES)
 
     def where(self, name: str, *clauses, slots: Iterable[str] | None = None) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Conditions of triggered jobs by name: a Column over an event and a job; null is false.
-CONDITIONS: dict[str, Callable[[], Column]] = {}
+from entigraph.operators.rules import Rule, holds, names_in
 
+#: Conditions of triggered jobs by name: a Column over an event and a job; null is false. Calls may bring their own.
+CONDITIONS: dict[str, Rule] = {}
 
-def register_condition(name: str, rule: Callable[[], Column]) -> None:
+
+def register_condition(name: str, rule: Rule) -> None:
     CONDITIONS[name] = rule
 
 
@@ -43,15 +45,13 @@ def job_outcomes(executions: DataFrame, max_attempts: int = 3) -> DataFrame:
     return out.select("job", "attempts", "duration_ms", outcome.alias("outcome"))
 
 
-def triggered_matches(events: DataFrame, table: DataFrame) -> DataFrame:
+def triggered_matches(events: DataFrame, table: DataFrame, conditions: Mapping[str, Rule] | None = None) -> DataFrame:
     """(event, job): events (id, kind, source ...) that start jobs (id, trigger_event, trigger_source, trigger_condition). The events may be a stream."""
-    holds = F.when(F.col("trigger_condition").isNull(), True)
-    for name, rule in CONDITIONS.items():
-        holds = holds.when(F.col("trigger_condition") == name, F.coalesce(rule(), F.lit(False)))
     e = events.withColumnRenamed("id", "event")
     j = table.withColumnRenamed("id", "job")
     both = e.join(j, e["kind"] == j["trigger_event"])
-    return both.where((F.col("trigger_source").isNull() | (F.col("trigger_source") == F.col("source"))) & holds.otherwise(False)).select("event", "job")
+    met = holds(both, F.col("trigger_condition"), names_in(table, "trigger_condition"), CONDITIONS if conditions is None else conditions)
+    return both.where((F.col("trigger_source").isNull() | (F.col("trigger_source") == F.col("source"))) & met).select("event", "job")
 
 
 def job_stats(table: DataFrame) -> DataFrame:

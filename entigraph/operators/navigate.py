@@ -50,9 +50,12 @@ def directory(path: Column) -> Column:
 
 
 def siblings(seeds: DataFrame, rows: DataFrame, path: str, limit: int = 0) -> DataFrame:
-    """(seed, node): rows in the same directory as a seed, itself left out; rows at the root are each other's siblings."""
+    """(seed, node): rows in the same directory as a seed, itself left out; rows at the root are each other's siblings. With a limit each directory is cut to its
+    first limit + 1 rows before it meets its seeds, so that a large one costs a seed no more than a small one."""
     placed = rows.select("id", directory(F.col(path)).alias("dir")).where(F.col(path).isNotNull())
     asked = placed.join(seeds.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("seed"), "dir")
+    if limit:
+        placed = placed.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy("id"))).where(F.col("n") <= limit + 1).drop("n")
     out = placed.join(asked, "dir").where("id <> seed").select("seed", F.col("id").alias("node"))
     if limit:
         out = out.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("n") <= limit).drop("n")
@@ -68,7 +71,7 @@ def graph_walk(seeds: DataFrame, edges: DataFrame, hops: int | None = 4, directi
     way = lambda a, b, d: edges.select(F.col(a).alias("node"), F.struct("predicate", F.lit(d).alias("direction"), F.col(b).alias("node")).alias("step"))
     ways = {"forward": [("src", "dst", "forward")], "inverse": [("dst", "src", "inverse")], "both": [("src", "dst", "forward"), ("dst", "src", "inverse")]}[direction]
     steps = reduce(DataFrame.union, [way(*w) for w in ways])
-    if hops is None or hops > 2:  # many rounds read it: what makes the edges runs once
+    if hops != 1:  # each round reads it: what makes the edges runs once
         steps = stored(steps, "walk-steps")
     new = _seeds(seeds).select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
     if paths:
@@ -94,8 +97,18 @@ def realize_bundle(seeds: DataFrame, rows: DataFrame, edges: DataFrame, predicat
 
 
 def section_chain(sections: DataFrame, following: str = "next_sibling") -> DataFrame:
-    """(head, id, ord): sections in the order of their chain of next siblings; a head is nobody's next."""
-    links = sections.select(F.col("id").alias("src"), F.lit("next").alias("predicate"), F.col(following).alias("dst")).where("dst is not null")
-    heads = sections.select("id").join(links.select(F.col("dst").alias("id")), "id", "left_anti")
-    walk = graph_walk(heads, links, None).select(F.col("seed").alias("head"), F.col("node").alias("id"), F.col("hop").alias("ord"))
-    return heads.select(F.col("id").alias("head"), "id", F.lit(0).alias("ord")).union(walk)
+    """(head, id, ord): sections in the order of their chain of next siblings; a head is nobody's next, and chains without one are left out.
+
+    Each section's pointer to one before it is doubled until it is the head: a round for each doubling of the longest chain, not for each link."""
+    links = sections.select(F.col("id").alias("to"), F.col(following).alias("id")).where("id is not null").distinct()
+    heads = sections.select("id").distinct().join(links, "id", "left_anti")
+    now = links.join(heads.select(F.col("id").alias("to"), F.lit(True).alias("done")), "to", "left")
+    now = stored(now.select("id", "to", F.lit(1).alias("d"), F.coalesce("done", F.lit(False)).alias("done")), "chain")
+    out, left = now.where("done"), -1
+    while (n := now.where("not done").count()) and n != left:
+        left = n
+        further = now.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("d").alias("more"), F.col("done").alias("there"))
+        moved = now.where("not done").join(further, "to").select("id", F.col("beyond").alias("to"), (F.col("d") + F.col("more")).alias("d"), F.col("there").alias("done"))
+        now = stored(moved.unionByName(now.where("done")).groupBy("id", "to", "done").agg(F.min("d").alias("d")).select("id", "to", "d", "done"), "chain")
+        out = now.where("done")
+    return heads.select(F.col("id").alias("head"), "id", F.lit(0).alias("ord")).union(out.select(F.col("to").alias("head"), "id", F.col("d").alias("ord")))

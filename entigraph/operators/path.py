@@ -30,8 +30,9 @@ for _name, _rule in {
     "some?": lambda c: c.isNotNull(), "nil?": lambda c: c.isNull(), "string?": lambda c: c.isNotNull(), "keyword?": lambda c: c.rlike("^:?[^/]+/.+$"),
     "blank?": lambda c: F.trim(c) == "", "empty?": lambda c: F.length(c) == 0, "not-empty?": lambda c: F.length(c) > 0, "uuid?": lambda c: c.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"),
     "number?": lambda c: c.try_cast("double").isNotNull(), "integer?": lambda c: c.try_cast("bigint").isNotNull(), "even?": lambda c: F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint") % 2 == 0,
-    "odd?": lambda c: F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint") % 2 == 1, "pos?": lambda c: F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint") > 0,
-    "zero?": lambda c: F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint") == 0, "any?": lambda c: F.lit(True),
+    "odd?": lambda c: F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint") % 2 == 1, "pos?": lambda c: F.regexp_extract(c, "(-?[0-9]+)$", 1).try_cast("bigint") > 0,
+    "zero?": lambda c: F.regexp_extract(c, "([0-9]+)$", 1).try_cast("bigint") == 0, "any?": lambda c: F.lit(True), "neg?": lambda c: F.regexp_extract(c, "(-?[0-9]+)$", 1).try_cast("bigint") < 0,
+    "true?": lambda c: c == "true", "false?": lambda c: c == "false", "not-empty": lambda c: F.length(c) > 0, "coll?": lambda c: F.lit(False), "map?": lambda c: F.lit(False),  # an id is a string
 }.items():
     register_test(_name, _rule)
 

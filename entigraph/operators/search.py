@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entigraph.functions.stem import stem_column
+from entigraph.functions.stem import stem_arrays, stem_column
 from entigraph.functions.text import raw_tokens
+from entigraph.scratch import stored
 
 K1, B = 1.2, 0.75
 Analyzer = Callable[[Column], Column]
@@ -20,16 +21,27 @@ def _text(rows: DataFrame, field: str) -> Column:
     return F.array_join(field, " ") if rows.schema[field].dataType.typeName() == "array" else F.col(field)
 
 
-def tokens(rows: DataFrame, fields: Iterable[str], analyzer: Analyzer = raw_tokens) -> DataFrame:
+def analysed(rows: DataFrame, fields: Iterable[str], analyzer: Analyzer = raw_tokens, stem: bool = False) -> DataFrame:
+    """(id, field, words, terms) with a row for every entity and field: its words in order, and the terms that stand for them (their stems)."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), analyzer(_text(rows, f)).alias("words")) for f in fields])
+    out = rows.select("id", F.explode(each).alias("f")).select("id", "f.field", "f.words")
+    return out.withColumn("terms", stem_arrays("words") if stem else F.col("words"))
+
+
+def _placed(fields: DataFrame) -> DataFrame:
+    """(id, field, pos, term, word) of analysed fields."""
+    each = fields.select("id", "field", F.posexplode(F.arrays_zip("terms", "words")).alias("pos", "t"))
+    return each.select("id", "field", "pos", F.col("t.terms").alias("term"), F.col("t.words").alias("word"))
+
+
+def tokens(rows: DataFrame, fields: Iterable[str], analyzer: Analyzer = raw_tokens, stem: bool = False) -> DataFrame:
     """(id, field, pos, term)."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), analyzer(_text(rows, f)).alias("terms")) for f in fields])
-    return rows.select("id", F.explode(each).alias("f")).select("id", "f.field", F.posexplode("f.terms").alias("pos", "term"))
+    return _placed(analysed(rows, fields, analyzer, stem)).drop("word")
 
 
 def stemmed(terms: DataFrame) -> DataFrame:
-    """A table with a column term, its words stemmed: the stemmer sees each distinct word once."""
-    words = terms.select("term").distinct().withColumn("stem", stem_column("term"))
-    return terms.join(words, "term").drop("term").withColumnRenamed("stem", "term")
+    """A table with a column term, its words stemmed in batches, where they are."""
+    return terms.withColumn("term", stem_column("term"))
 
 
 def postings(terms: DataFrame) -> DataFrame:
@@ -39,8 +51,7 @@ def postings(terms: DataFrame) -> DataFrame:
 
 def field_lengths(rows: DataFrame, fields: Iterable[str], analyzer: Analyzer = raw_tokens) -> DataFrame:
     """(id, field, len) with a row for every entity and field, 0 for empty ones."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.size(analyzer(_text(rows, f))).alias("len")) for f in fields])
-    return rows.select("id", F.explode(each).alias("f")).select("id", "f.field", "f.len")
+    return analysed(rows, fields, analyzer).select("id", "field", F.size("words").alias("len"))
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
@@ -53,35 +64,61 @@ def average_lengths(lengths: DataFrame) -> DataFrame:
 
 
 class Index:
-    """What a class's searches share. Written once (see save), a query reads the postings of its terms only."""
+    """What a class's searches share. Terms are stems, in texts, queries and conditions alike, unless stem is false.
 
-    def __init__(self, rows: DataFrame, weights: dict[str, float], analyzer: Analyzer = raw_tokens, stem: bool = False) -> None:
+    A query keeps of each text the terms that it asks for before anything is grouped or shuffled. Of a saved index it reads only its terms' postings, texts not at all."""
+
+    def __init__(self, rows: DataFrame, weights: dict[str, float], analyzer: Analyzer = raw_tokens, stem: bool = True) -> None:
         if not weights:
             raise ValueError("no field weights: the class declares none and none were given")
-        self.rows, self.weights, self.stem = rows, dict(weights), stem
-        terms = tokens(rows, self.weights, analyzer)
-        self.terms = stemmed(terms) if stem else terms
-        self.postings, self.lengths = postings(self.terms), field_lengths(rows, self.weights, analyzer)
+        self.rows, self.weights, self.analyzer, self.stem = rows, dict(weights), analyzer, stem
+        self.fields = analysed(rows, self.weights, analyzer, stem)
+        self.terms = _placed(self.fields)
+        self.postings = postings(self.terms)
+        self.lengths = field_lengths(rows, self.weights, analyzer)
+        self.averages = average_lengths(self.lengths)
         self.n = rows.agg(F.countDistinct("id").alias("n_docs"))
+        self.saved: DataFrame | None = None
+
+    def analyse(self, texts: DataFrame, column: str) -> DataFrame:
+        """texts with their column as the array of its terms."""
+        out = texts.withColumn(column, self.analyzer(F.col(column)))
+        return out.withColumn(column, stem_arrays(column)) if self.stem else out
+
+    def terms_of(self, texts: Iterable[str]) -> list[list[str]]:
+        """The terms of a few texts that a caller gives."""
+        if not (rows := list(enumerate(texts))):
+            return []
+        got = self.analyse(self.rows.sparkSession.createDataFrame(rows, "i int, t string"), "t").collect()
+        return [list(r.t) for r in sorted(got)]
 
     def queries(self, query) -> DataFrame:
         """(query_id, term), distinct, from a text or a DataFrame (query_id, query)."""
         if isinstance(query, str):
             query = self.rows.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
-        terms = query.select("query_id", F.explode(raw_tokens(F.col("query"))).alias("term")).distinct()
-        return stemmed(terms).distinct() if self.stem else terms
+        return self.analyse(query.select("query_id", "query"), "query").select("query_id", F.explode("query").alias("term")).distinct()
+
+    def _hits(self, asked: DataFrame) -> DataFrame:
+        """(id, field, term, tf, len) of the terms asked for."""
+        if self.saved is not None:
+            out = self.saved.join(asked, "term", "left_semi").groupBy("id", "field", "term").agg(F.sum(F.size("positions")).alias("tf"), F.first("len").alias("len"))
+        else:
+            each = self.fields.select("id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+            out = each.join(asked, "term", "left_semi").groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        return stored(out, "search-hits")
 
     def _matched(self, query, weights: dict[str, float] | None) -> DataFrame:
         """(query_id, id, field, term, wtf, idf): the weighted, length-normalised frequency of each query term in each field."""
         weights = weights or self.weights
-        asked = self.queries(query)
-        hit = self.postings.join(asked, "term")
-        df = hit.groupBy("query_id", "term").agg(F.countDistinct("id").alias("df"))
+        asked = stored(self.queries(query), "search-terms")
+        hit = self._hits(asked.select("term").distinct())
+        df = document_frequencies(hit)
         w = F.create_map(*[x for f, v in weights.items() for x in (F.lit(f), F.lit(float(v)))])
-        out = hit.join(df, ["query_id", "term"]).join(self.lengths, ["id", "field"]).join(average_lengths(self.lengths), "field").crossJoin(self.n)
+        out = hit.join(df, "term").join(self.averages, "field").crossJoin(self.n)
         norm = F.when(F.col("avgdl") > 0, 1 - B + B * F.col("len") / F.col("avgdl")).otherwise(1.0)
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return out.withColumn("weight", w[F.col("field")]).where("weight is not null").select("query_id", "id", "field", "term", "df", (F.col("weight") * F.col("tf") / norm).alias("wtf"), idf.alias("idf"))
+        out = out.withColumn("weight", w[F.col("field")]).where("weight is not null").select("id", "field", "term", "df", (F.col("weight") * F.col("tf") / norm).alias("wtf"), idf.alias("idf"))
+        return out.join(asked, "term").select("query_id", "id", "field", "term", "df", "wtf", "idf")
 
     def explain(self, query, weights: dict[str, float] | None = None) -> DataFrame:
         """(query_id, id, term, df, idf, tilde_tf, contribution); contributions sum to the score."""
@@ -99,13 +136,21 @@ class Index:
         return m.groupBy("query_id", "id", "field").agg(F.sum("c").alias("score"))
 
     def save(self, path: str) -> None:
-        """Postings in order of term, so that a query's terms are found by the files' statistics."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        """Postings with their positions, in order of term, so that a query's terms are found by the files' statistics; lengths and statistics beside them."""
+        lengths = self.fields.select("id", "field", F.size("terms").alias("len"), F.posexplode(F.arrays_zip("terms", "words")).alias("pos", "t"))
+        posted = lengths.groupBy("id", "field", F.col("t.terms").alias("term"), F.col("t.words").alias("word")).agg(F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        posted.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
+        self.averages.write.parquet(f"{path}/averages")
+        self.n.write.parquet(f"{path}/n")
 
     def load(self, path: str) -> Index:
+        """From here on what save() wrote at path is read, instead of the texts."""
         spark = self.rows.sparkSession
-        self.postings, self.lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        read = lambda what: spark.read.parquet(f"{path}/{what}")
+        self.saved, self.lengths, self.averages, self.n = read("postings"), read("lengths"), read("averages"), read("n")
+        self.terms = self.saved.select("id", "field", F.explode("positions").alias("pos"), "term", "word")
+        self.postings = self.saved.groupBy("id", "field", "term").agg(F.sum(F.size("positions")).alias("tf"))
         return self
 
 
@@ -135,29 +180,28 @@ def snippet(text: Column, query: str, width: int = 120) -> Column:
     return F.when(at.isNotNull(), marked)
 
 
-def field_index(rows: DataFrame, field: str, fulltext: Iterable[str], **more) -> Index:
-    """Over one full-text slot; other slots are refused."""
+def field_index(rows: DataFrame, field: str, fulltext: Iterable[str], stem: bool = False, **more) -> Index:
+    """Over one full-text slot, its words as they are; other slots are refused."""
     if field not in set(fulltext):
         raise ValueError(f"{field} is no full-text slot")
-    return Index(rows, {field: 1.0}, **more)
+    return Index(rows, {field: 1.0}, stem=stem, **more)
 
 
 def matching(index: Index, all_of: Iterable[str] = (), any_of: Iterable[str] = (), none_of: Iterable[str] = (), phrase: str | None = None, prefix: str | None = None, fuzzy: str | None = None, distance: int = 2) -> DataFrame:
-    """(id) of entities that meet all the conditions given."""
+    """(id) of entities that meet all the conditions given. Conditions are analysed as texts are: one of several words asks for each of them. prefix and fuzzy, lower-cased, are held against words, not stems."""
     terms, ids = index.terms, index.rows.select("id").distinct()
-    all_of, any_of, none_of = list(dict.fromkeys(all_of)), list(any_of), list(none_of)
+    all_of, any_of, none_of = (list(dict.fromkeys(t for words in index.terms_of(x) for t in words)) for x in (all_of, any_of, none_of))
     if all_of:
         has = terms.where(F.col("term").isin(all_of)).groupBy("id").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(all_of))
         ids = ids.join(has, "id", "left_semi")
     tests = [F.col("term").isin(any_of)] if any_of else []
-    tests += [F.col("term").startswith(prefix)] if prefix else []
-    tests += [F.levenshtein("term", F.lit(fuzzy), distance) >= 0] if fuzzy else []
+    tests += [F.col("word").startswith(prefix.lower())] if prefix else []
+    tests += [F.levenshtein("word", F.lit(fuzzy.lower()), distance) >= 0] if fuzzy else []
     for t in tests:
         ids = ids.join(terms.where(t).select("id").distinct(), "id", "left_semi")
     if none_of:
         ids = ids.join(terms.where(F.col("term").isin(none_of)), "id", "left_anti")
-    if phrase:
-        words = phrase.split()
+    if phrase and (words := index.terms_of([phrase])[0]):
         at = [terms.where(F.col("term") == w).select("id", "field", (F.col("pos") - i).alias("start")) for i, w in enumerate(words)]
         found = reduce(lambda a, b: a.join(b, ["id", "field", "start"]), at)
         ids = ids.join(found, "id", "left_semi")

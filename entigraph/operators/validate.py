@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entigraph.functions.text import UUID
 from entigraph.model import TypeRegistry
+from entigraph.operators.rules import Rule, resolved
 
 ERROR = "struct<slot:string,error:string>"
-#: Rules by class: a Column that is null where a row is valid, and else what is wrong.
-VALIDATORS: dict[str, Callable[[], Column]] = {}
+#: Rules by class: a Column that is null where a row is valid, and else what is wrong. Calls may bring their own. A rule that can fail is given as per_row(..., failed=failure), or
+#: made of try_ functions; one that asks for columns that are not there is an error of every row.
+VALIDATORS: dict[str, Rule] = {}
 
 
-def register_validator(name: str, rule: Callable[[], Column]) -> None:
+def register_validator(name: str, rule: Rule) -> None:
     VALIDATORS[name] = rule
 
 
+def failure(e: Exception) -> str:
+    """What a rule that fails says of the row."""
+    return f"validator-error: {type(e).__name__}"
+
+
 def _error(slot: str, error: str) -> Column:
     return F.struct(F.lit(slot).alias("slot"), F.lit(error).alias("error"))
 
@@ -39,8 +46,8 @@ def _bad_literal(df: DataFrame, slot: str, range_: str) -> Column | None:
     return F.col(slot).isNotNull() & ~F.col(slot).rlike(UUID) if range_ == "uuid" else None
 
 
-def row_errors(df: DataFrame, registry: TypeRegistry, name: str, custom: bool = True) -> Column:
-    """Array of errors of a row: required, type, cardinality, abstract class, and the class's own rule."""
+def row_errors(df: DataFrame, registry: TypeRegistry, name: str, validators: Mapping[str, Rule] | None = None) -> Column:
+    """Array of errors of a row: required, type, cardinality, abstract class, and the class's own rule among the validators."""
     tests: list[tuple[Column, Column]] = []
     if registry.classes[name].abstract:
         tests.append((F.lit(True), _error("class", "abstract-class")))
@@ -56,15 +63,16 @@ def row_errors(df: DataFrame, registry: TypeRegistry, name: str, custom: bool =
         if not s.many and df.schema[s.name].dataType.typeName() == "array":
             tests.append((F.size(s.name) > 1, _error(s.name, "invalid-cardinality")))
     found = [F.when(test, error) for test, error in tests]
-    if custom and name in VALIDATORS:
-        message = VALIDATORS[name]()
+    if name in (validators or {}):
+        message = resolved(df, validators[name])
+        message = F.lit("validator-error: columns are missing") if message is None else message
         found.append(F.when(message.isNotNull(), F.struct(F.lit("").alias("slot"), message.alias("error"))))
     return F.array_compact(F.array(*found)) if found else F.array().cast(f"array<{ERROR}>")
 
 
 def validate_data(df: DataFrame, registry: TypeRegistry, name: str) -> DataFrame:
     """(id, slot, error) of rows before they are written; no custom rule."""
-    return df.select("id", F.explode(row_errors(df, registry, name, custom=False)).alias("e")).select("id", "e.slot", "e.error")
+    return df.select("id", F.explode(row_errors(df, registry, name)).alias("e")).select("id", "e.slot", "e.error")
 
 
 def dangling(df: DataFrame, slot: str, targets: DataFrame) -> DataFrame:
@@ -80,18 +88,21 @@ def class_errors(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return known.select("id", F.lit("class").alias("slot"), error.alias("error")).where("error is not null")
 
 
-def validate(df: DataFrame, registry: TypeRegistry, name: str, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def validate(df: DataFrame, registry: TypeRegistry, name: str, targets: dict[str, DataFrame] | None = None, validators: Mapping[str, Rule] | None = None) -> DataFrame:
     """(id, slot, error): all checks; targets gives the instances that references of a slot must be among."""
-    out = df.select("id", F.explode(row_errors(df, registry, name)).alias("e")).select("id", "e.slot", "e.error")
+    out = df.select("id", F.explode(row_errors(df, registry, name, VALIDATORS if validators is None else validators)).alias("e")).select("id", "e.slot", "e.error")
     for slot, ids in (targets or {}).items():
         out = out.union(dangling(df, slot, ids))
     return out
 
 
-def validate_all(df: DataFrame, errors: DataFrame) -> DataFrame:
-    """(total, valid, invalid) for rows and their errors."""
-    bad = errors.select("id").distinct().withColumn("bad", F.lit(1))
-    out = df.select("id").join(bad, "id", "left").agg(F.count("*").alias("total"), F.coalesce(F.sum("bad"), F.lit(0)).alias("invalid"))
+def validate_all(df: DataFrame, registry: TypeRegistry, name: str, targets: dict[str, DataFrame] | None = None, validators: Mapping[str, Rule] | None = None) -> DataFrame:
+    """(total, valid, invalid) of the rows, which are read once: each is flagged where it is, and only references are joined to their targets."""
+    rows = df.withColumn("_bad", F.size(row_errors(df, registry, name, VALIDATORS if validators is None else validators)) > 0).select("_bad", *(targets or {}))
+    for slot, ids in (targets or {}).items():
+        rows = rows.join(ids.select(F.col("id").alias(slot)).distinct().withColumn("_found", F.lit(True)), slot, "left")
+        rows = rows.withColumn("_bad", F.col("_bad") | (F.col(slot).isNotNull() & F.col("_found").isNull())).drop("_found")
+    out = rows.agg(F.count("*").alias("total"), F.count_if("_bad").alias("invalid"))
     return out.select("total", (F.col("total") - F.col("invalid")).alias("valid"), "invalid")
 
 

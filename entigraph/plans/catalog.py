@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entigraph.operators import access, aggregate, changes, events, hierarchy, jobs, navigate, path, search, validate, workflow
+from entigraph.operators.rules import per_row
 from entigraph.plans import demo
 from entigraph.plans.demo import CLASSES_SQL, CLOSURE_SQL, EDGES_SQL, PROPERTIES_SQL, SLOTS_SQL, table
 
@@ -31,6 +32,34 @@ def classes(g):
     return g.registry.class_frame(g.spark), g.registry.property_frame(g.spark)
 
 
+# a class model that lies in a table: parts by brand, type and size
+
+
+def _taxonomy(spark, sf_dir):
+    """(class, abstract, subclass_of, slots) and (slot, domain, range, cardinality, required) of all brands, types and sizes of parts."""
+    p = table(spark, sf_dir, "part").where("p_brand is not null and p_type is not null and p_size is not null")
+    kind, none = F.concat_ws("/", "p_brand", "p_type"), F.array().cast("array<string>")
+    of = lambda c: F.concat(F.lit("of "), c)
+    root = p.groupBy().agg(F.lit("Part").alias("class"), F.lit(True).alias("abstract"), none.alias("subclass_of"), F.array(F.lit("code")).alias("slots"))
+    brands = p.select(F.col("p_brand").alias("class"), F.lit(True).alias("abstract"), F.array(F.lit("Part")).alias("subclass_of"), F.array(of(F.col("p_brand"))).alias("slots")).distinct()
+    kinds = p.select(kind.alias("class"), F.lit(False).alias("abstract"), F.array("p_brand").alias("subclass_of"), F.array(of(kind), F.lit("code")).alias("slots")).distinct()
+    sizes = p.select(F.concat_ws("/", kind, F.col("p_size").cast("string")).alias("class"), F.lit(False).alias("abstract"), F.array(kind).alias("subclass_of"), none.alias("slots")).distinct()
+    c = root.union(brands).union(kinds).union(sizes)
+    own = c.select("class", F.explode("slots").alias("slot")).groupBy("slot").agg(F.min_by("class", F.length("class")).alias("domain"))
+    level = F.size(F.split("domain", "/"))
+    properties = own.select("slot", "domain", F.when(level == 2, "long").otherwise("string").alias("range"), F.when(F.col("domain") == "Part", "many").otherwise("one").alias("cardinality"), ((level == 1) & (F.col("domain") != "Part")).alias("required"))
+    return c, properties
+
+
+_TAX = """p AS (SELECT * FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL), tax AS (
+  SELECT 'Part' AS class, true AS abstract, NULL AS parent, ['code'] AS own FROM (SELECT count(*) FROM p) UNION ALL SELECT DISTINCT p_brand, true, 'Part', ['of ' || p_brand] FROM p
+  UNION ALL SELECT DISTINCT p_brand || '/' || p_type, false, p_brand, ['of ' || p_brand || '/' || p_type, 'code'] FROM p UNION ALL SELECT DISTINCT p_brand || '/' || p_type || '/' || p_size, false, p_brand || '/' || p_type, [] FROM p)"""
+_CLASSES = f"{_TAX}, classes AS (SELECT class, abstract, parent FROM tax)"
+_SLOTS = "slots AS (SELECT class, unnest(own) AS slot FROM tax)"
+_PROPERTIES = "properties AS (SELECT slot, domain, CASE WHEN contains(domain, '/') THEN 'long' ELSE 'string' END AS range, CASE domain WHEN 'Part' THEN 'many' ELSE 'one' END AS cardinality, domain <> 'Part' AND NOT contains(domain, '/') AS required FROM (SELECT slot, arg_min(class, length(class)) AS domain FROM (SELECT class, unnest(own) AS slot FROM tax) GROUP BY slot))"
+_CLOSURE = f"{_CLASSES}, up AS (SELECT class, parent AS ancestor FROM classes WHERE parent IS NOT NULL UNION SELECT up.class, c.parent FROM up JOIN classes c ON c.class = up.ancestor WHERE c.parent IS NOT NULL)"
+
+
 # A: scans, edges, JSON, CSV, coercion, writes
 
 
@@ -54,9 +83,9 @@ def _(g):
     return g.scan_named("Resource").select("id", "ident")
 
 
-@query("a5_load_model", f"WITH {CLASSES_SQL}, {SLOTS_SQL} SELECT c.class, c.abstract, c.parent, count(s.slot) AS n_slots FROM classes c LEFT JOIN slots s USING (class) GROUP BY ALL")
-def _(g):
-    return classes(g)[0].select("class", "abstract", F.get("subclass_of", F.lit(0)).alias("parent"), F.size("slots").cast("long").alias("n_slots"))
+@query("a5_load_model", f"WITH {_CLASSES}, {_SLOTS} SELECT c.class, c.abstract, c.parent, count(s.slot) AS n_slots FROM classes c LEFT JOIN slots s USING (class) GROUP BY ALL", graph=False)
+def _(spark, sf_dir):
+    return _taxonomy(spark, sf_dir)[0].select("class", "abstract", F.get("subclass_of", F.lit(0)).alias("parent"), F.size("slots").cast("long").alias("n_slots"))
 
 
 @query("a6_build_edges", f"WITH {EDGES_SQL} SELECT src, predicate, dst FROM edges")
@@ -147,42 +176,42 @@ def _(g):
 
 def _b(name, sql):
     def keep(f):
-        query(name, sql)(lambda g: f(*classes(g)))
+        query(name, sql, graph=False)(lambda spark, sf_dir: f(*_taxonomy(spark, sf_dir)))
 
     return keep
 
 
-@_b("b1_classes", f"WITH {CLASSES_SQL} SELECT class, abstract FROM classes")
+@_b("b1_classes", f"WITH {_CLASSES} SELECT class, abstract FROM classes")
 def _(c, p):
     return c.select("class", "abstract")
 
 
-@_b("b1_properties", f"WITH {PROPERTIES_SQL} SELECT slot, range FROM properties")
+@_b("b1_properties", f"WITH {_TAX}, {_PROPERTIES} SELECT slot, range FROM properties")
 def _(c, p):
     return p.select("slot", "range")
 
 
-@_b("b2_parents", f"WITH {CLASSES_SQL} SELECT class, parent FROM classes WHERE parent IS NOT NULL")
+@_b("b2_parents", f"WITH {_CLASSES} SELECT class, parent FROM classes WHERE parent IS NOT NULL")
 def _(c, p):
     return hierarchy.parents(c)
 
 
-@_b("b3_ancestors", f"WITH RECURSIVE {CLOSURE_SQL} SELECT class, ancestor FROM up")
+@_b("b3_ancestors", f"WITH RECURSIVE {_CLOSURE} SELECT class, ancestor FROM up")
 def _(c, p):
     return hierarchy.ancestors(c)
 
 
-@_b("b4_direct_subclasses", f"WITH {CLASSES_SQL} SELECT parent AS class, class AS subclass FROM classes WHERE parent IS NOT NULL")
+@_b("b4_direct_subclasses", f"WITH {_CLASSES} SELECT parent AS class, class AS subclass FROM classes WHERE parent IS NOT NULL")
 def _(c, p):
     return hierarchy.direct_subclasses(c)
 
 
-@_b("b5_subclasses", f"WITH RECURSIVE {CLOSURE_SQL} SELECT ancestor AS class, class AS subclass FROM up")
+@_b("b5_subclasses", f"WITH RECURSIVE {_CLOSURE} SELECT ancestor AS class, class AS subclass FROM up")
 def _(c, p):
     return hierarchy.subclasses(c)
 
 
-@_b("b6_is_subclass", f"WITH RECURSIVE {CLOSURE_SQL} SELECT a.class AS parent, b.class AS child, EXISTS (SELECT 1 FROM up WHERE up.class = b.class AND up.ancestor = a.class) AS is_subclass FROM classes a, classes b WHERE a.abstract")
+@_b("b6_is_subclass", f"WITH RECURSIVE {_CLOSURE} SELECT a.class AS parent, b.class AS child, EXISTS (SELECT 1 FROM up WHERE up.class = b.class AND up.ancestor = a.class) AS is_subclass FROM classes a, classes b WHERE a.abstract")
 def _(c, p):
     asked = c.where("abstract").select(F.col("class").alias("parent")).crossJoin(c.select(F.col("class").alias("child")))
     return hierarchy.is_subclass(asked, c)
@@ -193,12 +222,12 @@ def _(g):
     return hierarchy.is_instance(g.scan_instances("Resource", []).select("id", "class"), classes(g)[0], "Party").select("id")
 
 
-@_b("b8_direct_slots", f"WITH {SLOTS_SQL} SELECT class, slot FROM slots")
+@_b("b8_direct_slots", f"WITH {_TAX}, {_SLOTS} SELECT class, slot FROM slots")
 def _(c, p):
     return hierarchy.direct_slots(c)
 
 
-_EFFECTIVE = f"{CLOSURE_SQL}, {SLOTS_SQL}, {PROPERTIES_SQL}, eff AS (SELECT class, slot FROM slots UNION SELECT up.class, s.slot FROM up JOIN slots s ON s.class = up.ancestor)"
+_EFFECTIVE = f"{_CLOSURE}, {_SLOTS}, {_PROPERTIES}, eff AS (SELECT class, slot FROM slots UNION SELECT up.class, s.slot FROM up JOIN slots s ON s.class = up.ancestor)"
 
 
 @_b("b9_slots", f"WITH RECURSIVE {_EFFECTIVE} SELECT class, slot, domain, range, cardinality, required FROM eff JOIN properties USING (slot)")
@@ -216,7 +245,7 @@ def _(c, p):
     return hierarchy.required_slots(c, p)
 
 
-@_b("b12_property_info", f"WITH {PROPERTIES_SQL} SELECT slot, domain, range, cardinality, cardinality = 'many' AS is_many FROM properties")
+@_b("b12_property_info", f"WITH {_TAX}, {_PROPERTIES} SELECT slot, domain, range, cardinality, cardinality = 'many' AS is_many FROM properties")
 def _(c, p):
     return hierarchy.property_info(p)
 
@@ -226,7 +255,10 @@ def _(c, p):
     return hierarchy.properties_for_class(c, p)
 
 
-@query("b14_class_summary", f"""WITH RECURSIVE {_EFFECTIVE}, inst(class, n) AS (SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Order', count(*) FROM orders)
+_DEMO = f"{CLOSURE_SQL}, {SLOTS_SQL}, {PROPERTIES_SQL}, eff AS (SELECT class, slot FROM slots UNION SELECT up.class, s.slot FROM up JOIN slots s ON s.class = up.ancestor)"
+
+
+@query("b14_class_summary", f"""WITH RECURSIVE {_DEMO}, inst(class, n) AS (SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Order', count(*) FROM orders)
 SELECT class, abstract, (SELECT count(*) FROM eff WHERE eff.class = c.class) AS n_slots, (SELECT count(*) FROM slots WHERE slots.class = c.class) AS n_direct,
 (SELECT count(*) FROM eff WHERE eff.class = c.class) - (SELECT count(*) FROM slots WHERE slots.class = c.class) AS n_inherited, CAST(parent IS NOT NULL AS BIGINT) AS n_parents, (SELECT count(*) FROM classes d WHERE d.parent = c.class) AS n_subclasses,
 coalesce((SELECT n FROM inst WHERE inst.class = c.class), 0) AS n_instances FROM classes c""")
@@ -234,7 +266,7 @@ def _(g):
     return hierarchy.class_summary(*classes(g), g.class_counts(["Customer", "Supplier", "Order"]).where("class is not null"))
 
 
-@_b("b15_schema_overview", f"WITH {CLASSES_SQL}, {PROPERTIES_SQL} SELECT (SELECT count(*) FROM classes) AS n_classes, (SELECT string_agg(class, ',' ORDER BY class) FROM classes) AS classes, (SELECT count(*) FROM properties) AS n_properties, (SELECT string_agg(slot, ',' ORDER BY slot) FROM properties) AS properties")
+@_b("b15_schema_overview", f"WITH {_CLASSES}, {_PROPERTIES} SELECT (SELECT count(*) FROM classes) AS n_classes, (SELECT string_agg(class, ',' ORDER BY class) FROM classes) AS classes, (SELECT count(*) FROM properties) AS n_properties, (SELECT string_agg(slot, ',' ORDER BY slot) FROM properties) AS properties")
 def _(c, p):
     return hierarchy.schema_overview(c, p)
 
@@ -289,9 +321,10 @@ def _(g):
     return g.scan_class("Customer", []).join(big, "id", "left_semi").select("id")
 
 
-@query("c7_anti_join", "SELECT 'Customer/' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("c7_anti_join", "SELECT 'Customer/' || c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 250000)")
 def _(g):
-    return g.scan_class("Customer", []).join(g.scan_class("Order", ["placed_by"]).select(F.col("placed_by").alias("id")), "id", "left_anti").select("id")
+    big = g.where("Order", ("orderpriority", "=", "1-URGENT"), ("totalprice", ">", 250000.0), slots=["placed_by", "orderpriority", "totalprice"])
+    return g.scan_class("Customer", []).join(big.select(F.col("placed_by").alias("id")), "id", "left_anti").select("id")
 
 
 @query("c8_instance_of", f"WITH {EDGES_SQL} SELECT src, predicate, dst FROM edges WHERE dst LIKE 'Customer/%' OR dst LIKE 'Supplier/%'")
@@ -344,7 +377,7 @@ _DEGREE = f"WITH {EDGES_SQL}, deg AS (SELECT id, count(*) AS n FROM (SELECT src
 
 @query("d3_degree", f"{_DEGREE} SELECT id, coalesce(n, 0) AS score FROM party LEFT JOIN deg USING (id)")
 def _(g):
-    return aggregate.degree(g.scan_instances("Party", []), g.edges())
+    return aggregate.degree(g.scan_instances("Party", []), g.edges(near="Party"))
 
 
 @query("d4_backlink_density", f"{_DEGREE} SELECT id, coalesce(n, 0) AS score FROM party LEFT JOIN back USING (id)")
@@ -354,7 +387,7 @@ def _(g):
 
 @query("d5_rank_degree", f"{_DEGREE} SELECT id, coalesce(n, 0) AS score FROM party LEFT JOIN deg USING (id) ORDER BY score DESC, id LIMIT 20")
 def _(g):
-    return aggregate.rank_by(g.scan_instances("Party", []), "degree", g.edges())
+    return aggregate.rank_by(g.scan_instances("Party", []), "degree", g.edges(near="Party"))
 
 
 @query("d6_rank_backlinks", f"{_DEGREE} SELECT id, coalesce(n, 0) AS score FROM party LEFT JOIN back USING (id) ORDER BY score DESC, id LIMIT 20")
@@ -409,7 +442,7 @@ def _seeds(g, name="Customer", every=50):
 
 @query("f1_outbound_edges", f"WITH {EDGES_SQL}, {_SEEDS_C} SELECT seed, predicate, dst AS node FROM seeds JOIN edges ON src = seed")
 def _(g):
-    return navigate.outbound_edges(_seeds(g), g.edges())
+    return navigate.outbound_edges(_seeds(g), g.edges_within("Customer", 1))
 
 
 @query("f2_inbound_edges", f"WITH {EDGES_SQL}, {_SEEDS_C} SELECT seed, predicate, node FROM (SELECT seed, predicate, src AS node, row_number() OVER (PARTITION BY seed ORDER BY predicate, src) AS n FROM seeds JOIN edges ON dst = seed WHERE predicate = 'placed_by') WHERE n <= 5")
@@ -427,17 +460,22 @@ def _(g):
     return navigate.siblings(_seeds(g, "Page"), g.scan_class("Page", ["url"]), "url")
 
 
+@query("f4_first_siblings", "WITH p AS (SELECT 'Page/' || page_id AS id, page_id, regexp_extract(url, '^(.*/)?', 0) AS dir FROM pages WHERE url IS NOT NULL) SELECT seed, node FROM (SELECT a.id AS seed, b.id AS node, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS n FROM p a JOIN p b ON a.dir = b.dir AND a.id <> b.id WHERE a.page_id % 50 = 0) WHERE n <= 3")
+def _(g):
+    return navigate.siblings(_seeds(g, "Page"), g.scan_class("Page", ["url"]), "url", 3)
+
+
 _WALK = f"{EDGES_SQL}, {_SEEDS_C}, h1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN edges ON src = seed), h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN edges ON src = node)"
 
 
 @query("f5_graph_walk", f"WITH {_WALK} SELECT seed, node, 1 AS hop FROM h1 UNION ALL SELECT seed, node, 2 FROM h2")
 def _(g):
-    return navigate.graph_walk(_seeds(g), g.edges(), 2)
+    return navigate.graph_walk(_seeds(g), g.edges_within("Customer", 2), 2)
 
 
 @query("f6_graph_walk_paths", f"WITH {_WALK} SELECT seed, node, 1 AS hop, 'in_nation>' || node AS way FROM h1 UNION ALL SELECT h2.seed, h2.node, 2, 'in_nation>' || h1.node || '>in_region>' || h2.node FROM h2 JOIN h1 USING (seed)")
 def _(g):
-    w = navigate.graph_walk(_seeds(g), g.edges(), 3, paths=True)
+    w = navigate.graph_walk(_seeds(g), g.edges_within("Customer", 3), 3, paths=True)
     return w.select("seed", "node", "hop", F.array_join(F.transform("path", lambda s: F.concat(s["predicate"], F.lit(">"), s["node"])), ">").alias("way"))
 
 
@@ -551,10 +589,12 @@ def _(g):
 
 _TOK = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
 _PART = ["p_name", "p_type", "p_brand"]
-_HSQL = "f AS (" + " UNION ALL ".join(f"SELECT 'Part/' || p_partkey AS id, '{f}' AS field, {_TOK.format(f)} AS t, {w} AS weight FROM part" for f, w in (("p_name", 12.0), ("p_type", 8.0), ("p_brand", 1.0))) + "), lens AS (SELECT id, field, len(t) AS len, weight FROM f), post AS (SELECT id, field, term, count(*) AS tf FROM (SELECT id, field, unnest(t) AS term FROM f) GROUP BY ALL), avgs AS (SELECT field, avg(len) AS avgdl FROM lens GROUP BY field)"
+#: Stems of the words in parts' names, types and brands that are not the words themselves.
+_STEM = "CASE {0} WHEN 'large' THEN 'larg' WHEN 'economy' THEN 'economi' ELSE {0} END"
+_HSQL = "f AS (" + " UNION ALL ".join(f"SELECT 'Part/' || p_partkey AS id, '{f}' AS field, {_TOK.format(f)} AS t, {w} AS weight FROM part" for f, w in (("p_name", 12.0), ("p_type", 8.0), ("p_brand", 1.0))) + "), lens AS (SELECT id, field, len(t) AS len, weight FROM f), post AS (SELECT id, field, " + _STEM.format("word") + " AS term, count(*) AS tf FROM (SELECT id, field, unnest(t) AS word FROM f) GROUP BY ALL), avgs AS (SELECT field, avg(len) AS avgdl FROM lens GROUP BY field)"
 _BM = "m AS (SELECT q.query_id, p.id, p.field, p.term, l.weight * p.tf / (1 - 0.75 + 0.75 * l.len / a.avgdl) AS wtf FROM post p JOIN q USING (term) JOIN lens l USING (id, field) JOIN avgs a USING (field)), dfs AS (SELECT query_id, term, count(DISTINCT id) AS df FROM m GROUP BY ALL), tt AS (SELECT m.query_id, id, term, df, ln(1 + ((SELECT count(*) FROM part) - df + 0.5) / (df + 0.5)) AS idf, sum(wtf) AS tilde FROM m JOIN dfs USING (query_id, term) GROUP BY ALL), ex AS (SELECT *, idf * tilde / (1.2 + tilde) AS c FROM tt), sc AS (SELECT query_id, id, sum(c) AS score FROM ex GROUP BY ALL HAVING sum(c) > 0)"
-_QUERY = "small steel brass"
-_Q = "q(query_id, term) AS (VALUES (0, 'small'), (0, 'steel'), (0, 'brass'))"
+_QUERY = "Large economies, small brass"
+_Q = "q(query_id, term) AS (VALUES (0, 'larg'), (0, 'economi'), (0, 'small'), (0, 'brass'))"
 
 
 def _index(g):
@@ -579,7 +619,12 @@ def _(spark, sf_dir):
 
 @query("h2_stemmed_tokens")
 def _(g):
-    return search.stemmed(search.tokens(g.scan_class("Document", ["text"]), ["text"])).groupBy("term").agg(F.count("*").alias("n"))
+    return search.tokens(g.scan_class("Document", ["text"]), ["text"], stem=True).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("h2_stemmed_parts", f"WITH {_HSQL} SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY term")
+def _(g):
+    return search.tokens(g.scan_class("Part", _PART), _PART, stem=True).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("h3_postings", f"WITH {_HSQL} SELECT id, field, term, tf FROM post")
@@ -600,6 +645,15 @@ def _(g):
     return _r(_index(g).score(_QUERY), "score").select("id", "score")
 
 
+@query("h5_saved_index", f"WITH {_HSQL}, {_Q}, {_BM} SELECT id, round(score, 6) AS score FROM sc")
+def _(g):
+    from entigraph.scratch import new_path
+
+    at = new_path(g.spark, "index")
+    _index(g).save(at)
+    return _r(_index(g).load(at).score(_QUERY), "score").select("id", "score")
+
+
 @query("h6_bm25f_explain", f"WITH {_HSQL}, {_Q}, {_BM} SELECT id, term, df, round(idf, 6) AS idf, round(tilde, 6) AS tilde_tf, round(c, 6) AS contribution FROM ex")
 def _(g):
     return _r(_index(g).explain(_QUERY), "idf", "tilde_tf", "contribution").drop("query_id")
@@ -650,11 +704,16 @@ def _(g):
 
 @query("h14_term_conditions", f"WITH f AS (SELECT 'Document/' || doc_id AS id, {_TOK.format('text')} AS t FROM documents), p AS (SELECT id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM f) SELECT DISTINCT id FROM p a WHERE id IN (SELECT id FROM p WHERE term = 'the') AND id IN (SELECT id FROM p WHERE term = 'and') AND id NOT IN (SELECT id FROM p WHERE term = 'stupid') AND id IN (SELECT x.id FROM p x JOIN p y ON x.id = y.id AND y.pos = x.pos + 1 WHERE x.term = 'of' AND y.term = 'the') AND id IN (SELECT id FROM p WHERE starts_with(term, 'ther')) AND id IN (SELECT id FROM p WHERE levenshtein(term, 'thened') <= 2)")
 def _(g):
-    i = search.Index(g.scan_class("Document", ["text"]), {"text": 1.0})
-    return search.matching(i, all_of=["the", "and"], none_of=["stupid"], phrase="of the", prefix="ther", fuzzy="thened")
+    i = search.field_index(g.scan_class("Document", ["text"]), "text", ["text"])
+    return search.matching(i, all_of=["The", "and"], none_of=["Stupid"], phrase="Of the", prefix="Ther", fuzzy="thened")
+
+
+@query("h14_stemmed_conditions", "SELECT 'Part/' || p_partkey AS id FROM part WHERE regexp_matches(lower(p_name || ' ' || p_type), '\\blarge\\b') AND NOT regexp_matches(lower(p_name), '\\bbolt\\b')")
+def _(g):
+    return search.matching(_index(g), all_of=["LARGE"], none_of=["bolts"])
 
 
-@query("h15_multi_query", f"WITH {_HSQL}, q AS (SELECT DISTINCT o_orderkey AS query_id, term FROM (SELECT p_partkey AS o_orderkey, unnest({_TOK.format('p_type')}) AS term FROM part WHERE p_partkey % 50 = 0)), {_BM}, rk AS (SELECT query_id, id, round(score, 9) AS score FROM sc) SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rk) WHERE rank <= 5")
+@query("h15_multi_query", f"WITH {_HSQL}, q AS (SELECT DISTINCT query_id, {_STEM.format('word')} AS term FROM (SELECT p_partkey AS query_id, unnest({_TOK.format('p_type')}) AS word FROM part WHERE p_partkey % 50 = 0)), {_BM}, rk AS (SELECT query_id, id, round(score, 9) AS score FROM sc) SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM rk) WHERE rank <= 5")
 def _(g):
     q = g.scan_class("Part", ["p_type"]).select(F.expr("cast(substring(id, 6) as long)").alias("query_id"), F.col("p_type").alias("query")).where("query_id % 50 = 0")
     return _r(search.best(_index(g).score(q).withColumn("score", F.round("score", 9)), 5), "score")
@@ -691,8 +750,17 @@ def _(g):
 
 @query("i5_custom_validator", "SELECT 'Part/' || p_partkey AS id, '' AS slot, 'too large' AS error FROM part WHERE p_size > 45")
 def _(g):
-    validate.register_validator("Part", lambda: F.when(F.col("p_size") > 45, "too large"))
-    return validate.validate(g.scan_class("Part"), g.registry, "Part")
+    return validate.validate(g.scan_class("Part"), g.registry, "Part", validators={"Part": lambda: F.when(F.col("p_size") > 45, "too large")})
+
+
+def _size_rule(row):
+    return "too large" if 100 // (row["p_size"] % 7) < 0 or row["p_size"] > 45 else None
+
+
+@query("i5_failing_validator", "SELECT 'Part/' || p_partkey AS id, '' AS slot, CASE WHEN p_size % 7 = 0 THEN 'validator-error: ZeroDivisionError' ELSE 'too large' END AS error FROM part WHERE p_size > 45 OR p_size % 7 = 0")
+def _(g):
+    rule = lambda: per_row(_size_rule, ["p_size"], "string", validate.failure)
+    return validate.validate(g.scan_class("Part", ["p_size"]), g.registry, "Part", validators={"Part": rule})
 
 
 @query("i6_validate", " UNION ALL ".join(_I.values()))
@@ -707,8 +775,7 @@ def _(g):
 
 @query("i8_validate_all", "SELECT count(*) AS total, count(*) FILTER (NOT bad) AS valid, count(*) FILTER (bad) AS invalid FROM (SELECT o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 AS bad FROM orders)")
 def _(g):
-    rows = _raw_orders(g)
-    return validate.validate_all(rows, validate.validate(rows, g.registry, "Order", {"placed_by": g.scan_class("Customer", [])}))
+    return validate.validate_all(_raw_orders(g), g.registry, "Order", {"placed_by": g.scan_class("Customer", [])})
 
 
 @query("i9_validation_run", "SELECT 'Order' AS class, 'failed' AS state, count(*) AS total, count(*) FILTER (o_orderkey % 11 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 19 = 0) AS invalid FROM orders UNION ALL SELECT 'Customer', 'passed', count(*), 0 FROM customer")
@@ -717,7 +784,7 @@ def _(g):
 
     at = new_path(g.spark, "runs")
     for name, rows in (("Order", _raw_orders(g)), ("Customer", g.scan_class("Customer"))):
-        validate.validation_run(g.spark, at, f"run-{name}", name, lambda name=name, rows=rows: validate.validate_all(rows, validate.validate_data(rows, g.registry, name)))
+        validate.validation_run(g.spark, at, f"run-{name}", name, lambda name=name, rows=rows: validate.validate_all(rows, g.registry, name))
     return validate.recent_validations(g.spark.read.parquet(at)).select("class", "state", "total", "invalid")
 
 
@@ -825,10 +892,18 @@ def _(g):
 
 # L: workflow
 
-STATES = [("w", "new", "New", True, False, None), ("w", "active", "Active", False, False, None), ("w", "buyer", "Buyer", False, True, "success"), ("w", "blocked", "Blocked", False, True, "cancel"), ("w", "lost", "Lost", False, False, None)]
-MOVES = [("w", "signup", "new", "active", None, False), ("w", "purchase", "active", "buyer", None, False), ("w", "error", "new", "blocked", None, False), ("w", "error", "active", "blocked", None, False)]
+# two workflows that share names of states and actions
+STATES = [
+    ("w", "new", "New", True, False, None), ("w", "active", "Active", False, False, None), ("w", "buyer", "Buyer", False, True, "success"), ("w", "blocked", "Blocked", False, True, "cancel"), ("w", "lost", "Lost", False, False, None),
+    ("v", "new", "Opened", True, False, None), ("v", "active", "In use", False, False, None), ("v", "blocked", "On hold", False, False, None), ("v", "gone", "Gone", False, True, "cancel"),
+]
+MOVES = [
+    ("w", "signup", "new", "active", None, False), ("w", "click", "active", "active", None, False), ("w", "purchase", "active", "buyer", "large", False), ("w", "error", "active", "blocked", "large", True), ("w", "error", "new", "blocked", "unknown", False),
+    ("v", "view", "new", "active", None, False), ("v", "error", "active", "blocked", None, False), ("v", "click", "blocked", "active", None, True), ("v", "purchase", "active", "gone", "large", False), ("v", "error", "new", "gone", "large", True),
+]
+GUARDS = {"large": lambda: F.col("value") > 200}
 _STATES_SQL = "states(workflow, state, label, initial, terminal, terminal_kind) AS (VALUES " + ", ".join("('{}', '{}', '{}', {}, {}, {})".format(w, s, n, str(i).lower(), str(t).lower(), f"'{k}'" if k else "NULL") for w, s, n, i, t, k in STATES) + ")"
-_MOVES_SQL = "moves(name, from_state, to_state) AS (VALUES " + ", ".join(f"('{n}', '{a}', '{b}')" for _, n, a, b, *_ in MOVES) + ")"
+_MOVES_SQL = "moves(workflow, name, from_state, to_state, guard, needs) AS (VALUES " + ", ".join("('{}', '{}', '{}', '{}', {}, {})".format(w, n, a, b, f"'{g}'" if g else "NULL", str(r).lower()) for w, n, a, b, g, r in MOVES) + ")"
 
 
 def _states(g):
@@ -839,28 +914,36 @@ def _moves(g):
     return g.spark.createDataFrame(MOVES, "workflow string, name string, from_state string, to_state string, guard string, requires_reason boolean")
 
 
-_FOLD = f"""{_STATES_SQL}, {_MOVES_SQL}, l AS (SELECT 'p' || user_id AS process, event_type AS action, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
-fold AS (SELECT process, 0 AS seq, CAST(NULL AS VARCHAR) AS action, 'new' AS from_state, 'new' AS to_state, CAST(NULL AS TIMESTAMP) AS ts, false AS accepted FROM (SELECT DISTINCT process FROM l)
-UNION ALL SELECT f.process, f.seq + 1, l.action, f.to_state, coalesce(m.to_state, f.to_state), l.ts, m.name IS NOT NULL FROM fold f JOIN l ON l.process = f.process AND l.seq = f.seq + 1 LEFT JOIN moves m ON m.name = l.action AND m.from_state = f.to_state),
-history AS (SELECT * FROM fold WHERE seq > 0), last AS (SELECT process, coalesce(arg_max(to_state, seq) FILTER (accepted), 'new') AS state, max(ts) FILTER (accepted) AS done_at FROM history GROUP BY process),
-procs AS (SELECT process, state, terminal, terminal_kind, CASE WHEN terminal THEN done_at END AS completed_at FROM last JOIN states USING (state))"""
+_FOLD = f"""{_STATES_SQL}, {_MOVES_SQL}, l AS (SELECT 'p' || user_id AS process, CASE WHEN user_id % 2 = 0 THEN 'w' ELSE 'v' END AS workflow, event_type AS action, value, event_id % 3 = 0 AS given, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+fold AS (SELECT process, workflow, 0 AS seq, CAST(NULL AS VARCHAR) AS action, 'new' AS from_state, 'new' AS to_state, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS why FROM (SELECT DISTINCT process, workflow FROM l)
+UNION ALL SELECT process, workflow, seq, action, before, CASE WHEN why IS NULL THEN target ELSE before END, ts, why FROM (
+  SELECT f.process, f.workflow, f.seq + 1 AS seq, l.action, f.to_state AS before, m.to_state AS target, l.ts,
+    CASE WHEN m.name IS NULL THEN 'no such transition' WHEN m.needs AND NOT l.given THEN 'reason missing' WHEN m.guard = 'large' AND l.value > 200 THEN NULL WHEN m.guard IS NOT NULL THEN 'guard not met' END AS why
+  FROM fold f JOIN l ON l.process = f.process AND l.seq = f.seq + 1 LEFT JOIN moves m ON m.workflow = l.workflow AND m.name = l.action AND m.from_state = f.to_state)),
+history AS (SELECT *, why IS NULL AS accepted FROM fold WHERE seq > 0), last AS (SELECT process, workflow, coalesce(arg_max(to_state, seq) FILTER (accepted), 'new') AS state, max(ts) FILTER (accepted) AS done_at FROM history GROUP BY ALL),
+procs AS (SELECT process, workflow, state, terminal, terminal_kind, CASE WHEN terminal THEN done_at END AS completed_at, CAST(substr(process, 2) AS BIGINT) % 10 AS value FROM last JOIN states USING (workflow, state))"""
 
 
 def _requested(g):
     from pyspark.sql import Window
 
-    e = g.scan_class("Event").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("process"), "ts", F.col("event_type").alias("action"), F.expr("cast(substring(id, 7) as long)").alias("event_id"))
+    user, event = F.col("user_id"), F.expr("cast(substring(id, 7) as long)")
+    e = g.scan_class("Event").select(F.concat(F.lit("p"), user.cast("string")).alias("process"), F.when(user % 2 == 0, "w").otherwise("v").alias("workflow"), "ts", F.col("event_type").alias("action"), event.alias("event_id"), "value")
     seq = F.row_number().over(Window.partitionBy("process").orderBy("ts", "event_id"))
-    return e.withColumn("seq", seq).withColumn("reason", F.lit(None).cast("string"))
+    return e.withColumn("seq", seq).withColumn("reason", F.when(F.col("event_id") % 3 == 0, "why not"))
 
 
 def _history(g):
-    return workflow.replay_transitions(_requested(g), _moves(g), "new")
+    return workflow.replay_transitions(_requested(g), _moves(g), _states(g), GUARDS)
 
 
 def _processes(g):
-    s = workflow.current_states(_history(g), _states(g), "new")
-    return s.select(F.col("process").alias("id"), F.lit("w").alias("workflow"), "current_state", "completed_at", F.lit(None).cast("timestamp").alias("started_at"), F.col("process").alias("subject"))
+    s = workflow.current_states(_history(g), _states(g))
+    return s.select(F.col("process").alias("id"), "workflow", "current_state", "completed_at", F.lit(None).cast("timestamp").alias("started_at"), F.col("process").alias("subject"), F.expr("cast(substring(process, 2) as long) % 10 as value"))
+
+
+#: Of processes: the last digit of their number.
+PROCESS_GUARDS = {"large": lambda: F.col("value") > 4}
 
 
 @query("l1_check_workflows", "SELECT 'Nation/' || n_nationkey AS workflow, CASE n_nationkey % 3 WHEN 0 THEN 'end' WHEN 1 THEN 'start' ELSE 'go' END AS subject, CASE n_nationkey % 3 WHEN 0 THEN 'terminal-without-kind' WHEN 1 THEN 'kind-without-terminal' ELSE 'unknown-to' END AS violation FROM nation")
@@ -871,17 +954,20 @@ def _(g):
     return workflow.check_workflows(s, m)
 
 
-@query("l2_available_transitions", f"WITH RECURSIVE {_FOLD} SELECT process AS id, name FROM procs JOIN moves ON state = from_state")
+_OPEN = "procs p JOIN moves m ON m.workflow = p.workflow AND state = from_state AND (guard IS NULL OR guard = 'large' AND value > 4)"
+
+
+@query("l2_available_transitions", f"WITH RECURSIVE {_FOLD} SELECT process AS id, name FROM {_OPEN}")
 def _(g):
-    return workflow.available_transitions(_processes(g), _moves(g)).select("id", "name")
+    return workflow.available_transitions(_processes(g), _moves(g), PROCESS_GUARDS).select("id", "name")
 
 
-@query("l3_replay_transitions", f"WITH RECURSIVE {_FOLD} SELECT process, CAST(seq AS BIGINT) AS seq, action, from_state, to_state, accepted FROM history")
+@query("l3_replay_transitions", f"WITH RECURSIVE {_FOLD} SELECT process, workflow, CAST(seq AS BIGINT) AS seq, action, from_state, to_state, accepted, why FROM history")
 def _(g):
-    return _history(g).select("process", F.col("seq").cast("long").alias("seq"), "action", "from_state", "to_state", "accepted")
+    return _history(g).select("process", "workflow", F.col("seq").cast("long").alias("seq"), "action", "from_state", "to_state", "accepted", "why")
 
 
-@query("l4_process_history", f"WITH RECURSIVE {_FOLD} SELECT h.process, CAST(h.seq AS BIGINT) AS seq, action, a.label AS from_label, b.label AS to_label FROM history h JOIN states a ON a.state = from_state JOIN states b ON b.state = to_state WHERE accepted")
+@query("l4_process_history", f"WITH RECURSIVE {_FOLD} SELECT h.process, CAST(h.seq AS BIGINT) AS seq, action, a.label AS from_label, b.label AS to_label FROM history h JOIN states a ON a.workflow = h.workflow AND a.state = from_state JOIN states b ON b.workflow = h.workflow AND b.state = to_state WHERE accepted")
 def _(g):
     return workflow.process_history(_history(g), _states(g)).select("process", F.col("seq").cast("long").alias("seq"), "action", "from_label", "to_label")
 
@@ -898,9 +984,9 @@ def _(g):
     return workflow.outcome_status(asked, p, _states(g))
 
 
-@query("l7_cancellable", f"WITH RECURSIVE {_FOLD} SELECT process AS id FROM procs WHERE state IN ('new', 'active')")
+@query("l7_cancellable", f"WITH RECURSIVE {_FOLD} SELECT DISTINCT process AS id FROM {_OPEN} JOIN states s ON s.workflow = p.workflow AND s.state = m.to_state WHERE s.terminal_kind = 'cancel'")
 def _(g):
-    return workflow.cancellable(_processes(g), _moves(g), _states(g))
+    return workflow.cancellable(_processes(g), _moves(g), _states(g), PROCESS_GUARDS)
 
 
 @query("l8_workflow_reachability", "SELECT 'Nation/' || n_nationkey AS workflow, unnest(['a', 'b', 'c']) AS state, unnest([true, n_nationkey % 2 = 0, false]) AS reachable, unnest([n_nationkey % 2 <> 0, false, true]) AS dead_end FROM nation")
@@ -962,14 +1048,16 @@ def _(g):
 
 def _triggers(g):
     rows = [("j1", "error", None, None), ("j2", "purchase", "web", None), ("j3", "click", "shop", "large"), ("j4", "nothing", None, None)]
-    jobs.register_condition("large", lambda: F.col("value") > 50)
     return g.spark.createDataFrame(rows, "id string, trigger_event string, trigger_source string, trigger_condition string")
 
 
+CONDITIONS = {"large": lambda: F.col("value") > 50}
+
+
 @query("m4_triggered_matches", "WITH e AS (SELECT 'Event/' || event_id AS event, event_type, value, CASE WHEN user_id % 2 = 0 THEN 'web' ELSE 'shop' END AS source FROM events) SELECT event, 'j1' AS job FROM e WHERE event_type = 'error' UNION ALL SELECT event, 'j2' FROM e WHERE event_type = 'purchase' AND source = 'web' UNION ALL SELECT event, 'j3' FROM e WHERE event_type = 'click' AND source = 'shop' AND value > 50")
 def _(g):
     e = g.scan_class("Event").select("id", F.col("event_type").alias("kind"), "value", F.when(F.col("user_id") % 2 == 0, "web").otherwise("shop").alias("source"))
-    return jobs.triggered_matches(e, _triggers(g))
+    return jobs.triggered_matches(e, _triggers(g), CONDITIONS)
 
 
 @query("d12_job_stats", f"WITH {_JOBS} SELECT 'status' AS what, status AS value, count(*) AS n FROM jobs GROUP BY 2 UNION ALL SELECT 'queue', queue, count(*) FROM jobs WHERE status = 'pending' GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM jobs")
@@ -1033,10 +1121,8 @@ def _(spark, sf_dir):
     from entigraph.sources import markdown
 
     at = new_path(spark, "corpus")
-    if at.startswith(("file:", "/")):
-        markdown.write_markdown_corpus(*_corpus(spark, sf_dir), at)
-        return markdown.read_markdown_corpus(spark, at)[1].select("rel_path", "ord", "heading", "body")
-    return markdown.sections_from(markdown.corpus_text(*_corpus(spark, sf_dir))).select("rel_path", "ord", "heading", "body")
+    markdown.write_corpus_table(*_corpus(spark, sf_dir), at)
+    return markdown.read_markdown_corpus(spark, at)[1].select("rel_path", "ord", "heading", "body")
 
 
 @query("a8_write_markdown_corpus", f"WITH {_MD} SELECT rel_path, '---' || chr(10) || 'name: conversation ' || conv_id || chr(10) || '---' || chr(10) || chr(10) || string_agg('## ' || heading || chr(10) || chr(10) || body || chr(10), chr(10) ORDER BY ord) AS value FROM c GROUP BY rel_path, conv_id", graph=False)
@@ -1046,6 +1132,16 @@ def _(spark, sf_dir):
     return markdown.corpus_text(*_corpus(spark, sf_dir))
 
 
+@query("a8_paths_by_function", f"WITH {_MD} SELECT DISTINCT 'all/' || conv_id || '.md' AS rel_path, regexp_extract(rel_path, '^c[0-9]') AS name FROM c", graph=False)
+def _(spark, sf_dir):
+    from entigraph.sources import markdown
+
+    docs, secs = _corpus(spark, sf_dir)
+    docs = docs.withColumn("front", F.create_map(F.lit("name"), F.regexp_extract("rel_path", "^c[0-9]", 0)))
+    out = markdown.corpus_text(docs, secs, F.concat(F.lit("all/"), F.regexp_extract("rel_path", "[^/]*$", 0)))
+    return out.select("rel_path", F.regexp_extract("value", "name: (c[0-9])", 1).alias("name"))
+
+
 @query("a9_corpus_filter", f"WITH {_MD} SELECT rel_path, ord FROM c WHERE starts_with(rel_path, 'c3/') AND conv_id > 20", graph=False)
 def _(spark, sf_dir):
     from entigraph.sources import markdown
@@ -1088,6 +1184,20 @@ def _(spark, sf_dir):
     return _ntz(_drain(spark, stream_events(raw)).select("id", "timestamp", "kind"), "timestamp")
 
 
+@query("s1_quarantine", "SELECT 'Event/' || event_id AS id, 'good' AS side, NULL AS reject FROM events WHERE event_id % 5 > 1 UNION ALL SELECT 'Event/' || event_id, 'bad', CASE event_id % 5 WHEN 0 THEN 'unknown-class' ELSE 'bad-correlation-id' END FROM events WHERE event_id % 5 <= 1", graph=False)
+def _(spark, sf_dir):
+    """Each event comes twice, two fifths of them bad."""
+    from entigraph.scratch import new_path
+    from entigraph.streaming.jobs import quarantined, stream_events
+
+    at, k = new_path(spark, "stream"), F.col("event_id") % 5
+    raw = _stream(spark, sf_dir).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    raw = raw.select(F.concat(F.lit("Event/"), F.col("event_id").cast("string")).alias("id"), F.when(k == 0, "Nothing").otherwise("UserEvent").alias("class"), F.col("ts").cast("string").alias("timestamp"), F.lit("x").alias("kind"), F.lit("a").alias("tags"), F.when(k == 1, "no uuid").alias("correlation_id"))
+    quarantined(stream_events(raw), f"{at}/good", f"{at}/bad", f"{at}/checkpoint").awaitTermination()
+    good = spark.read.schema("id string").parquet(f"{at}/good").select("id", F.lit("good").alias("side"), F.lit(None).cast("string").alias("reject"))
+    return good.union(spark.read.schema("id string, reject string").parquet(f"{at}/bad").select("id", F.lit("bad"), "reject"))
+
+
 @query("s2_stream_event_counts", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL", graph=False)
 def _(spark, sf_dir):
     from entigraph.streaming.jobs import stream_event_counts
@@ -1095,6 +1205,35 @@ def _(spark, sf_dir):
     return _ntz(_drain(spark, stream_event_counts(_stream(spark, sf_dir), "1 day"), "complete").select("window_start", "event_type", "n"), "window_start")
 
 
+def _two_batches(spark, sf_dir):
+    """The events as files of a stream: those of the last days first, then all others, which are late where they lie behind the watermark. An empty one between
+    them lets the watermark, which holds from the batch after the next, come to hold."""
+    from entigraph.scratch import new_path
+
+    at = new_path(spark, "late")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    edge = e.agg(F.max("ts")).first()[0]
+    first = F.col("ts") > F.lit(edge) - F.expr("interval 3 days")
+    for name, part in (("1", first), ("2", F.lit(False)), ("3", ~first)):
+        e.where(part).coalesce(1).write.parquet(f"{at}/{name}")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(at)
+
+
+@query("s2_late_rows", "WITH e AS (SELECT *, max(ts) OVER () AS edge FROM events), w AS (SELECT date_trunc('day', ts) AS window_start, event_type, edge, ts > edge - INTERVAL 3 DAY AS first FROM e) SELECT window_start, event_type, count(*) AS n FROM w WHERE first OR window_start + INTERVAL 1 DAY > edge - INTERVAL 10 DAY GROUP BY ALL", graph=False)
+def _(spark, sf_dir):
+    from entigraph.streaming.jobs import stream_event_counts
+
+    out = _drain(spark, stream_event_counts(_two_batches(spark, sf_dir), "1 day", watermark="10 days"), "update", key=("window_start", "window_end", "event_type"))
+    return _ntz(out.select("window_start", "event_type", "n"), "window_start")
+
+
+@query("s2_sliding_counts", "SELECT ws AS window_start, event_type, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) - INTERVAL 1 DAY * unnest([0, 1]) AS ws FROM events) GROUP BY ALL", graph=False)
+def _(spark, sf_dir):
+    from entigraph.streaming.jobs import stream_event_counts
+
+    return _ntz(_drain(spark, stream_event_counts(_stream(spark, sf_dir), "2 days", "1 day"), "complete").select("window_start", "event_type", "n"), "window_start")
+
+
 @query("s3_stream_correlations", "WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, max(CASE event_type WHEN 'error' THEN 2 ELSE 0 END) AS worst FROM s GROUP BY user_id, k", graph=False)
 def _(spark, sf_dir):
     from entigraph.streaming.jobs import stream_correlations
@@ -1108,13 +1247,13 @@ def _(spark, sf_dir):
     from entigraph.streaming.jobs import stream_workflow
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    g = demo.graph(spark, sf_dir)
-    e = _stream(spark, sf_dir).select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("process"), "ts", F.col("event_type").alias("action"), F.col("event_id").cast("int").alias("seq"), F.lit(None).cast("string").alias("reason"))
-    out = _drain(spark, stream_workflow(e, _moves(g), "new", {"buyer", "blocked"}))
+    g, user = demo.graph(spark, sf_dir), F.col("user_id")
+    e = _stream(spark, sf_dir).select(F.concat(F.lit("p"), user.cast("string")).alias("process"), F.when(user % 2 == 0, "w").otherwise("v").alias("workflow"), "ts", F.col("event_type").alias("action"), F.col("event_id").cast("int").alias("seq"), "value", F.when(F.col("event_id") % 3 == 0, "why not").alias("reason"))
+    out = _drain(spark, stream_workflow(e, _moves(g), _states(g), GUARDS))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("process").orderBy("ts", "seq"))
-    return out.select("process", place.cast("long").alias("seq"), "action", "from_state", "to_state", "accepted")
+    return out.select("process", "workflow", place.cast("long").alias("seq"), "action", "from_state", "to_state", "accepted", "why")
 
 
 @query("s5_stream_triggers", ORACLE_SQL["m4_triggered_matches"], graph=False)
@@ -1123,7 +1262,7 @@ def _(spark, sf_dir):
 
     g = demo.graph(spark, sf_dir)
     e = _stream(spark, sf_dir).select(F.concat(F.lit("Event/"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("kind"), "value", F.when(F.col("user_id") % 2 == 0, "web").otherwise("shop").alias("source"))
-    return _drain(spark, stream_triggers(e, _triggers(g)))
+    return _drain(spark, stream_triggers(e, _triggers(g), CONDITIONS))
 
 
 @query("s6_stream_validation", "SELECT 'Event/' || event_id AS id, 'invalid-type' AS error FROM events WHERE event_id % 9 = 0", graph=False)

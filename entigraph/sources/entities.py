@@ -42,6 +42,33 @@ def write_entities_json(rows: DataFrame, path: str, registry: TypeRegistry, name
     rows.select(entity_json(rows, registry, name, aliases).alias("value")).write.text(path)
 
 
+def write_entities(rows: DataFrame, path: str, registry: TypeRegistry, name: str) -> None:
+    """Rows of a class in its own format: json, csv or parquet; its aliases are the keys of JSON objects."""
+    kind = registry.classes[name].format or "json"
+    if kind == "json":
+        write_entities_json(rows, path, registry, name)
+    elif kind == "csv":
+        write_csv_rows(rows, path)
+    elif kind == "parquet":
+        rows.write.parquet(path)
+    else:
+        raise ValueError(f"{name}: no format {kind}")
+
+
+def read_entities(spark: SparkSession, path: str, registry: TypeRegistry, name: str) -> DataFrame:
+    """What write_entities() wrote, with the class's types."""
+    kind = registry.classes[name].format or "json"
+    if kind == "json":
+        return read_entities_json(spark, path, registry, name)
+    rows = {"csv": read_csv_rows, "parquet": lambda s, p: s.read.parquet(p)}[kind](spark, path)
+    if kind == "csv":
+        many = {s.name for s in registry.slots_of(name) if s.many}
+        rows = rows.select(*[F.from_json(c, "array<string>").alias(c) if c in many else F.col(c) for c in rows.columns])
+        types = {f.name: f.dataType for f in registry.struct_of(name)}
+        rows = rows.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in rows.columns])
+    return rows
+
+
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """All columns strings, named by the header."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -84,7 +111,7 @@ def resolve_refs(asked: DataFrame, ids: DataFrame) -> DataFrame:
 
 def split_valid(rows: DataFrame, registry: TypeRegistry, name: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejects with their errors) before a write."""
-    checked = rows.withColumn("errors", row_errors(rows, registry, name, custom=False))
+    checked = rows.withColumn("errors", row_errors(rows, registry, name))
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 

@@ -76,13 +76,14 @@ def sections_from(files: DataFrame) -> DataFrame:
 
 
 def read_markdown_corpus(spark: SparkSession, folder: str, prefix: str = "") -> tuple[DataFrame, DataFrame]:
-    """(documents, sections) of all .md files below a folder."""
-    files = _files(spark, folder, prefix)
+    """(documents, sections) of all .md files below a folder, or of a table that write_corpus_table() wrote there."""
+    tables = spark.read.schema("rel_path string, value string").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(folder)
+    files = tables.where(F.col("rel_path").startswith(prefix)) if tables.inputFiles() else _files(spark, folder, prefix)
     return documents_from(files), sections_from(files)
 
 
-def corpus_text(documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """(rel_path, value): each document as Markdown; sections in order of ord."""
+def corpus_text(documents: DataFrame, sections: DataFrame, to: Column | None = None) -> DataFrame:
+    """(rel_path, value): each document as Markdown; sections in order of ord. to: a Column over the documents that gives each its path, instead of rel_path."""
     head = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("heading"), F.lit("\n"), F.when(F.col("body") != "", F.concat(F.lit("\n"), F.col("body"), F.lit("\n"))).otherwise(""))
     body = sections.groupBy("rel_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", head.alias("t")))), lambda s: s["t"]), "\n").alias("body"))
     entries = F.sort_array(F.map_entries("front"))
@@ -91,14 +92,20 @@ def corpus_text(documents: DataFrame, sections: DataFrame) -> DataFrame:
     preamble = F.when(F.coalesce("preamble", F.lit("")) != "", F.concat("preamble", F.lit("\n\n"))).otherwise("")
     value = F.concat(front, preamble, F.coalesce("body", F.lit("")))
     # readers leave empty files out, so an empty document is one newline
-    return documents.join(body, "rel_path", "left").select("rel_path", F.when(value == "", "\n").otherwise(value).alias("value"))
+    path = F.col("rel_path") if to is None else to
+    return documents.join(body, "rel_path", "left").select(path.alias("rel_path"), F.when(value == "", "\n").otherwise(value).alias("value"))
 
 
-def write_markdown_corpus(documents: DataFrame, sections: DataFrame, folder: str) -> None:
+def write_corpus_table(documents: DataFrame, sections: DataFrame, folder: str, to: Column | None = None) -> None:
+    """The corpus as a table (rel_path, value), in any store."""
+    corpus_text(documents, sections, to).write.mode("overwrite").parquet(folder)
+
+
+def write_markdown_corpus(documents: DataFrame, sections: DataFrame, folder: str, to: Column | None = None) -> None:
     """One .md file for each relative path, written over what is there. The folder is one that all executors share."""
-    text = corpus_text(documents, sections)
+    text = corpus_text(documents, sections, to)
     if not folder.startswith(("file:", "/")):
-        raise ValueError("single named files are written to mounted folders only; for other stores write corpus_text() as a table")
+        raise ValueError("single named files are written to mounted folders only; for other stores there is write_corpus_table()")
     root = re.sub("^file:/*", "/", folder)
 
     def put(rows) -> None:

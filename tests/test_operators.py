@@ -81,8 +81,8 @@ def test_search_statistics(spark):
     rows = spark.createDataFrame([("1", "foo bar baz", "", ["Kettles", "x"]), ("2", "x", None, None)], "id string, name string, description string, tags array<string>")
     i = search.Index(rows, {"name": 12.0, "description": 8.0, "tags": 1.0})
     assert {r.field: r.avgdl for r in search.average_lengths(i.lengths).collect()} == {"name": 2.0, "description": 0.0, "tags": 1.0}
-    assert {r.term: r.df for r in search.document_frequencies(i.postings).collect()}["x"] == 2
-    assert [r.id for r in i.score("KETTLES nothing").collect()] == ["1"]
+    assert {r.term: r.df for r in search.document_frequencies(i.postings).collect()} == {"foo": 1, "bar": 1, "baz": 1, "x": 2, "kettl": 1}
+    assert [r.id for r in i.score("KETTLE nothing").collect()] == ["1"]
     parts = i.explain("x foo").groupBy("id").agg(F.round(F.sum("contribution"), 9).alias("s")).collect()
     assert {r.id: r.s for r in parts} == {r.id: round(r.score, 9) for r in i.score("x foo").collect()}
     assert i.score("").count() == 0
@@ -145,17 +145,9 @@ def test_markdown_round_trip(spark, tmp_path):
     assert markdown.corpus_roundtrip_check(docs, secs).count() == 0
 
 
-def test_validation_runs_and_guards(spark, tmp_path):
+def test_validation_runs(spark, tmp_path):
     at = f"file://{tmp_path}/runs"
     ok = spark.createDataFrame([(1, 1, 0)], "total int, valid int, invalid int")
     assert validate.validation_run(spark, at, "a", "N", lambda: ok) == "passed"
     assert validate.validation_run(spark, at, "b", "N", lambda: 1 / 0, retries=1) == "error"
     assert validate.recent_validations(spark.read.parquet(at), state="error").first().run_id == "b"
-    workflow.register_guard("rich", lambda: F.col("money") > 10)
-    p = spark.createDataFrame([("1", "w", "s", 5), ("2", "w", "s", 50), ("3", "w", "s", None)], "id string, workflow string, current_state string, money int")
-    t = spark.createDataFrame([("w", "go", "s", "t", "rich"), ("w", "stay", "s", "s", None), ("w", "x", "s", "t", "unknown")], "workflow string, name string, from_state string, to_state string, guard string")
-    assert sorted((r.id, r.name) for r in workflow.available_transitions(p, t).collect()) == [("1", "stay"), ("2", "go"), ("2", "stay"), ("3", "stay")]
-    rows = [("p", 1, "go", 1, None), ("p", 2, "go", 2, "why"), ("p", 3, "go", 3, "w")]
-    log = spark.createDataFrame(rows, "process string, t int, action string, seq int, reason string").withColumn("ts", F.timestamp_seconds("t"))
-    moves = spark.createDataFrame([("go", "s", "t", True)], "name string, from_state string, to_state string, requires_reason boolean")
-    assert [r.why for r in workflow.replay_transitions(log, moves, "s").orderBy("seq").collect()] == ["reason missing", None, "no such transition"]
