@@ -16,6 +16,8 @@ from entigraph.graph import TypedGraph
 from entigraph.scratch import stored
 
 MAX_ROUNDS = 10_000
+#: Steps of a repetition between two writes of what was found.
+STEPS_A_ROUND = 3
 STEPS = "array<struct<predicate:string,direction:string,node:string>>"
 
 #: Named tests of a node's id, for Test.
@@ -177,7 +179,12 @@ class _Repeat(Path):
         new = rel = stored(rel, "path")
         seen = rel if self.m == 0 else None
         for _ in range(MAX_ROUNDS):
-            found = self.part.step(c, new)
+            found, now = None, new
+            for k in range(STEPS_A_ROUND):
+                now = self.part.step(c, now)
+                level = now.withColumn("rank", F.lit(k))
+                found = level if found is None else found.unionByName(level)
+            found = c.once(found, "rank")
             if seen is not None:
                 found = found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
             new = stored(found, "path")

@@ -97,7 +97,7 @@ def replay_transitions(log: DataFrame, transitions: DataFrame, states: DataFrame
     Each request is accepted from the state that the ones before led to, or refused: no such transition, reason missing, guard not met, in this order. Guards are
     Columns over the request. states: (workflow, state, initial), or the name of the state that all start in. A request is known by its ts and seq."""
     start = _starts(states)
-    asked = with_moves(log, transitions, guards)
+    asked = with_moves(log, transitions, guards).drop("start")
     asked = asked.withColumn("start", F.lit(start)) if isinstance(start, str) else asked.join(start, "workflow", "left")
     ordered = asked.select("process", "start", "moves", F.struct("workflow", "seq", "action", "ts").alias("request")).repartitionByRange("process", "request.ts", "request.seq", "request.action")
     ordered = ordered.sortWithinPartitions("process", "request.ts", "request.seq", "request.action").withColumn("pos", F.monotonically_increasing_id())

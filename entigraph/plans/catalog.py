@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entigraph.functions.text import normalize_body, slugify
 from entigraph.operators import access, aggregate, changes, events, hierarchy, jobs, navigate, path, search, validate, workflow
 from entigraph.operators.rules import per_row
 from entigraph.plans import demo
@@ -142,6 +143,19 @@ def _(g):
     return validated_append(rows, new_path(g.spark, "appended"), g.registry, "Customer").select("id", F.explode("errors.error").alias("error"))
 
 
+@query("a16_appended_rows", "SELECT 'Customer/' || c_custkey AS id, c_mktsegment AS mktsegment, n FROM customer, (SELECT unnest([1, 2]) AS n) WHERE c_custkey % 5 <> 0")
+def _(g):
+    """What lies at the path after two appends."""
+    from entigraph.scratch import new_path
+    from entigraph.sources.entities import validated_append
+
+    at = new_path(g.spark, "appended")
+    rows = g.scan_class("Customer").withColumn("mktsegment", F.expr("if(cast(substring(id, 10) as long) % 5 = 0, null, mktsegment)"))
+    for n in (1, 2):
+        validated_append(rows.withColumn("n", F.lit(n)), at, g.registry, "Customer")
+    return g.spark.read.parquet(at).select("id", "mktsegment", "n")
+
+
 @query("a17_upsert_slots", "SELECT 'Customer/' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS mktsegment FROM customer UNION ALL SELECT 'Customer/-' || c_custkey, NULL, 'NEW' FROM customer WHERE c_custkey % 50 = 0")
 def _(g):
     from entigraph.sources.entities import upsert_slots
@@ -1157,6 +1171,21 @@ def _(spark, sf_dir):
     return markdown.corpus_roundtrip_check(*_corpus(spark, sf_dir))
 
 
+# O: text expressions over whole texts
+
+
+@query("o3_slugify", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''), ' ')), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents", graph=False)
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", slugify(F.coalesce("text", F.lit(""))).alias("slug"))
+
+
+@query("o6_normalize_body", "WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), '. ', '.  ' || chr(13) || chr(10) || chr(10) || chr(10)), ', ', ', ' || chr(9) || chr(10)), chr(10)) AS x FROM documents)), c AS (SELECT doc_id, i, rtrim(line, ' ' || chr(9) || chr(13)) AS bare, ends_with(rtrim(line, chr(13)), '  ') AND rtrim(line, ' ' || chr(9) || chr(13)) <> '' AS hard FROM l), n AS (SELECT *, CASE WHEN hard THEN bare || '  ' ELSE bare END AS line, lag(bare) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c), j AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (bare <> '' OR before <> '') AS body FROM n GROUP BY doc_id), t AS (SELECT doc_id, rtrim(ltrim(coalesce(body, ''), chr(10)), chr(10) || ' ') AS body FROM j) SELECT doc_id, CASE body WHEN '' THEN '' ELSE body || chr(10) END AS body FROM t", graph=False)
+def _(spark, sf_dir):
+    """The texts with blank lines, hard breaks and trailing blanks put in."""
+    rough = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".  \r\n\n\n")), F.lit(", "), F.lit(", \t\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", normalize_body(rough).alias("body"))
+
+
 # S: streams, drained
 
 

@@ -97,7 +97,7 @@ def stream_workflow(stream: DataFrame, transitions: DataFrame, states: DataFrame
     rows = states.where("terminal").select("workflow", "state").limit(MAX_STATES + 1).collect()
     if len(rows) > MAX_STATES:
         raise ValueError(f"more than {MAX_STATES} terminal states")
-    asked = with_moves(stream.withWatermark("ts", watermark) if idle_ms else stream, transitions, guards)
+    asked = with_moves(stream.withWatermark("ts", watermark) if idle_ms else stream, transitions, guards).drop("start")
     asked = asked.join(states.where("initial").groupBy("workflow").agg(F.min("state").alias("start")), "workflow", "left")
     machine = _Machine({(r.workflow, r.state) for r in rows}, idle_ms)
     return asked.select("process", "workflow", "seq", "ts", "action", "start", "moves").groupBy("process").transformWithStateInPandas(machine, _HISTORY, "Append", "EventTime" if idle_ms else "None")
