@@ -38,7 +38,7 @@ MIN_SAMPLES, MIN_SAMPLE_BYTES = 16, 20 * 1024
 #: Characters of text in a part, about; there are no fewer parts than shuffle partitions.
 PART_CHARS = 64_000_000
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-CACHE = 400_000
+CACHE = 800_000
 BLOCKS = "part int, block int, dict_hash string, doc_ids array<long>, n_tokens array<int>, offsets array<long>, frames binary"
 
 
@@ -51,9 +51,10 @@ def default_file() -> str:
 class WordEncoder:
     """The tokenizers library's ids of whole texts, with the ids of pieces seen before at hand.
 
-    Word tokenizers of this kind drop blanks and never join across pieces, so a text's ids are its pieces' ids in a row. Texts are cut by the file's own
-    pattern; new pieces go to the library many at once, with blanks between, and come back cut where a token ends a piece. Texts that its normalizer
-    may change beyond lower case, or that may hold an added token, go to the library whole. The table of pieces is emptied when it has grown past CACHE.
+    Word tokenizers of this kind drop blanks and never join across pieces, so a text's ids are its pieces' ids in a row, and so are those of what stands
+    between two blanks, a chunk. Texts are cut at blanks, and chunks not seen lately by the file's own pattern; new pieces go to the library many at once,
+    with blanks between, and come back cut where a token ends a piece. Texts that its normalizer may change beyond lower case, or that may hold an added
+    token, go to the library whole. The tables of pieces and chunks are emptied when they have grown past CACHE.
     """
 
     def __init__(self, file: str) -> None:
@@ -61,7 +62,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         spec = json.load(open(file, encoding="utf-8"))
-        self.lib, self.pieces = Tokenizer.from_file(file), {}
+        self.lib, self.pieces, self.chunks = Tokenizer.from_file(file), {}, {}
         self.lib.no_truncation()
         self.lib.no_padding()
         self.type = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
@@ -86,18 +87,28 @@ class WordEncoder:
                 got = [raw[a * width : b * width] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
             self.pieces.update(zip(part, got, strict=True))
 
+    def _new_chunks(self, new: list[str]) -> None:
+        if len(self.pieces) > CACHE:
+            self.pieces = {}
+        cut = [self.findall(c) for c in new]
+        self._new_pieces(list({p for pieces in cut for p in pieces if p not in self.pieces}))
+        known = self.pieces
+        self.chunks.update((c, b"".join([known[p] for p in pieces])) for c, pieces in zip(new, cut, strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text, without an end id."""
         cut: list[list[str] | None] = []
         for t in texts:
             low = (t or "").lower()
             plain = low.isascii() or "\u03a3" not in t and is_normalized("NFC", t) and is_normalized("NFC", low)
-            cut.append(self.findall(low) if plain and "<|" not in low else None)
-        if len(self.pieces) > CACHE:
-            self.pieces = {}
-        self._new_pieces(list({p for pieces in cut if pieces for p in pieces if p not in self.pieces}))
-        known = self.pieces
-        return [self._ids([t])[0] if pieces is None else b"".join([known[p] for p in pieces]) for t, pieces in zip(texts, cut, strict=True)]
+            # blanks to split() but not to the pattern
+            odd = "\x1c" in low or "\x1d" in low or "\x1e" in low or "\x1f" in low
+            cut.append((self.findall(low) if odd else low.split()) if plain and "<|" not in low else None)
+        if len(self.chunks) > CACHE:
+            self.chunks = {}
+        self._new_chunks(list({c for chunks in cut if chunks for c in chunks if c not in self.chunks}))
+        known = self.chunks
+        return [self._ids([t])[0] if chunks is None else b"".join([known[c] for c in chunks]) for t, chunks in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
