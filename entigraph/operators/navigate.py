@@ -62,6 +62,13 @@ def siblings(seeds: DataFrame, rows: DataFrame, path: str, limit: int = 0) -> Da
     return out
 
 
+def sibling_groups(seeds: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """(dir, id, is_seed): the rows of each directory that holds a seed, once each, whatever the number of its seeds. What siblings() says, without the pairs."""
+    placed = rows.select("id", directory(F.col(path)).alias("dir")).where(F.col(path).isNotNull())
+    marked = placed.join(seeds.select("id").distinct().withColumn("is_seed", F.lit(True)), "id", "left").select("dir", "id", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
+    return marked.join(marked.where("is_seed").select("dir").distinct(), "dir", "left_semi")
+
+
 def graph_walk(seeds: DataFrame, edges: DataFrame, hops: int | None = 4, direction: str = "forward", predicates: Iterable[str] | None = None, paths: bool = False) -> DataFrame:
     """(seed, node, hop) of all nodes within some hops (None: all), each at its fewest, seeds left out; paths adds its least shortest path as steps.
 

@@ -479,6 +479,11 @@ def _(g):
     return navigate.siblings(_seeds(g, "Page"), g.scan_class("Page", ["url"]), "url", 3)
 
 
+@query("f4_sibling_groups", "WITH p AS (SELECT 'Page/' || page_id AS id, page_id % 50 = 0 AS is_seed, regexp_extract(url, '^(.*/)?', 0) AS dir FROM pages WHERE url IS NOT NULL) SELECT dir, id, is_seed FROM p WHERE dir IN (SELECT dir FROM p WHERE is_seed)")
+def _(g):
+    return navigate.sibling_groups(_seeds(g, "Page"), g.scan_class("Page", ["url"]), "url")
+
+
 _WALK = f"{EDGES_SQL}, {_SEEDS_C}, h1 AS (SELECT DISTINCT seed, dst AS node FROM seeds JOIN edges ON src = seed), h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN edges ON src = node)"
 
 
