@@ -95,26 +95,36 @@ class Index:
     def queries(self, query) -> DataFrame:
         """(query_id, term), distinct, from a text or a DataFrame (query_id, query)."""
         if isinstance(query, str):
-            query = self.rows.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+            return self._asked(sorted(set(self.terms_of([query])[0])))
         return self.analyse(query.select("query_id", "query"), "query").select("query_id", F.explode("query").alias("term")).distinct()
 
-    def _hits(self, asked: DataFrame) -> DataFrame:
-        """(id, field, term, tf, len) of the terms asked for."""
+    def _asked(self, terms: list[str]) -> DataFrame:
+        return self.rows.sparkSession.createDataFrame([(0, t) for t in terms], "query_id int, term string")
+
+    def _hits(self, asked: DataFrame, terms: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(id, field, term, tf, len) of the terms asked for, average lengths, and the number of entities. For the terms of one text, a list, texts are read once:
+        each row's terms are cut to these where they are, and kept with its length."""
         if self.saved is not None:
-            out = self.saved.join(asked, "term", "left_semi").groupBy("id", "field", "term").agg(F.sum(F.size("positions")).alias("tf"), F.first("len").alias("len"))
-        else:
-            each = self.fields.select("id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-            out = each.join(asked, "term", "left_semi").groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-        return stored(out, "search-hits")
+            some = self.saved if terms is None else self.saved.where(F.col("term").isin(terms))
+            out = some.join(asked, "term", "left_semi").groupBy("id", "field", "term").agg(F.sum(F.size("positions")).alias("tf"), F.first("len").alias("len"))
+            return stored(out, "search-hits"), self.averages, self.n
+        lengths = self.fields.select("id", "field", F.size("terms").alias("len"), "terms")
+        if terms is None:
+            each = lengths.select("id", "field", "len", F.explode("terms").alias("term")).join(asked, "term", "left_semi")
+            return stored(each.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "search-hits"), self.averages, self.n
+        rows = stored(lengths.withColumn("terms", F.filter("terms", lambda t: t.isin(terms))), "search-rows")
+        out = rows.select("id", "field", "len", F.explode("terms").alias("term")).groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+        return out, average_lengths(rows), rows.agg(F.countDistinct("id").alias("n_docs"))
 
     def _matched(self, query, weights: dict[str, float] | None) -> DataFrame:
         """(query_id, id, field, term, wtf, idf): the weighted, length-normalised frequency of each query term in each field."""
         weights = weights or self.weights
-        asked = stored(self.queries(query), "search-terms")
-        hit = self._hits(asked.select("term").distinct())
+        terms = sorted(set(self.terms_of([query])[0])) if isinstance(query, str) else None
+        asked = stored(self.queries(query), "search-terms") if terms is None else self._asked(terms)
+        hit, averages, n = self._hits(asked.select("term").distinct(), terms)
         df = document_frequencies(hit)
         w = F.create_map(*[x for f, v in weights.items() for x in (F.lit(f), F.lit(float(v)))])
-        out = hit.join(df, "term").join(self.averages, "field").crossJoin(self.n)
+        out = hit.join(df, "term").join(averages, "field").crossJoin(n)
         norm = F.when(F.col("avgdl") > 0, 1 - B + B * F.col("len") / F.col("avgdl")).otherwise(1.0)
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         out = out.withColumn("weight", w[F.col("field")]).where("weight is not null").select("id", "field", "term", "df", (F.col("weight") * F.col("tf") / norm).alias("wtf"), idf.alias("idf"))
