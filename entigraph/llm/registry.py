@@ -10,6 +10,7 @@ from entigraph.llm.repetition import op7_repetition
 from entigraph.llm.secrets import op1_secrets
 from entigraph.llm.simhash import op4_simhash
 from entigraph.llm.tokenfile import op6_token_file
+from entigraph.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
