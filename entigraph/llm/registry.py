@@ -3,6 +3,7 @@
 from entigraph.llm.bpe import op10_bpe
 from entigraph.llm.chat import OP2_SQL, op2_chat
 from entigraph.llm.contamination import OP8_SQL, op8_decontamination
+from entigraph.llm.interaction import OP12_SQL, op12_interaction
 from entigraph.llm.langid import op5_language_id
 from entigraph.llm.passages import op9_passages
 from entigraph.llm.quality import op3_quality
@@ -23,9 +24,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
+    "op12_interaction": op12_interaction,
     "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op8_decontamination": OP8_SQL,
+    "op12_interaction": OP12_SQL,
 }
