@@ -11,6 +11,7 @@ from entigraph.llm.repetition import op7_repetition
 from entigraph.llm.secrets import op1_secrets
 from entigraph.llm.simhash import op4_simhash
 from entigraph.llm.tokenfile import op6_token_file
+from entigraph.llm.toxicity import op11_toxicity
 from entigraph.llm.whitening import op13_whitening
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_passages": op9_passages,
     "op10_bpe": op10_bpe,
+    "op11_toxicity": op11_toxicity,
     "op12_interaction": op12_interaction,
     "op13_whitening": op13_whitening,
 }
