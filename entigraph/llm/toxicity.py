@@ -1,9 +1,9 @@
 """Toxicity: a learned lexicon, its misspellings by Levenshtein automata, and scores of the words around a match.
 
-The lexicon are words that far more toxic rows have than others do (by the likelihood ratio of their counts in all labelled rows). Its terms are a trie; the words of a text run through
-the automaton of all strings within a term's edit distance, which is the Levenshtein automaton intersected with the trie: a state is a set of (node, errors), made when a word first
-comes to it, and the distinct words of a batch run abreast. A match weighs as its term at its distance does (log-odds in the labelled rows, shrunk towards those of the distance), and is
-scored by its window: whether it is quoted, and the words within WINDOW words and REACH characters of it, each by its log-odds in windows of toxic and of other rows. So the same word
+The lexicon are words that far more toxic rows have than others do (by the likelihood ratio of their counts in all labelled rows; a word counts once for each word that it follows there,
+so the words of one text that has many copies don't count as its terms do). Its terms are a trie; the words of a text run through the automaton of all strings within a term's edit distance, which is the Levenshtein automaton intersected with the trie: a state is a set of (node, errors), made when a word first
+comes to it, and the distinct words of a batch run abreast. A match weighs as its term at its distance does (log-odds in the labelled rows, shrunk towards a part of the term's own).
+A term is given only as many edits as tell something: where words near it are common in other rows they are no misspellings. A match is scored by its window: whether it is quoted, and the words within WINDOW words and REACH characters of it, each by its log-odds in windows of toxic and of other rows. So the same word
 counts for little where it is reported and for much where it is thrown at someone. A text's distinct (term, distance), each at its worst place, are summed; a logistic curve over this sum,
 the worst one, and the text's length makes the score.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,9 +37,9 @@ WINDOW, REACH = 4, 200
 LONGEST = 40
 MAX_TERMS, MAX_CONTEXT, FIT_ROWS = 5_000, 5_000, 50_000
 #: A term's likelihood ratio is above 2 ln(labelled rows) + MARGIN, and its toxic share this many times the share in all rows.
-MARGIN, TIMES = 8.0, 2.0
-#: Rows' worth of a prior share.
-PRIOR = 2.0
+MARGIN, TIMES = 8.0, 3.0
+#: Rows' worth of a prior share; what part of a term's log-odds an edit leaves, before it is seen; the log-odds that a distance must have.
+PRIOR, LEFT, LEAST = 2.0, 0.6, 1.0
 THRESHOLD = 0.7
 #: Characters of a piece; words kept as known; states of the automaton between two of its runs.
 PIECE, MAX_KNOWN, MAX_STATES = 1_000_000, 300_000, 200_000
@@ -54,17 +54,17 @@ def allowed(term: str) -> int:
 class Automaton:
     """All words within their allowed distance of a term: states are made as words come to them."""
 
-    def __init__(self, terms: tuple[str, ...]) -> None:
-        self.terms = terms
+    def __init__(self, terms: tuple[str, ...], limits: tuple[int, ...] | None = None) -> None:
+        self.terms, self.limits = terms, tuple(map(allowed, terms)) if limits is None else limits
         letters = sorted({c for t in terms for c in t})
         self.kind = np.zeros(0x110000, np.int32)  # 0: in no term
         self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.width = len(letters) + 1
         self.next_node: list[dict[int, int]] = [{}]
         self.term, self.reach = [-1], [0]
-        for i, t in enumerate(terms):
+        for i, (t, most) in enumerate(zip(terms, self.limits, strict=True)):
             at = 0
-            self.reach[0] = max(self.reach[0], allowed(t))
+            self.reach[0] = max(self.reach[0], most)
             for c in self.kind[[ord(c) for c in t]].tolist():
                 if c not in self.next_node[at]:
                     self.next_node[at][c] = len(self.term)
@@ -72,7 +72,7 @@ class Automaton:
                     self.term.append(-1)
                     self.reach.append(0)
                 at = self.next_node[at][c]
-                self.reach[at] = max(self.reach[at], allowed(t))
+                self.reach[at] = max(self.reach[at], most)
             self.term[at] = i
         self.clear()
 
@@ -98,7 +98,7 @@ class Automaton:
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
-            self.accepts.append(min(((e, self.term[n]) for n, e in key if self.term[n] >= 0 and e <= allowed(self.terms[self.term[n]])), default=None))
+            self.accepts.append(min(((e, self.term[n]) for n, e in key if self.term[n] >= 0 and e <= self.limits[self.term[n]]), default=None))
             if len(self.sets) > len(self.table):
                 self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
         return self.ids[key]
@@ -140,9 +140,9 @@ class Automaton:
 
 
 @lru_cache(maxsize=1)
-def automaton(terms: tuple[str, ...]) -> Automaton:
+def automaton(terms: tuple[str, ...], limits: tuple[int, ...] | None = None) -> Automaton:
     """Kept by a worker from one task to the next."""
-    return Automaton(terms)
+    return Automaton(terms, limits)
 
 
 def pieces(text: str, size: int) -> Iterator[tuple[int, int]]:
@@ -168,8 +168,8 @@ def quoted(text: str, start: int, end: int) -> bool:
 class Finder:
     """The matches of a lexicon in texts, with what is around them."""
 
-    def __init__(self, terms: tuple[str, ...], piece: int = PIECE) -> None:
-        self.auto, self.piece = automaton(terms), piece
+    def __init__(self, terms: tuple[str, ...], limits: tuple[int, ...] | None = None, piece: int = PIECE) -> None:
+        self.auto, self.piece = automaton(terms, limits), piece
         self.known: set[str] = set()
         self.near: dict[str, tuple[int, int]] = {}
 
@@ -223,13 +223,13 @@ def _columns(docs: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
 
 
-def find(docs: DataFrame, terms: tuple[str, ...], piece: int = PIECE) -> DataFrame:
-    """All columns of docs but text, with the number of its words and its matches in order."""
+def find(docs: DataFrame, terms: tuple[str, ...], limits: tuple[int, ...] | None = None, piece: int = PIECE) -> DataFrame:
+    """All columns of docs but text, with the number of its words and its matches in order. limits: the edits that each term's misspellings may have."""
     docs = docs.drop("words", "matches").withColumn("text", F.col("text").cast("string"))
     keep = [c for c in docs.columns if c != "text"]
 
     def make():
-        finder = Finder(terms, piece)
+        finder = Finder(terms, limits, piece)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             col = batch.schema.names.index
@@ -254,7 +254,6 @@ class Model:
     def __init__(self, rows: tuple[int, int], terms: dict[str, tuple[int, int]], constant: float | None = None) -> None:
         self.rows, self.terms, self.constant = rows, tuple(sorted(terms)), constant
         self.counts: dict[tuple[str, int], tuple[int, int]] = {(t, 0): n for t, n in terms.items()}
-        self.distances: dict[int, tuple[int, int]] = {}
         self.hits = (0, 0)
         self.quoted: dict[bool, tuple[int, int]] = {}
         self.context: dict[str, tuple[int, int]] = {}
@@ -272,10 +271,19 @@ class Model:
             n = (max(0, n[0] - (own == 0)), max(0, n[1] - (own == 1)))
         prior = base
         if distance:
-            c = self.distances.get(distance, (0, 0))
-            prior = (c[1] + 1) / (c[0] + c[1] + 2)
+            prior = 1 / (1 + math.exp(-_logit(base) - LEFT**distance * self.weight(term, 0)))
         return self._odds(n, prior, base)
 
+    def limits(self) -> tuple[int, ...]:
+        """The edits that tell something, of each term."""
+        out = []
+        for t in self.terms:
+            d = 0
+            while d < allowed(t) and self.weight(t, d + 1) > LEAST:
+                d += 1
+            out.append(d)
+        return tuple(out)
+
     def around(self, is_quoted: bool, context: list[str]) -> float:
         base = (self.hits[1] + 1) / (sum(self.hits) + 2)
         return self._odds(self.quoted.get(is_quoted, (0, 0)), base, base) + sum(self._odds(self.context[w], base, base) for w in set(context) if w in self.context)
@@ -302,40 +310,56 @@ def _ratio(n1: Column, n0: Column, of1: Column | float, of0: Column | float) ->
     return 2 * (part(n1, of1) + part(n0, of0))
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(word, n): rows (text) that have a word, lower-cased, of up to LONGEST characters; counted in tasks before the shuffle."""
+def _counted(rows: DataFrame, each: Callable[[str, list[str]], set[str]]) -> DataFrame:
+    """(key, n): rows (text) that have a key, among those that each() makes of a text's words; counted in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["key", "n"])
 
         for batch in batches:
             for t in batch.column(0):
-                text, words = t.as_py() or "", set()
+                text, keys = t.as_py() or "", set()
                 for a, b in pieces(text, PIECE):
-                    words.update(w.lower() for w in set(TOKEN.findall(text, a, b)) if len(w) <= LONGEST)
-                n.update(words)
+                    keys |= each(TOKEN.findall(text, a, b))
+                n.update(keys)
                 if len(n) > MAX_KNOWN:
                     yield out()
                     n.clear()
         yield out()
 
-    return rows.select("text").mapInArrow(run, "word string, n long")
+    return rows.select("text").mapInArrow(run, "key string, n long")
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(word, n): rows (text) that have a word, lower-cased, of up to LONGEST characters."""
+    return _counted(rows, lambda words: {w.lower() for w in set(words) if len(w) <= LONGEST}).withColumnRenamed("key", "word")
+
+
+def followed(rows: DataFrame) -> DataFrame:
+    """(word, n): distinct words that a word follows in rows (text)."""
+
+    def pairs(words: list[str]) -> set[str]:
+        return {f"{w} {v[:LONGEST]}".lower() for v, w in {*zip(["", *words], words, strict=False)} if len(w) <= LONGEST}
+
+    return _counted(rows, pairs).select("key").distinct().groupBy(F.substring_index("key", " ", 1).alias("word")).agg(F.count("*").alias("n"))
 
 
 def lexicon(rows: DataFrame, n0: int, n1: int) -> dict[str, tuple[int, int]]:
     """{term: (other rows, toxic rows)} from rows (text, y)."""
     need = 2 * math.log(n0 + n1) + MARGIN
-    least = max(2, math.ceil(need / (2 * math.log((n0 + n1) / n1))))  # with fewer toxic rows no word comes so far
-    toxic = vocabulary(rows.where("y = 1")).groupBy("word").agg(F.sum("n").alias("n1")).where(F.col("n1") >= least)
-    toxic = stored(toxic, "toxic-words")
-    # other rows' words meet the few candidates before they are shuffled, where Spark finds these small enough to send
-    other = vocabulary(rows.where("y = 0")).join(toxic.select("word"), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n0"))
-    both = toxic.join(other, "word", "left").withColumn("n0", F.coalesce("n0", F.lit(0)))
+    least = max(2, math.ceil(need / (2 * math.log((n0 + n1) / n1))))  # with fewer no word comes so far
+    some = stored(followed(rows.where("y = 1")).where(F.col("n") >= least), "toxic-words")
+
+    def rows_with(y: int, name: str) -> DataFrame:
+        # words meet the candidates before they are shuffled, where Spark finds these small enough to send
+        return vocabulary(rows.where(F.col("y") == y)).join(some.select("word"), "word", "left_semi").groupBy("word").agg(F.sum("n").alias(name))
+
+    both = some.join(rows_with(1, "n1"), "word").join(rows_with(0, "n0"), "word", "left").withColumn("n0", F.coalesce("n0", F.lit(0)))
     share = F.col("n1") / (F.col("n0") + F.col("n1"))
-    both = both.withColumn("ratio", _ratio(F.col("n1"), F.col("n0"), float(n1), float(n0))).where((F.col("ratio") > need) & (share > min(0.5, TIMES * n1 / (n0 + n1))))
+    both = both.withColumn("ratio", _ratio(F.least("n", "n1"), F.col("n0"), float(n1), float(n0))).where((F.col("ratio") > need) & (share > min(0.5, TIMES * n1 / (n0 + n1))))
     return {r.word: (int(r.n0), int(r.n1)) for r in both.orderBy(F.desc("ratio"), "word").limit(MAX_TERMS).collect()}
 
 
@@ -357,10 +381,10 @@ def train(rows: DataFrame) -> Model:
         return model
     found = stored(find(rows, model.terms).where(F.size("matches") > 0), "toxicity-matches")
     # what a row has several times counts once
-    model.hits = tuple(sum(v[i] for v in _by_label(found.withColumn("k", F.lit(0)), "k").values()) for i in (0, 1))
     near = found.select("y", F.explode(F.array_distinct(F.transform("matches", lambda m: F.struct(m["term"].alias("term"), m["distance"].alias("distance"))))).alias("m")).select("y", "m.*").where("distance > 0")
     model.counts |= _by_label(near, "term", "distance")
-    model.distances = _by_label(found.select("y", F.explode(F.array_distinct("matches.distance")).alias("distance")).where("distance > 0"), "distance")
+    found = stored(within(found, model), "toxicity-matches")
+    model.hits = tuple(sum(v[i] for v in _by_label(found.withColumn("k", F.lit(0)), "k").values()) for i in (0, 1))
     model.quoted = _by_label(found.select("y", F.explode(F.array_distinct("matches.quoted")).alias("quoted")), "quoted")
     words = found.select("y", F.explode(F.array_distinct(F.flatten("matches.context"))).alias("word")).groupBy("word").agg(F.sum(F.lit(1) - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
     ratio = _ratio(F.col("n1"), F.col("n0"), max(1.0, float(model.hits[1])), max(1.0, float(model.hits[0])))
@@ -370,6 +394,21 @@ def train(rows: DataFrame) -> Model:
     return model
 
 
+def within(found: DataFrame, model: Model) -> DataFrame:
+    """found without the matches that have more edits than tell something, and without rows that had no others."""
+    limits = dict(zip(model.terms, model.limits(), strict=True))
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at = batch.schema.names.index("matches")
+            kept = [[m for m in ms if m["distance"] <= limits[m["term"]]] for ms in batch.column(at).to_pylist()]
+            return batch.set_column(at, "matches", pa.array(kept, batch.schema.field(at).type))
+
+        return f
+
+    return map_rows(found, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)).where(F.size("matches") > 0)
+
+
 def fit(found: DataFrame, model: Model) -> np.ndarray:
     """Coefficients of features: logistic regression by Newton's steps, over FIT_ROWS rows with matches at most and the number of rows without."""
     total = sum(model.hits)
@@ -410,7 +449,7 @@ def score(docs: DataFrame, model: Model, piece: int = PIECE) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
 
     def make():
-        finder = Finder(model.terms, piece)
+        finder = Finder(model.terms, model.limits(), piece)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             col = batch.schema.names.index
