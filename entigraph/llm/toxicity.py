@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon, its misspellings by Levenshtein automata, and scores of the words around a match.
 
-The lexicon are words that far more toxic rows have than others do (by the likelihood ratio of their counts in all labelled rows; a word counts once for each word that it follows there,
-so the words of one text that has many copies don't count as its terms do). Its terms are a trie; the words of a text run through the automaton of all strings within a term's edit distance, which is the Levenshtein automaton intersected with the trie: a state is a set of (node, errors), made when a word first
+The lexicon are words that far more toxic rows have than others do (by the likelihood ratio of their counts in all labelled rows; a word counts once for each pair of words
+that it stands between there, so the words of one text with many copies don't count as terms do). Its terms are a trie; the words of a text run through the automaton of all strings within a term's edit distance, which is the Levenshtein automaton intersected with the trie: a state is a set of (node, errors), made when a word first
 comes to it, and the distinct words of a batch run abreast. A match weighs as its term at its distance does (log-odds in the labelled rows, shrunk towards a part of the term's own).
 A term is given only as many edits as tell something: where words near it are common in other rows they are no misspellings. A match is scored by its window: whether it is quoted, and the words within WINDOW words and REACH characters of it, each by its log-odds in windows of toxic and of other rows. So the same word
 counts for little where it is reported and for much where it is thrown at someone. A text's distinct (term, distance), each at its worst place, are summed; a logistic curve over this sum,
@@ -338,20 +338,20 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return _counted(rows, lambda words: {w.lower() for w in set(words) if len(w) <= LONGEST}).withColumnRenamed("key", "word")
 
 
-def followed(rows: DataFrame) -> DataFrame:
-    """(word, n): distinct words that a word follows in rows (text)."""
+def places(rows: DataFrame) -> DataFrame:
+    """(word, n): distinct pairs of words that a word stands between in rows (text)."""
 
-    def pairs(words: list[str]) -> set[str]:
-        return {f"{w} {v[:LONGEST]}".lower() for v, w in {*zip(["", *words], words, strict=False)} if len(w) <= LONGEST}
+    def each(words: list[str]) -> set[str]:
+        return {f"{w} {u[:LONGEST]} {v[:LONGEST]}".lower() for u, w, v in {*zip(["", *words], words, [*words[1:], ""], strict=False)} if len(w) <= LONGEST}
 
-    return _counted(rows, pairs).select("key").distinct().groupBy(F.substring_index("key", " ", 1).alias("word")).agg(F.count("*").alias("n"))
+    return _counted(rows, each).select("key").distinct().groupBy(F.substring_index("key", " ", 1).alias("word")).agg(F.count("*").alias("n"))
 
 
 def lexicon(rows: DataFrame, n0: int, n1: int) -> dict[str, tuple[int, int]]:
     """{term: (other rows, toxic rows)} from rows (text, y)."""
     need = 2 * math.log(n0 + n1) + MARGIN
     least = max(2, math.ceil(need / (2 * math.log((n0 + n1) / n1))))  # with fewer no word comes so far
-    some = stored(followed(rows.where("y = 1")).where(F.col("n") >= least), "toxic-words")
+    some = stored(places(rows.where("y = 1")).where(F.col("n") >= least), "toxic-words")
 
     def rows_with(y: int, name: str) -> DataFrame:
         # words meet the candidates before they are shuffled, where Spark finds these small enough to send
