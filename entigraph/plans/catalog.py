@@ -843,6 +843,56 @@ def _(g):
     return changes.patch(old, changes.diff_snapshots(old, new))
 
 
+def _nested_versions(spark, sf_dir):
+    """Orders with a struct, a map (kinds of lines, with their number) and an array of their lines, before and after some lines went and some quantities rose."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).alias("info"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").cast("long").alias("part"), F.col("l_quantity").cast("long").alias("qty"), F.concat("l_returnflag", "l_linestatus").alias("mode"))
+
+    def version(orders, lines):
+        each = lines.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "part", "qty"))).alias("ls"))
+        modes = lines.groupBy("k", "mode").agg(F.count("*").alias("c")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("mode", "c"))).alias("modes"))
+        ls = F.transform(F.coalesce("ls", F.array().cast("array<struct<n:bigint,part:bigint,qty:bigint>>")), lambda x: F.struct(x["part"].alias("part"), x["qty"].alias("qty")))
+        out = orders.join(each, "k", "left").join(modes, "k", "left")
+        return out.select(F.concat(F.lit("Order/"), F.col("k").cast("string")).alias("id"), "info", F.coalesce("modes", F.create_map().cast("map<string,bigint>")).alias("modes"), ls.alias("lines"))
+
+    status = F.when(F.col("k") % 7 == 0, F.concat(F.lit("x"), F.col("info.status"))).otherwise(F.col("info.status"))
+    later = o.where("k % 11 <> 0").withColumn("info", F.struct(status.alias("status"), F.col("info.priority").alias("priority")))
+    rest = lines.where("(k + n) % 5 <> 0 and k % 11 <> 0").withColumn("qty", F.col("qty") + F.when(F.col("part") % 3 == 0, 1).otherwise(0))
+    return version(o, lines), version(later, rest)
+
+
+_NESTED = """ln AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS part, CAST(l_quantity AS BIGINT) AS qty, l_returnflag || l_linestatus AS mode FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+ l1 AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, part, qty) - 1 AS i FROM ln),
+ l2 AS (SELECT k, n, part, qty + CASE WHEN part % 3 = 0 THEN 1 ELSE 0 END AS qty, mode, row_number() OVER (PARTITION BY k ORDER BY n, part, qty) - 1 AS i FROM ln WHERE (k + n) % 5 <> 0 AND k % 11 <> 0),
+ m1 AS (SELECT k, mode, count(*) AS c FROM ln GROUP BY k, mode), m2 AS (SELECT k, mode, count(*) AS c FROM l2 GROUP BY k, mode)"""
+
+def _json_of(m: str, lines: str) -> str:
+    return f"""SELECT o_orderkey AS k, '{{' || coalesce((SELECT string_agg('"' || mode || '":"' || c || '"', ',' ORDER BY mode) FROM {m} WHERE {m}.k = o_orderkey), '') || '}}' AS modes,
+ '[' || coalesce((SELECT string_agg('{{"part":"' || part || '","qty":"' || qty || '"}}', ',' ORDER BY i) FROM {lines} WHERE {lines}.k = o_orderkey), '') || ']' AS lines FROM orders"""
+
+
+@query("j1_nested_diff", f"""WITH {_NESTED}, gone AS ({_json_of("m1", "l1")} WHERE o_orderkey % 11 = 0), d AS (
+ SELECT o_orderkey AS k, '*' AS op, 'info.status' AS path, o_orderstatus AS old_value, 'x' || o_orderstatus AS new_value FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 = 0
+ UNION ALL SELECT k, CASE WHEN m2.c IS NULL THEN '-' ELSE '*' END, 'modes["' || mode || '"]', CAST(m1.c AS VARCHAR), CAST(m2.c AS VARCHAR) FROM m1 LEFT JOIN m2 USING (k, mode) WHERE k % 11 <> 0 AND m1.c IS DISTINCT FROM m2.c
+ UNION ALL SELECT k, '*', 'lines[' || i || '].part', CAST(l1.part AS VARCHAR), CAST(l2.part AS VARCHAR) FROM l1 JOIN l2 USING (k, i) WHERE l1.part <> l2.part
+ UNION ALL SELECT k, '*', 'lines[' || i || '].qty', CAST(l1.qty AS VARCHAR), CAST(l2.qty AS VARCHAR) FROM l1 JOIN l2 USING (k, i) WHERE l1.qty <> l2.qty
+ UNION ALL SELECT k, '-', 'lines[' || i || ']', '{{"part":"' || l1.part || '","qty":"' || l1.qty || '"}}', NULL FROM l1 LEFT JOIN l2 USING (k, i) WHERE k % 11 <> 0 AND l2.k IS NULL
+ UNION ALL SELECT o_orderkey, '-', unnest(['info.status', 'info.priority']), unnest([o_orderstatus, o_orderpriority]), NULL FROM orders WHERE o_orderkey % 11 = 0
+ UNION ALL SELECT k, '-', unnest(['modes', 'lines']), unnest([modes, lines]), NULL FROM gone)
+ SELECT 'Order/' || k AS id, op, path, old_value, new_value FROM d""", graph=False)
+def _(spark, sf_dir):
+    return changes.diff_snapshots(*_nested_versions(spark, sf_dir))
+
+
+@query("j2_nested_patch", f"""WITH {_NESTED}, now AS ({_json_of("m2", "l2")} WHERE o_orderkey % 11 <> 0)
+ SELECT 'Order/' || k AS id, CASE WHEN k % 7 = 0 THEN 'x' ELSE '' END || o_orderstatus AS status, o_orderpriority AS priority, modes, lines FROM now JOIN orders ON o_orderkey = k""", graph=False)
+def _(spark, sf_dir):
+    old, new = _nested_versions(spark, sf_dir)
+    out = changes.patch(old, changes.diff_snapshots(old, new))
+    text = lambda c: changes.as_text(F.col(c), out.schema[c].dataType).alias(c)
+    return out.select("id", "info.status", "info.priority", text("modes"), text("lines"))
+
+
 def _audit(g):
     return changes.audit_changes(_diff(g), "batch", "nightly", "api", "c-1", "Order")
 
