@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 Rule = Callable[[], Column]
 #: Distinct names in a table of rules' users, at most.
@@ -44,16 +46,17 @@ def resolved(rows: DataFrame, rule: Rule) -> Column | None:
 
 
 def per_row(f: Callable[[dict], object], columns: list[str], returns: str = "boolean", failed: object = None) -> Column:
-    """A rule in Python over some columns of a row, given as a dict, in Arrow batches: for what column expressions can't say. A row for which it raises gives `failed`,
-    which may be a function of the exception; expressions have try_ functions for that."""
+    """A rule in Python over some columns of a row, given as a dict, in Arrow batches: for what column expressions can't say. Values are as in the row: nulls are None, whole
+    numbers are exact. A row for which it raises gives `failed`, which may be a function of the exception; expressions have try_ functions for that."""
+    kind = to_arrow_type(T.DataType.fromDDL(returns))
 
-    def run(rows: pd.DataFrame) -> pd.Series:
+    def run(rows: pa.Array) -> pa.Array:
         out = []
-        for r in rows.to_dict("records"):
+        for r in rows.to_pylist():
             try:
                 out.append(f(r))
             except Exception as e:  # a rule that fails for a row is that row's result
                 out.append(failed(e) if callable(failed) else failed)
-        return pd.Series(out, dtype=object)
+        return pa.array(out, kind)
 
-    return F.pandas_udf(run, returns)(F.struct(*columns))
+    return F.arrow_udf(run, returns)(F.struct(*columns))

@@ -73,8 +73,8 @@ def _before(steps: DataFrame) -> DataFrame:
         states = "array_distinct(flatten(transform(steps, s -> transform(s.moves, m -> m.from_state))))"
         whole = F.expr(f"transform({states}, d -> struct(d as from_state, aggregate(steps, d, (a, s) -> {_STEP.format('a')}) as to_state, cast(null as string) as why))")
         chunks = stored(runs.select("process", "start", F.col("chunk").alias("pos"), whole.alias("moves"), F.lit(None).cast("int").alias("request")), "workflow-chunks")
-        entry = _before(chunks).select("process", F.col("pos").alias("chunk"), F.col("state").alias("start"))
-        runs = runs.drop("start").join(entry, ["process", "chunk"])
+        entry = _before(chunks).select(F.col("process").alias("of"), F.col("pos").alias("at"), F.col("state").alias("start"))
+        runs = runs.drop("start").join(entry, F.col("process").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at"))).drop("of", "at")  # a null process is one, too
     states = f"aggregate(steps, struct(start as state, cast(array() as array<string>) as out), (a, s) -> struct({_STEP.format('a.state')} as state, concat(a.out, array(a.state)) as out), a -> a.out)"
     each = runs.select("process", F.explode(F.arrays_zip("steps", F.expr(states).alias("states"))).alias("x"))
     return each.select("process", "x.steps.pos", "x.steps.moves", "x.steps.request", F.col("x.states").alias("state"))

@@ -173,3 +173,9 @@ def test_update_mode_gives_the_last_row_of_a_key(spark, tmp_path):
     assert sorted(map(tuple, drained(counts, f"file://{tmp_path}/s", "update", ("k",)).collect())) == [("a", 3), ("b", 1), ("c", 1)]
     with pytest.raises(ValueError, match="key"):
         drained(counts, f"file://{tmp_path}/t", "update")
+
+
+def test_python_rules_see_the_values_of_the_row(spark):
+    rows = spark.createDataFrame([(2**53 + 1, [1], {"k": None}), (None, None, None), (5, [], {})], "n long, l array<int>, m map<string,int>")
+    seen = rows.select(per_row(lambda r: repr((r["n"], r["l"])), ["n", "l"], "string").alias("s"), per_row(lambda r: r["n"] is None, ["n"]).alias("none"), per_row(lambda r: r["n"], ["n"], "long").alias("n"))
+    assert [tuple(r) for r in seen.collect()] == [(f"({2**53 + 1}, [1])", False, 2**53 + 1), ("(None, None)", True, None), ("(5, [])", False, 5)]

@@ -96,3 +96,13 @@ def test_stream_is_the_replay_and_forgets_idle_processes(spark, tmp_path):
     assert rows(plain) == [("p", 1, "x", "y", "", True), ("p", 2, "y", "y", "no such transition", False), ("q", 1, "x", "x", "guard not met", False), ("q", 2, "x", "y", "", True), ("r", 1, "x", "y", "", True), ("s", 1, "x", "x", "no such transition", False)]
     idle = rows(drained(stream_workflow(stream(), moves, states, RICH, idle_ms=3 * day * 1000, watermark="1 day"), f"file://{tmp_path}/b"))
     assert ("p", 0, "y", "y", "idle", False) in idle and ("p", 2, "x", "x", "guard not met", False) in idle  # p began anew
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_a_null_process_stays_however_long_another_is(spark, monkeypatch, bits):
+    monkeypatch.setattr(workflow, "CHUNK_BITS", bits)
+    log = [("p", "w", t, t, "a", None, None) for t in range(6)] + [(None, "w", t, t, "a", None, None) for t in range(5)]
+    moves = spark.createDataFrame([("w", "a", "x", "y", None, False), ("w", "a", "y", "z", None, False)], MOVES)
+    got = workflow.replay_transitions(spark.createDataFrame(log, LOG).withColumn("ts", F.timestamp_seconds("t")), moves, "x").collect()
+    assert len(got) == 11
+    assert {r.seq: (r.from_state, r.to_state) for r in got if r.process is None} == {0: ("x", "y"), 1: ("y", "z"), 2: ("z", "z"), 3: ("z", "z"), 4: ("z", "z")}
