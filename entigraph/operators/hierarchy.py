@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entigraph.operators.reach import FIRST, beyond, nearest
 from entigraph.scratch import stored
 
-#: Rounds after which a closure is taken not to end.
-MAX_ROUNDS = 10_000
-
 
 def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(src, dst, hop) for all dst reachable from src in one step or more, hop the fewest; from all sources, or from seeds (src) only.
 
-    Each round joins only what was new; it is written to the shared folder. A cycle ends when it brings nothing new."""
+    The first steps are taken one by one, each from what was new; longer chains are doubled (see reach). A cycle ends when it brings nothing new."""
     steps = pairs.select("src", "dst").where("src is not null and dst is not null").distinct()
     new = steps if seeds is None else steps.join(seeds.select("src").distinct(), "src", "left_semi")
     seen = new = stored(new.withColumn("hop", F.lit(1)), "closure")
-    by = steps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
-    for hop in range(2, MAX_ROUNDS):
+    links = steps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    for hop in range(2, FIRST + 1):
         if new.isEmpty():
             return seen
-        found = new.select("src", "dst").join(by, "dst").select("src", F.col("to").alias("dst")).distinct()
+        found = new.select("src", "dst").join(links, "dst").select("src", F.col("to").alias("dst")).distinct()
         new = stored(found.join(seen, ["src", "dst"], "left_anti").withColumn("hop", F.lit(hop)), "closure")
         seen = seen.union(new)
-    raise RuntimeError(f"no end of the closure after {MAX_ROUNDS} rounds")
+    if new.isEmpty():
+        return seen
+    far = beyond(new.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "hop"), steps.select(F.col("src").alias("node"), F.col("dst").alias("to")))
+    return nearest(seen.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "hop").union(far)).select(F.col("seed").alias("src"), F.col("node").alias("dst"), "hop")
 
 
 def parents(classes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entigraph.operators.reach import FIRST, beyond, nearest
 from entigraph.scratch import stored
 
 
@@ -72,7 +73,8 @@ def sibling_groups(seeds: DataFrame, rows: DataFrame, path: str) -> DataFrame:
 def graph_walk(seeds: DataFrame, edges: DataFrame, hops: int | None = 4, direction: str = "forward", predicates: Iterable[str] | None = None, paths: bool = False) -> DataFrame:
     """(seed, node, hop) of all nodes within some hops (None: all), each at its fewest, seeds left out; paths adds its least shortest path as steps.
 
-    direction: forward, inverse or both. A round joins only what the last one found; rounds are written to the shared folder."""
+    direction: forward, inverse or both. A round joins only what the last one found; rounds are written to the shared folder. Without paths, what is further than the first steps
+    is found by doubling (see reach)."""
     if predicates is not None:
         edges = edges.where(F.col("predicate").isin(list(predicates)))
     way = lambda a, b, d: edges.select(F.col(a).alias("node"), F.struct("predicate", F.lit(d).alias("direction"), F.col(b).alias("node")).alias("step"))
@@ -85,6 +87,9 @@ def graph_walk(seeds: DataFrame, edges: DataFrame, hops: int | None = 4, directi
         new = new.withColumn("path", F.array().cast("array<struct<predicate:string,direction:string,node:string>>"))
     seen, out, hop = new, None, 0
     while hops is None or hop < hops:
+        if hop == FIRST and not paths:
+            far = beyond(new, steps.select("node", F.col("step.node").alias("to"))).where("node <> seed")
+            return nearest(out.union(far if hops is None else far.where(F.col("hop") <= hops)))
         hop += 1
         found = new.join(steps, "node").select("seed", F.col("step.node").alias("node"), *([F.concat("path", F.array("step")).alias("path")] if paths else []))
         found = found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entigraph.graph import TypedGraph
+from entigraph.operators.reach import FIRST, beyond
 from entigraph.scratch import stored
 
 MAX_ROUNDS = 10_000
@@ -178,7 +179,12 @@ class _Repeat(Path):
         c = replace(c, edges=stored(c.edges if used is None else c.edges.where(F.col("predicate").isin(sorted(used))), "path-edges"))
         new = rel = stored(rel, "path")
         seen = rel if self.m == 0 else None
-        for _ in range(MAX_ROUNDS):
+        for k in range(MAX_ROUNDS):
+            if k * STEPS_A_ROUND >= FIRST and not c.paths:  # a long way: doubled, from here on
+                nodes = c.edges.select(F.col("src").alias("seed")).union(c.edges.select(F.col("dst").alias("seed"))).distinct()
+                links = self.part.step(c, nodes.select("seed", F.col("seed").alias("node"))).select(F.col("seed").alias("node"), F.col("node").alias("to"))
+                far = beyond(new.select("seed", "node", F.lit(0).alias("hop")), links)
+                return c.once(seen.unionByName(far.select("seed", "node")))
             found, now = None, new
             for k in range(STEPS_A_ROUND):
                 now = self.part.step(c, now)
