@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from entigraph import scratch
 from entigraph.functions.stem import stem_arrays, stem_column
 from entigraph.functions.text import raw_tokens
 from entigraph.scratch import stored
@@ -71,7 +73,7 @@ class Index:
     def __init__(self, rows: DataFrame, weights: dict[str, float], analyzer: Analyzer = raw_tokens, stem: bool = True) -> None:
         if not weights:
             raise ValueError("no field weights: the class declares none and none were given")
-        self.rows, self.weights, self.analyzer, self.stem = rows, dict(weights), analyzer, stem
+        self.spark, self.rows, self.weights, self.analyzer, self.stem = rows.sparkSession, rows, dict(weights), analyzer, stem
         self.fields = analysed(rows, self.weights, analyzer, stem)
         self.terms = _placed(self.fields)
         self.postings = postings(self.terms)
@@ -89,7 +91,7 @@ class Index:
         """The terms of a few texts that a caller gives."""
         if not (rows := list(enumerate(texts))):
             return []
-        got = self.analyse(self.rows.sparkSession.createDataFrame(rows, "i int, t string"), "t").collect()
+        got = self.analyse(self.spark.createDataFrame(rows, "i int, t string"), "t").collect()
         return [list(r.t) for r in sorted(got)]
 
     def queries(self, query) -> DataFrame:
@@ -99,7 +101,7 @@ class Index:
         return self.analyse(query.select("query_id", "query"), "query").select("query_id", F.explode("query").alias("term")).distinct()
 
     def _asked(self, terms: list[str]) -> DataFrame:
-        return self.rows.sparkSession.createDataFrame([(0, t) for t in terms], "query_id int, term string")
+        return self.spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")
 
     def _hits(self, asked: DataFrame, terms: list[str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(id, field, term, tf, len) of the terms asked for, average lengths, and the number of entities. For the terms of one text, a list, texts are read once:
@@ -121,6 +123,8 @@ class Index:
         weights = weights or self.weights
         terms = sorted(set(self.terms_of([query])[0])) if isinstance(query, str) else None
         asked = stored(self.queries(query), "search-terms") if terms is None else self._asked(terms)
+        if terms is None and len(few := asked.select("term").distinct().limit(FEW + 1).collect()) <= FEW:
+            terms = sorted(r.term for r in few)
         hit, averages, n = self._hits(asked.select("term").distinct(), terms)
         df = document_frequencies(hit)
         w = F.create_map(*[x for f, v in weights.items() for x in (F.lit(f), F.lit(float(v)))])
@@ -146,23 +150,159 @@ class Index:
         return m.groupBy("query_id", "id", "field").agg(F.sum("c").alias("score"))
 
     def save(self, path: str) -> None:
-        """Postings with their positions, in order of term, so that a query's terms are found by the files' statistics; lengths and statistics beside them."""
-        lengths = self.fields.select("id", "field", F.size("terms").alias("len"), F.posexplode(F.arrays_zip("terms", "words")).alias("pos", "t"))
-        posted = lengths.groupBy("id", "field", F.col("t.terms").alias("term"), F.col("t.words").alias("word")).agg(F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        posted.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-        self.lengths.write.parquet(f"{path}/lengths")
-        self.averages.write.parquet(f"{path}/averages")
-        self.n.write.parquet(f"{path}/n")
+        """The first segment of an index at path (see append); an index that is there already is added to."""
+        append(self.rows, path, self.weights, self.analyzer, self.stem)
 
     def load(self, path: str) -> Index:
-        """From here on what save() wrote at path is read, instead of the texts."""
-        spark = self.rows.sparkSession
+        """From here on what lies at path is read, instead of the texts."""
+        spark = self.spark
         read = lambda what: spark.read.parquet(f"{path}/{what}")
-        self.saved, self.lengths, self.averages, self.n = read("postings"), read("lengths"), read("averages"), read("n")
+        gone = _tombstones(spark, path)
+
+        def live(df: DataFrame) -> DataFrame:
+            if gone is None:
+                return df.drop("segment")
+            dead = gone.groupBy(F.col("id").alias("dead")).agg(F.max("segment").alias("until"))
+            return df.join(dead, (F.col("id") == F.col("dead")) & (F.col("segment") <= F.col("until")), "left_anti").drop("segment")
+
+        self.path, self.saved, self.lengths = path, live(read("postings")), live(read("lengths"))
+        # counts of segments, less those of what was retracted
+        counts = read("stats").select("field", "rows", "total", "docs")
+        if gone is not None:
+            counts = counts.union(gone.groupBy("field", "segment", "id").agg(F.count("*").alias("rows"), F.sum("len").alias("total")).groupBy("field").agg(-F.sum("rows"), -F.sum("total"), -F.countDistinct("id", "segment")))
+        counts = counts.groupBy("field").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.sum("docs").alias("docs"))
+        self.averages = counts.select("field", (F.col("total") / F.nullif("rows", F.lit(0))).alias("avgdl"))
+        self.n = counts.agg(F.coalesce(F.max("docs"), F.lit(0)).alias("n_docs"))
         self.terms = self.saved.select("id", "field", F.explode("positions").alias("pos"), "term", "word")
         self.postings = self.saved.groupBy("id", "field", "term").agg(F.sum(F.size("positions")).alias("tf"))
         return self
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, weights: dict[str, float], analyzer: Analyzer = raw_tokens, stem: bool = True) -> Index:
+        """The index at path, without the rows that it was made of."""
+        self = cls.__new__(cls)
+        self.spark, self.rows, self.weights, self.analyzer, self.stem = spark, None, dict(weights), analyzer, stem
+        return self.load(path)
+
+    def ids(self) -> DataFrame:
+        return (self.rows if self.saved is None else self.lengths).select("id").distinct()
+
+    def lexicon(self) -> DataFrame:
+        """(word, term, n): distinct words, their terms, and how many postings they have (retracted ones may be counted)."""
+        if self.saved is None:
+            return self.terms.groupBy("word", "term").agg(F.count("*").alias("n"))
+        return self.spark.read.parquet(f"{self.path}/lexicon").groupBy("word", "term").agg(F.sum("n").alias("n"))
+
+    def words_like(self, prefix: str | None = None, fuzzy: str | None = None, distance: int = 2) -> DataFrame:
+        """(word) of the lexicon with a prefix, or within an edit distance. In a saved index a prefix is a range of files in order of word, and words at a distance are those that share a
+        variant, made by as many deletions, with the one asked for: an equality, then verified. Words beyond LONGEST_VARIED characters, and longer distances, go over the lexicon."""
+        words = self.lexicon().select("word")
+        if prefix is not None:
+            return words.where(F.col("word").startswith(prefix)).distinct()
+        near = F.levenshtein("word", F.lit(fuzzy), distance) >= 0
+        if self.saved is None or distance > DELETIONS:
+            return words.where(near).distinct()
+        if (varied := _read(self.spark, f"{self.path}/variants")) is None:
+            return words.where(near).distinct()
+        shared = varied.where(F.col("variant").isin(sorted(_variants_of(fuzzy, distance)))).select("word")
+        if len(fuzzy) + distance > LONGEST_VARIED:
+            shared = shared.union(words.where(F.length("word") > LONGEST_VARIED))
+        return shared.where(near).distinct()
+
+
+#: Deletions that a lexicon's variants have, and the longest word that has variants.
+DELETIONS, LONGEST_VARIED = 2, 40
+#: Words or terms that are put into a filter; more are joined.
+FEW = 1_000
+
+
+def _variants_of(word: str, deletions: int) -> set[str]:
+    out = {word}
+    for _ in range(deletions):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
+
+
+def variants(words: DataFrame) -> DataFrame:
+    """(variant, word) of each word (up to LONGEST_VARIED characters) and all that is left of it after up to DELETIONS deletions."""
+    less = lambda w: F.transform(F.when(F.length(w) > 0, F.sequence(F.lit(1), F.length(w))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    every, last = F.array("word"), F.array("word")
+    for _ in range(DELETIONS):
+        last = F.array_distinct(F.flatten(F.transform(last, less)))
+        every = F.concat(every, last)
+    return words.where(F.length("word") <= LONGEST_VARIED).select(F.explode(F.array_distinct(every)).alias("variant"), "word")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """None if nothing is there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _tombstones(spark: SparkSession, path: str) -> DataFrame | None:
+    return _read(spark, f"{path}/tombstones")
+
+
+def _last_segment(spark: SparkSession, path: str) -> int:
+    stats = _read(spark, f"{path}/stats")
+    return -1 if stats is None else stats.agg(F.max("segment")).first()[0]
+
+
+def append(rows: DataFrame, path: str, weights: dict[str, float], analyzer: Analyzer = raw_tokens, stem: bool = True, varied: bool = True) -> None:
+    """Adds rows to the index at path as a segment of its own; rows whose id it has take the place of the earlier ones. No earlier text or posting is read.
+
+    A segment has postings in order of term, the lexicon in order of word, its variants in order, lengths and counts: a query's terms are found by the files' statistics.
+    varied: without variants, about a hundred for a word of ten letters, words near a word are looked for in all of the lexicon."""
+    spark, segment = rows.sparkSession, _last_segment(rows.sparkSession, path) + 1
+    if segment:
+        retract(rows.select("id").distinct(), path)
+    fields = stored(analysed(rows, weights, analyzer, stem), "index-fields")
+    lengths = fields.select("id", "field", F.size("words").alias("len"))
+    each = fields.select("id", "field", F.size("terms").alias("len"), F.posexplode(F.arrays_zip("terms", "words")).alias("pos", "t"))
+    posted = each.groupBy("id", "field", F.col("t.terms").alias("term"), F.col("t.words").alias("word")).agg(F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    at = lambda what: f"{path}/{what}/segment={segment}"
+    posted.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(at("postings"))
+    lexicon = spark.read.parquet(at("postings")).groupBy("word", "term").agg(F.count("*").alias("n"))
+    lexicon.repartitionByRange("word").sortWithinPartitions("word").write.parquet(at("lexicon"))
+    if varied:
+        variants(spark.read.parquet(at("lexicon")).select("word").distinct()).repartitionByRange("variant").sortWithinPartitions("variant").write.parquet(at("variants"))
+    lengths.write.parquet(at("lengths"))
+    # the counts come last: a segment without them is none
+    lengths.groupBy("field").agg(F.count("*").alias("rows"), F.sum("len").cast("long").alias("total"), F.countDistinct("id").alias("docs")).write.parquet(at("stats"))
+
+
+def retract(ids: DataFrame, path: str) -> None:
+    """Takes entities (id) out of the index at path: their lengths are noted beside it, and nothing else is read or written."""
+    spark, last = ids.sparkSession, _last_segment(ids.sparkSession, path)
+    had = spark.read.parquet(f"{path}/lengths").join(ids.select("id").distinct(), "id", "left_semi")
+    if (gone := _tombstones(spark, path)) is not None:
+        dead = gone.groupBy(F.col("id").alias("dead")).agg(F.max("segment").alias("until"))
+        had = had.join(dead, (F.col("id") == F.col("dead")) & (F.col("segment") <= F.col("until")), "left_anti")
+    stored(had.select("id", "field", F.col("len").cast("int").alias("len"), F.lit(last).cast("int").alias("segment")), "retracted").write.mode("append").parquet(f"{path}/tombstones")
+
+
+#: Paths of the indexes that kept_index() has made.
+_KEPT: dict[tuple, str] = {}
+
+
+def kept_index(rows: DataFrame, weights: dict[str, float], analyzer: Analyzer = raw_tokens, stem: bool = True, varied: bool = True) -> Index:
+    """The index of rows that lie in files, saved in the scratch folder and opened again as long as the application runs and the files are the same (by path, length and time)."""
+    spark, files = rows.sparkSession, []
+    for f in rows.inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(sorted(files)), tuple(sorted(weights.items())), analyzer, stem, varied)
+    if key not in _KEPT or scratch.is_open():
+        path = scratch.new_path(spark, "index")
+        append(rows, path, weights, analyzer, stem, varied)
+        if scratch.is_open():  # it will be cleared
+            return Index.open(spark, path, weights, analyzer, stem)
+        _KEPT[key] = path
+    return Index.open(spark, _KEPT[key], weights, analyzer, stem)
+
 
 def best(scores: DataFrame, limit: int) -> DataFrame:
     """The first `limit` hits of each query (0: all), with their rank."""
@@ -198,21 +338,46 @@ def field_index(rows: DataFrame, field: str, fulltext: Iterable[str], stem: bool
 
 
 def matching(index: Index, all_of: Iterable[str] = (), any_of: Iterable[str] = (), none_of: Iterable[str] = (), phrase: str | None = None, prefix: str | None = None, fuzzy: str | None = None, distance: int = 2) -> DataFrame:
-    """(id) of entities that meet all the conditions given. Conditions are analysed as texts are: one of several words asks for each of them. prefix and fuzzy, lower-cased, are held against words, not stems."""
-    terms, ids = index.terms, index.rows.select("id").distinct()
+    """(id) of entities that meet all the conditions given. Conditions are analysed as texts are: one of several words asks for each of them. prefix and fuzzy, lower-cased, are held against words, not stems.
+
+    Words with a prefix or near a word are looked up in the lexicon; then one pass over the postings of all that is asked for answers every condition but the phrase."""
     all_of, any_of, none_of = (list(dict.fromkeys(t for words in index.terms_of(x) for t in words)) for x in (all_of, any_of, none_of))
+    term, word = F.col("term"), F.col("word")
+    posted = index.terms if index.saved is None else index.saved
+    tests = [term.isin(x) for x in (all_of, any_of, none_of) if x]
+    needs = []  # of an entity's postings
     if all_of:
-        has = terms.where(F.col("term").isin(all_of)).groupBy("id").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(all_of))
-        ids = ids.join(has, "id", "left_semi")
-    tests = [F.col("term").isin(any_of)] if any_of else []
-    tests += [F.col("word").startswith(prefix.lower())] if prefix else []
-    tests += [F.levenshtein("word", F.lit(fuzzy.lower()), distance) >= 0] if fuzzy else []
-    for t in tests:
-        ids = ids.join(terms.where(t).select("id").distinct(), "id", "left_semi")
+        needs.append(F.count_distinct(F.when(term.isin(all_of), term)) == len(all_of))
+    if any_of:
+        needs.append(F.max(term.isin(any_of)))
     if none_of:
-        ids = ids.join(terms.where(F.col("term").isin(none_of)), "id", "left_anti")
+        needs.append(~F.max(term.isin(none_of)))
+    for name, asked in (("prefix", prefix), ("fuzzy", fuzzy)):
+        if not asked:
+            continue
+        like = index.words_like(prefix=asked.lower()) if name == "prefix" else index.words_like(fuzzy=asked.lower(), distance=distance)
+        if index.saved is None:  # its lexicon would be made of the same texts
+            test = word.startswith(asked.lower()) if name == "prefix" else F.levenshtein("word", F.lit(asked.lower()), distance) >= 0
+        elif len(found := index.lexicon().join(like, "word", "left_semi").select("word", "term").limit(FEW + 1).collect()) <= FEW:
+            test = term.isin(sorted({r.term for r in found})) & word.isin(sorted({r.word for r in found}))
+        else:
+            posted = posted.join(like.select("word", F.lit(True).alias(name)), "word", "left")
+            test = F.coalesce(F.col(name), F.lit(False))
+        tests.append(test)
+        needs.append(F.max(test))
+    ids = None
+    if all_of or any_of or prefix or fuzzy:
+        some = reduce(lambda a, b: a | b, tests)
+        met = posted.where(some).groupBy("id").agg(*[n.alias(f"n{i}") for i, n in enumerate(needs)])
+        ids = met.where(reduce(lambda a, b: a & b, [F.col(f"n{i}") for i in range(len(needs))])).select("id")
+    elif none_of:
+        ids = index.ids().join(posted.where(term.isin(none_of)), "id", "left_anti")
     if phrase and (words := index.terms_of([phrase])[0]):
-        at = [terms.where(F.col("term") == w).select("id", "field", (F.col("pos") - i).alias("start")) for i, w in enumerate(words)]
-        found = reduce(lambda a, b: a.join(b, ["id", "field", "start"]), at)
-        ids = ids.join(found, "id", "left_semi")
-    return ids
+        order = list(enumerate(words))
+        if index.saved is not None:  # the rarest word's places come first, and the others' meet them
+            n = {r.term: r.n for r in index.lexicon().where(term.isin(sorted(set(words)))).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+            order.sort(key=lambda x: n.get(x[1], 0))
+        at = [index.terms.where(term == w).select("id", "field", (F.col("pos") - i).alias("start")) for i, w in order]
+        found = reduce(lambda a, b: a.join(b, ["id", "field", "start"], "left_semi"), at).select("id").distinct()
+        ids = found if ids is None else ids.join(found, "id", "left_semi")
+    return index.ids() if ids is None else ids

@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_open() -> bool:
+    """Whether what is made now is removed at the end of a `cleared` block."""
+    return bool(_OPEN)
+
+
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Removes at its end the tables that calls within it stored. Results made inside must have been written elsewhere, or read, by then: they are plans over these tables."""
