@@ -337,13 +337,19 @@ def reverse_path() -> Column:
 
 
 def _parts(short: DataFrame, long: DataFrame, kind: str) -> DataFrame:
-    s = short.select(F.col("path").alias("short"), F.element_at("path.nodes", 1 if kind != "suffix" else -1).alias("at"))
-    place = {"prefix": F.array(F.lit(0)), "suffix": F.array(F.size("path.nodes") - 1), "subpath": F.sequence(F.lit(0), F.size("path.nodes") - 1)}[kind]
-    x = long.select(F.col("path").alias("long"), F.explode(place).alias("i")).withColumn("at", F.get("long.nodes", F.col("i")))
-    first = F.col("i") - F.size("short.edges") if kind == "suffix" else F.col("i")
-    both = s.join(x, "at").where(first >= 0)
-    same = (F.slice("long.nodes", first + 1, F.size("short.nodes")) == F.col("short.nodes")) & (F.slice("long.edges", first + 1, F.size("short.edges")) == F.col("short.edges"))
-    return both.where(same).select("short", "long").distinct()
+    """Equality of lengths and hashes: each long path has a hash for each length that short ones have (at its beginning, its end or each place), and is then compared with those it meets."""
+    sizes = [(r.m, r.n) for r in short.select(F.size("path.nodes").alias("m"), F.size("path.edges").alias("n")).distinct().collect()]  # no more than the longest path is long
+    s = short.select(F.col("path").alias("short"), F.size("path.nodes").alias("m"), F.size("path.edges").alias("n"), F.xxhash64("path.nodes", "path.edges").alias("h"))
+    if not sizes:
+        return s.select("short", F.col("short").alias("long")).limit(0)
+    x = long.select(F.col("path").alias("long"), F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(n).alias("n")) for m, n in sizes])).alias("s")).select("long", "s.*")
+    last = F.size("long.nodes") - F.col("m")
+    x = x.where((last >= 0) & (F.size("long.edges") >= F.col("n")))
+    place = {"prefix": F.array(F.lit(0)), "suffix": F.array(last), "subpath": F.sequence(F.lit(0), last)}[kind]
+    x = x.select("*", F.explode(place).alias("i"))
+    part = lambda f, size: F.slice(f"long.{f}", F.col("i") + 1, F.col(size))
+    both = x.withColumn("h", F.xxhash64(part("nodes", "m"), part("edges", "n"))).join(s, ["m", "n", "h"])
+    return both.where((part("nodes", "m") == F.col("short.nodes")) & (part("edges", "n") == F.col("short.edges"))).select("short", "long").distinct()
 
 
 def prefixes(short: DataFrame, long: DataFrame) -> DataFrame:

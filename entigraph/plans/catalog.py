@@ -12,6 +12,8 @@ from entigraph.operators import access, aggregate, changes, events, hierarchy, j
 from entigraph.operators.rules import per_row
 from entigraph.plans import demo
 from entigraph.plans.demo import CLASSES_SQL, CLOSURE_SQL, EDGES_SQL, PROPERTIES_SQL, SLOTS_SQL, table
+from entigraph.scratch import new_path
+from entigraph.sources import entities, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,21 +158,46 @@ def _(g):
     return g.spark.read.parquet(at).select("id", "mktsegment", "n")
 
 
-@query("a17_upsert_slots", "SELECT 'Customer/' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS mktsegment FROM customer UNION ALL SELECT 'Customer/-' || c_custkey, NULL, 'NEW' FROM customer WHERE c_custkey % 50 = 0")
-def _(g):
-    from entigraph.sources.entities import upsert_slots
+_UPSERTED = "SELECT 'Customer/' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS mktsegment FROM customer UNION ALL SELECT 'Customer/-' || c_custkey, NULL, 'NEW' FROM customer WHERE c_custkey % 50 = 0"
+_RETRACTED = "SELECT 'Part/' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"
+
 
+def _updates(g):
+    """Customers, and what is new of a third of them and of some more."""
     base = g.scan_class("Customer", ["name", "mktsegment"]).select("id", "name", "mktsegment")
     key = F.expr("cast(substring(id, 10) as long)")
-    updates = base.where(key % 3 == 0).select("id", F.lit("UPDATED").alias("mktsegment")).union(base.where(key % 50 == 0).select(F.concat(F.lit("Customer/-"), key.cast("string")), F.lit("NEW")))
-    return upsert_slots(base, updates)
+    return base, base.where(key % 3 == 0).select("id", F.lit("UPDATED").alias("mktsegment")).union(base.where(key % 50 == 0).select(F.concat(F.lit("Customer/-"), key.cast("string")), F.lit("NEW")))
+
+
+def _sold_much(g):
+    return g.where("LineItem", ("quantity", ">", 45)).select(F.col("of_part").alias("id")).distinct()
 
 
-@query("a18_retract", "SELECT 'Part/' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("a17_upsert_slots", _UPSERTED)
 def _(g):
-    from entigraph.sources.entities import retract
+    return entities.upsert_slots(*_updates(g))
 
-    return retract(g.scan_class("Part", []), g.where("LineItem", ("quantity", ">", 45)).select(F.col("of_part").alias("id")).distinct()).select("id")
+
+@query("a17_upsert_store", _UPSERTED)
+def _(g):
+    base, updates = _updates(g)
+    at = new_path(g.spark, "customers")
+    store.write_store(base, at)
+    store.upsert_store(g.spark, at, updates)
+    return store.read_store(g.spark, at)
+
+
+@query("a18_retract", _RETRACTED)
+def _(g):
+    return entities.retract(g.scan_class("Part", []), _sold_much(g)).select("id")
+
+
+@query("a18_retract_store", _RETRACTED)
+def _(g):
+    at = new_path(g.spark, "parts")
+    store.write_store(g.scan_class("Part", []).select("id"), at)
+    store.retract_store(g.spark, at, _sold_much(g))
+    return store.read_store(g.spark, at)
 
 
 @query("a19_resolve_refs", """WITH ids AS (SELECT 'Nation/' || n_nationkey AS id, n_name AS ident FROM nation UNION ALL SELECT 'Customer/' || c_custkey, NULL FROM customer),
@@ -572,12 +599,13 @@ def _(g):
     return back.select(F.array_join("path.nodes", "<").alias("way"), F.array_join("path.edges.direction", ",").alias("directions"))
 
 
-@query("g19_prefixes", f"WITH RECURSIVE {EDGES_SQL}, {_CHAIN}, reach AS (SELECT seed, dst AS node, 1 AS n FROM seeds JOIN edges ON src = seed AND predicate = 'next_turn' UNION SELECT seed, dst, n + 1 FROM reach JOIN edges ON src = node AND predicate = 'next_turn') SELECT a.seed, a.node AS short_end, b.node AS long_end FROM reach a JOIN reach b ON a.seed = b.seed AND a.n = 1 AND b.n <= 3")
+@query("g19_prefixes", f"WITH RECURSIVE {EDGES_SQL}, {_CHAIN}, reach AS (SELECT seed, dst AS node, 1 AS n FROM seeds JOIN edges ON src = seed AND predicate = 'next_turn' UNION SELECT seed, dst, n + 1 FROM reach JOIN edges ON src = node AND predicate = 'next_turn') SELECT a.seed, a.node AS short_end, b.node AS long_end FROM reach a JOIN reach b ON a.seed = b.seed AND a.n <= b.n")
 def _(g):
     w = _walked(g)
-    out = path.prefixes(w.where("size(path.edges) = 1"), w.where("size(path.edges) <= 3"))
+    out = path.prefixes(w, w)
     return out.select(F.expr("short.nodes[0]").alias("seed"), F.element_at("short.nodes", -1).alias("short_end"), F.element_at("long.nodes", -1).alias("long_end"))
 
+
 _REACH = f"WITH RECURSIVE {EDGES_SQL}, {_CHAIN}, reach AS (SELECT seed, dst AS node, 1 AS n FROM seeds JOIN edges ON src = seed AND predicate = 'next_turn' UNION SELECT seed, dst, n + 1 FROM reach JOIN edges ON src = node AND predicate = 'next_turn')"
 
 
@@ -635,10 +663,10 @@ def _r(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-@query("h1_raw_tokens", f"SELECT doc_id, len(t) AS n, array_to_string(t[1:20], ' ') AS head FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)", graph=False)
+@query("h1_raw_tokens", f"SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS terms FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)", graph=False)
 def _(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", search.raw_tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("terms"))
 
 
 @query("h1_all_tokens", f"SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS term FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)", graph=False)
