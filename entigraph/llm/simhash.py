@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entigraph.llm.common import map_rows, row_key, stored, table, unused
@@ -64,8 +64,9 @@ def links(fps: DataFrame) -> DataFrame:
     spread = fps.select("fp", F.expr("explode(sequence(0, 63))").alias("slot")).select(
         "fp", "slot", F.expr("(cast(slot as bigint) << 32) | (case when slot < 32 then fp else fp >>> 32 end & 4294967295L & ~shiftleft(1L, slot % 32))").alias("key")
     )
-    # one shuffle of all signatures; the count runs over a sorted, spillable partition and keeps the few that are shared
-    more = stored(spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "simhash-shared")
+    # signatures that are shared are few: a table that Spark sends to the others where it is small, and whose hot keys it can split in the join where it is not
+    shared = stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    more = stored(spread.join(shared, "key"), "simhash-shared")
     pairs = (
         more.where(f"n <= {SMALL_BUCKET}").groupBy("key", "slot").agg(F.collect_list("fp").alias("f"))
         # a pair with the segment equal is in 32 buckets: only the first emits it
