@@ -2,7 +2,7 @@
 
 A token file is a folder with two Parquet datasets:
 
-- dictionary: one row (dict_hash, width, data): the dictionary trained on serialized id arrays of a bounded sample, and its SHA-256;
+- dictionary: one row (dict_hash, width, trained, data): the dictionary trained on serialized id arrays of a bounded sample, and its SHA-256;
 - blocks: rows (part, block, dict_hash, doc_ids, n_tokens, offsets, frames). frames is the concatenation of the documents' zstandard frames and
   offsets their ends in it, so that a short document is read by cutting out and decompressing its own frame alone. Parts are ranges of doc_id in
   ascending order, of about PART_CHARS characters; within a part blocks, and in a block documents, ascend.
@@ -10,8 +10,8 @@ A token file is a folder with two Parquet datasets:
 Spark's own writer makes them, so they may lie in any store that Spark reaches, and a lost task is simply written again.
 
 Defined cases: a null text is encoded as an empty one; an empty document still has its end id; a null doc_id comes first; rows of one doc_id, which may
-fill several parts, are in the order of a hash of their texts; extra columns are not read; an empty table makes a file without blocks; a sample of fewer
-than MIN_SAMPLES texts or MIN_SAMPLE_BYTES bytes of ids is too little to train on, and is the dictionary as it is.
+fill several parts, are in the order of a hash of their texts; extra columns are not read; an empty table makes a file without blocks; where zstandard
+finds a sample too small to train on, the sample itself is the dictionary, and `trained` says so.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from entigraph.llm.common import new_path, table
 
 END_ID = 1
-#: The dictionary is fitted on the ids of about so many documents, those of the least hashes, and at most so many ids of each.
+#: The dictionary is fitted on the ids of about so many documents, those of the least hashes, and at most so many ids of each, from a place that a hash chooses.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 4000, 65536
-MIN_SAMPLES, MIN_SAMPLE_BYTES = 16, 20 * 1024
 #: Characters of text in a part, about; there are no fewer parts than shuffle partitions.
 PART_CHARS = 64_000_000
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
@@ -120,18 +119,20 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def train_dictionary(docs: DataFrame, file: str, n_docs: int) -> bytes:
-    """From SAMPLE_DOCS documents chosen by hash: a bounded sample that does not depend on the partitions."""
+def train_dictionary(docs: DataFrame, file: str, n_docs: int) -> tuple[bytes, bool]:
+    """From SAMPLE_DOCS documents chosen by hash: a bounded sample that does not depend on the partitions. False: it is the sample, too small to train on."""
     rows = _plain(docs)
     part = min(1.0, 2 * SAMPLE_DOCS / max(1, n_docs))  # a coarse cut, so that few rows are sorted
     mixed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
-    least = rows.where(mixed < part * 1_000_003).select(mixed.alias("h"), "doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
+    start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 8 * SAMPLE_IDS + 1, F.lit(1))).cast("int") + 1
+    least = rows.where(mixed < part * 1_000_003).select(mixed.alias("h"), "doc_id", F.substring("text", start, F.lit(8 * SAMPLE_IDS)).alias("text"))
     rows = least.orderBy("h", "doc_id", "text").limit(SAMPLE_DOCS).select("text").collect()
     e = word_encoder(file)
     samples = sorted(b[: SAMPLE_IDS * e.type.itemsize] for b in e.encode([r.text for r in rows]) if len(b) >= 8)
-    if sum(map(len, samples)) < MIN_SAMPLE_BYTES or len(samples) < MIN_SAMPLES:
-        return b"".join(samples)[:DICT_BYTES]
-    return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples, level=3).as_bytes()
+    try:
+        return zstandard.train_dictionary(max(256, min(DICT_BYTES, sum(map(len, samples)) // 8)), samples, level=3).as_bytes(), True
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[:DICT_BYTES], False
 
 
 def _place(bounds: list[int], d: Column, equal: bool) -> Column:
@@ -154,7 +155,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     Parts end at the quantiles of doc_id, which read that column alone and are the same whenever a task is run again. A doc_id that is several quantiles
     has several parts, dealt by h, a hash of the text."""
     key, h = F.coalesce("doc_id", F.lit(-(2**63))), F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else None
     part = F.lit(0)
     if cuts:
         first, behind = _place(cuts, key, False), _place(cuts, key, True)
@@ -168,10 +169,10 @@ def write_tokens(docs: DataFrame, path: str, file: str | None = None, end_id: in
     spark, file = docs.sparkSession, file or default_file()
     docs = _plain(docs)
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    data = train_dictionary(docs, file, size.n)
+    data, trained = train_dictionary(docs, file, size.n)
     e = word_encoder(file)
     name, width, end = hashlib.sha256(data).hexdigest(), e.type.itemsize, np.array([end_id], e.type).tobytes()
-    spark.createDataFrame([(name, width, bytearray(data))], "dict_hash string, width int, data binary").write.parquet(f"{path}/dictionary")
+    spark.createDataFrame([(name, width, trained, bytearray(data))], "dict_hash string, width int, trained boolean, data binary").write.parquet(f"{path}/dictionary")
     dealt = _dealt(docs, parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size.chars // PART_CHARS))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
