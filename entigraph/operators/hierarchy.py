@@ -37,9 +37,9 @@ def direct_subclasses(classes: DataFrame) -> DataFrame:
     return parents(classes).select(F.col("parent").alias("class"), F.col("class").alias("subclass"))
 
 
-def ancestors(classes: DataFrame) -> DataFrame:
-    """(class, ancestor), without the class itself."""
-    up = closure(parents(classes).select(F.col("class").alias("src"), F.col("parent").alias("dst")))
+def ancestors(classes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(class, ancestor), without the class itself; of all classes, or of some (class)."""
+    up = closure(parents(classes).select(F.col("class").alias("src"), F.col("parent").alias("dst")), None if of is None else of.select(F.col("class").alias("src")))
     return up.select(F.col("src").alias("class"), F.col("dst").alias("ancestor")).where("class <> ancestor")
 
 
@@ -53,14 +53,18 @@ def family(classes: DataFrame) -> DataFrame:
 
 
 def is_subclass(asked: DataFrame, classes: DataFrame) -> DataFrame:
-    """asked (parent, child) with is_subclass."""
-    down = subclasses(classes).select(F.col("class").alias("parent"), F.col("subclass").alias("child"), F.lit(True).alias("is_subclass"))
+    """asked (parent, child) with is_subclass. Only what is above the children asked for is looked at, not all pairs of the hierarchy."""
+    up = ancestors(classes, asked.select(F.col("child").alias("class")).distinct())
+    down = up.select(F.col("ancestor").alias("parent"), F.col("class").alias("child"), F.lit(True).alias("is_subclass"))
     return asked.join(down, ["parent", "child"], "left").withColumn("is_subclass", F.coalesce("is_subclass", F.lit(False)))
 
 
 def is_instance(rows: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-    """rows (class, ...) of the class or one below it."""
-    return rows.join(family(classes).where(F.col("class") == name).select(F.col("member").alias("class")), "class", "left_semi")
+    """rows (class, ...) of the class or one below it; only what is below it is looked at."""
+    down = direct_subclasses(classes).select(F.col("class").alias("src"), F.col("subclass").alias("dst"))
+    below = closure(down, down.sparkSession.createDataFrame([(name,)], "src string")).select(F.col("dst").alias("class"))
+    own = classes.where(F.col("class") == name).select("class")
+    return rows.join(below.union(own).distinct(), "class", "left_semi")
 
 
 def direct_slots(classes: DataFrame) -> DataFrame:
