@@ -30,11 +30,8 @@ def degree(ids: DataFrame, edges: DataFrame, direction: str = "both", predicates
     """(id, score) for every id, 0 without edges. direction: forward, inverse or both; a self-loop counts out and in."""
     if predicates is not None:
         edges = edges.where(F.col("predicate").isin(list(predicates)))
-    ends = {"forward": ["src"], "inverse": ["dst"], "both": ["src", "dst"]}[direction]
-    score = None
-    for end in ends:
-        n = edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
-        score = n if score is None else score.union(n).groupBy("id").agg(F.sum("n").alias("n"))
+    end = {"forward": F.col("src"), "inverse": F.col("dst"), "both": F.explode(F.array("src", "dst"))}[direction]
+    score = edges.select(end.alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     return ids.select("id").join(score, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("score"))
 
 

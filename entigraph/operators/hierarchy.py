@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entigraph.operators.reach import FIRST, beyond, nearest
-from entigraph.scratch import stored
+from entigraph.scratch import bucketed
 
 
 def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -15,18 +17,22 @@ def closure(pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     The first steps are taken one by one, each from what was new; longer chains are doubled (see reach). A cycle ends when it brings nothing new."""
     steps = pairs.select("src", "dst").where("src is not null and dst is not null").distinct()
     new = steps if seeds is None else steps.join(seeds.select("src").distinct(), "src", "left_semi")
-    seen = new = stored(new.withColumn("hop", F.lit(1)), "closure")
+    new = bucketed(new.withColumn("hop", F.lit(1)), "closure", "src", "dst")
+    seen = [new]
     links = steps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
     for hop in range(2, FIRST + 1):
         if new.isEmpty():
-            return seen
+            return reduce(DataFrame.union, seen)
         found = new.select("src", "dst").join(links, "dst").select("src", F.col("to").alias("dst")).distinct()
-        new = stored(found.join(seen, ["src", "dst"], "left_anti").withColumn("hop", F.lit(hop)), "closure")
-        seen = seen.union(new)
+        for earlier in seen:  # each lies in buckets by the pair: none of it is moved again
+            found = found.join(earlier.select("src", "dst"), ["src", "dst"], "left_anti")
+        new = bucketed(found.withColumn("hop", F.lit(hop)), "closure", "src", "dst")
+        seen.append(new)
+    found = reduce(DataFrame.union, seen)
     if new.isEmpty():
-        return seen
+        return found
     far = beyond(new.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "hop"), steps.select(F.col("src").alias("node"), F.col("dst").alias("to")))
-    return nearest(seen.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "hop").union(far)).select(F.col("seed").alias("src"), F.col("node").alias("dst"), "hop")
+    return nearest(found.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "hop").union(far)).select(F.col("seed").alias("src"), F.col("node").alias("dst"), "hop")
 
 
 def parents(classes: DataFrame) -> DataFrame:

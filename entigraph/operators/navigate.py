@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entigraph.operators.reach import FIRST, beyond, nearest
-from entigraph.scratch import stored
+from entigraph.scratch import bucketed, stored
 
 
 def _seeds(seeds: DataFrame) -> DataFrame:
@@ -73,7 +73,8 @@ def sibling_groups(seeds: DataFrame, rows: DataFrame, path: str) -> DataFrame:
 def graph_walk(seeds: DataFrame, edges: DataFrame, hops: int | None = 4, direction: str = "forward", predicates: Iterable[str] | None = None, paths: bool = False) -> DataFrame:
     """(seed, node, hop) of all nodes within some hops (None: all), each at its fewest, seeds left out; paths adds its least shortest path as steps.
 
-    direction: forward, inverse or both. A round joins only what the last one found; rounds are written to the shared folder. Without paths, what is further than the first steps
+    direction: forward, inverse or both. A round joins only what the last one found. Rounds are written to the shared folder, in buckets by (seed, node): what is new is moved once and
+    held against each earlier round where that lies. Without paths, what is further than the first steps
     is found by doubling (see reach)."""
     if predicates is not None:
         edges = edges.where(F.col("predicate").isin(list(predicates)))
@@ -85,20 +86,22 @@ def graph_walk(seeds: DataFrame, edges: DataFrame, hops: int | None = 4, directi
     new = _seeds(seeds).select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
     if paths:
         new = new.withColumn("path", F.array().cast("array<struct<predicate:string,direction:string,node:string>>"))
-    seen, out, hop = new, None, 0
+    seen, out, hop = [], None, 0
     while hops is None or hop < hops:
         if hop == FIRST and not paths:
             far = beyond(new, steps.select("node", F.col("step.node").alias("to"))).where("node <> seed")
             return nearest(out.union(far if hops is None else far.where(F.col("hop") <= hops)))
         hop += 1
         found = new.join(steps, "node").select("seed", F.col("step.node").alias("node"), *([F.concat("path", F.array("step")).alias("path")] if paths else []))
-        found = found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        found = found.where("node <> seed")
         found = found.groupBy("seed", "node").agg(F.min("path").alias("path")) if paths else found.distinct()
-        new = stored(found.select("seed", "node", F.lit(hop).alias("hop"), *(["path"] if paths else [])), "walk")
+        for earlier in seen:
+            found = found.join(earlier.select("seed", "node"), ["seed", "node"], "left_anti")
+        new = bucketed(found.select("seed", "node", F.lit(hop).alias("hop"), *(["path"] if paths else [])), "walk", "seed", "node")
         out = new if out is None else out.union(new)
         if new.isEmpty():
             break
-        seen = seen.union(new)
+        seen.append(new)
     return out if out is not None else new.limit(0)
 
 

@@ -39,6 +39,18 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df stored in as many buckets by keys as there are shuffle partitions: a join or distinct by these keys moves none of its rows again. It is a table of the session's catalog, under a
+    name of its own, until the session or a `cleared` block ends."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(table)
+    for made in _OPEN:
+        made.append(f"table:{table}")
+    return spark.table(table)
+
+
 def is_open() -> bool:
     """Whether what is made now is removed at the end of a `cleared` block."""
     return bool(_OPEN)
@@ -54,5 +66,8 @@ def cleared(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN.remove(made)
         for at in made:
+            if at.startswith("table:"):
+                spark.sql(f"drop table if exists `{at[6:]}`")
+                continue
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

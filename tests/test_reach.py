@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from entigraph import ClassDef, Slot, TypedGraph, TypeRegistry
+from entigraph import ClassDef, Slot, TypedGraph, TypeRegistry, scratch
 from entigraph.operators import hierarchy, navigate, path, reach
 
 
@@ -57,16 +57,33 @@ def test_repetition_of_a_long_cycle(spark):
     assert reached(path.Plus(path.Inv(path.P("back")))) == {f"n{i}" for i in range(n)}
 
 
-def test_a_cycle_of_ten_thousand_links_takes_few_rounds(spark):
+def test_a_cycle_of_ten_thousand_links_takes_few_rounds(spark, monkeypatch):
     n = 10_000
     pairs = spark.range(n).selectExpr("cast(id as string) as src", f"cast((id + 1) % {n} as string) as dst")
     written = []
-    for module in (reach, hierarchy):
-        keep = module.stored
-        module.stored = lambda df, name, keep=keep: written.append(name) or keep(df, name)
-    try:
-        out = hierarchy.closure(pairs, spark.createDataFrame([("7",)], "src string"))
-    finally:
-        reach.stored, hierarchy.stored = keep, keep
+    monkeypatch.setattr(reach, "stored", lambda df, name, keep=reach.stored: written.append(name) or keep(df, name))
+    monkeypatch.setattr(hierarchy, "bucketed", lambda *a, keep=hierarchy.bucketed: written.append(a[1]) or keep(*a))
+    out = hierarchy.closure(pairs, spark.createDataFrame([("7",)], "src string"))
     assert out.count() == n and out.selectExpr("max(hop)").first()[0] == n
     assert len(written) <= reach.FIRST + 3 + 20 + 20 / reach.BATCH  # a table for each first step, each doubling and each batch
+
+
+def test_what_was_found_is_not_moved_again(spark):
+    """The plan of a late round's comparison has an exchange over what is new, none over the rounds before."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rounds = [scratch.bucketed(spark.range(k, k + 50).selectExpr("id as seed", "id as node"), "walk", "seed", "node") for k in (0, 30)]
+        found = spark.range(100).selectExpr("id as seed", "id as node").distinct()
+        for r in rounds:
+            found = found.join(r, ["seed", "node"], "left_anti")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 2 and found.count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cleared_drops_tables(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    with scratch.cleared(spark):
+        assert scratch.bucketed(spark.range(5), "t", "id").count() == 5
+    assert {t.name for t in spark.catalog.listTables()} == before
