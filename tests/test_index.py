@@ -62,9 +62,8 @@ def test_conditions_equal_brute_force(kept, monkeypatch, few):
     has = lambda test: {i for i, fs in words.items() if any(test(w) for _, ws in fs for w in ws)}
     got = lambda i, **more: {x.id for x in search.matching(i, **more).collect()}
     for i in (index, fresh) if few else (index,):
-        for distance in range(4):
-            for word in ("steel", "ketle", "a" * 45):
-                assert got(i, fuzzy=word, distance=distance) == has(lambda w, word=word, distance=distance: edits(w, word) <= distance)
+        for word, distance in (("steel", 1), ("steel", 2), ("ketle", 3), ("a" * 45, 2), ("x", 0)):
+            assert got(i, fuzzy=word, distance=distance) == has(lambda w, word=word, distance=distance: edits(w, word) <= distance)
         assert got(i, prefix="KETT") == has(lambda w: w.startswith("kett")) and got(i, prefix="a", none_of=["of"]) == has(lambda w: w.startswith("a")) - has(lambda w: w == "of")
         assert got(i, all_of=["of", "the"], fuzzy="stele", distance=1) == has(lambda w: w == "of") & has(lambda w: w == "the") & has(lambda w: edits(w, "stele") <= 1)
         assert got(i, none_of=["the"]) == set(now) - has(lambda w: w == "the") and got(i) == set(now)

@@ -25,12 +25,11 @@ def distances(pairs):
 
 
 R = random.Random(4)
-CHAIN = [(f"n{i}", f"n{i + 1}") for i in range(17)]
+CHAIN = [(f"n{i}", f"n{i + 1}") for i in range(12)]
 GRAPHS = {
-    "two cycles that meet": (4, [*CHAIN, ("n17", "n0"), ("n11", "n3"), ("n12", "x"), ("x", "x")]),
+    "two cycles that meet": (4, [*CHAIN, ("n12", "n0"), ("n11", "n3"), ("n12", "x"), ("x", "x")]),
     "dense, with a tail": (4, [(f"d{R.randrange(9)}", f"d{R.randrange(9)}") for _ in range(30)] + [("d0", "n0"), *CHAIN]),
-    "random": (4, [(f"r{R.randrange(60)}", f"r{R.randrange(60)}") for _ in range(75)]),
-    "in single strides": (0, CHAIN[:12]),
+    "in single strides": (0, CHAIN[:9]),
 }
 
 
@@ -49,12 +48,12 @@ def test_walks_of_many_hops(spark):
 
 
 def test_repetition_of_a_long_cycle(spark):
-    n = 20
+    n = 10
     g = TypedGraph(spark, TypeRegistry([ClassDef("N", (), (Slot("to", "N"), Slot("back", "N")))]), {"N": spark.createDataFrame([(f"n{i}", f"n{(i + 1) % n}", f"n{(i - 1) % n}") for i in range(n)], "id string, to string, back string")})
     seeds = spark.createDataFrame([("n3",)], "id string")
     reached = lambda via: {r.node for r in path.follow(g, seeds, via).collect()}
-    assert reached(path.Star(path.Seq(path.P("to"), path.P("to")))) == {f"n{i}" for i in range(n) if i % 2}
-    assert reached(path.Plus(path.Inv(path.P("back")))) == {f"n{i}" for i in range(n)}
+    assert reached(path.Plus(path.P("to"))) == {f"n{i}" for i in range(n)}
+    assert reached(path.Star(path.Seq(path.P("to"), path.Inv(path.P("back"))))) == {f"n{i}" for i in range(n) if i % 2}
 
 
 def test_a_cycle_of_ten_thousand_links_takes_few_rounds(spark, monkeypatch):
