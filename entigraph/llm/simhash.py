@@ -64,9 +64,9 @@ def links(fps: DataFrame) -> DataFrame:
     spread = fps.select("fp", F.expr("explode(sequence(0, 63))").alias("slot")).select(
         "fp", "slot", F.expr("(cast(slot as bigint) << 32) | (case when slot < 32 then fp else fp >>> 32 end & 4294967295L & ~shiftleft(1L, slot % 32))").alias("key")
     )
-    # signatures that are shared are few: a table that Spark sends to the others where it is small, and whose hot keys it can split in the join where it is not
+    # counted with map-side combining and joined back in one way at every size: Spark can split a hot key of such a join, which a window over it can't be
     shared = stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-    more = stored(spread.join(shared, "key"), "simhash-shared")
+    more = stored(spread.join(shared.hint("merge"), "key"), "simhash-shared")
     pairs = (
         more.where(f"n <= {SMALL_BUCKET}").groupBy("key", "slot").agg(F.collect_list("fp").alias("f"))
         # a pair with the segment equal is in 32 buckets: only the first emits it
