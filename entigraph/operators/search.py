@@ -65,6 +65,16 @@ def average_lengths(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("field").agg(F.avg("len").alias("avgdl"))
 
 
+def _contributions(matched: DataFrame) -> DataFrame:
+    """(query_id, id, term, df, idf, tilde_tf, contribution) of matched terms by field."""
+    t = matched.groupBy("query_id", "id", "term", "df", "idf").agg(F.sum("wtf").alias("tilde_tf"))
+    return t.withColumn("contribution", F.col("idf") * F.col("tilde_tf") / (K1 + F.col("tilde_tf")))
+
+
+def _scores(explained: DataFrame) -> DataFrame:
+    return explained.groupBy("query_id", "id").agg(F.sum("contribution").alias("score")).where("score > 0")
+
+
 class Index:
     """What a class's searches share. Terms are stems, in texts, queries and conditions alike, unless stem is false.
 
@@ -118,32 +128,57 @@ class Index:
         out = rows.select("id", "field", "len", F.explode("terms").alias("term")).groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
         return out, average_lengths(rows), rows.agg(F.countDistinct("id").alias("n_docs"))
 
-    def _matched(self, query, weights: dict[str, float] | None) -> DataFrame:
-        """(query_id, id, field, term, wtf, idf): the weighted, length-normalised frequency of each query term in each field."""
-        weights = weights or self.weights
+    def _found(self, query) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(query_id, term) of the queries, and _hits() of their terms."""
         terms = sorted(set(self.terms_of([query])[0])) if isinstance(query, str) else None
         asked = stored(self.queries(query), "search-terms") if terms is None else self._asked(terms)
         if terms is None and len(few := asked.select("term").distinct().limit(FEW + 1).collect()) <= FEW:
             terms = sorted(r.term for r in few)
-        hit, averages, n = self._hits(asked.select("term").distinct(), terms)
-        df = document_frequencies(hit)
+        return asked, *self._hits(asked.select("term").distinct(), terms)
+
+    def _weighed(self, hit: DataFrame, df: DataFrame, averages: DataFrame, n: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+        """(id, field, term, df, wtf, idf): the weighted, length-normalised frequency of each term asked for in each field."""
+        weights = weights or self.weights
         w = F.create_map(*[x for f, v in weights.items() for x in (F.lit(f), F.lit(float(v)))])
         out = hit.join(df, "term").join(averages, "field").crossJoin(n)
         norm = F.when(F.col("avgdl") > 0, 1 - B + B * F.col("len") / F.col("avgdl")).otherwise(1.0)
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        out = out.withColumn("weight", w[F.col("field")]).where("weight is not null").select("id", "field", "term", "df", (F.col("weight") * F.col("tf") / norm).alias("wtf"), idf.alias("idf"))
+        return out.withColumn("weight", w[F.col("field")]).where("weight is not null").select("id", "field", "term", "df", (F.col("weight") * F.col("tf") / norm).alias("wtf"), idf.alias("idf"))
+
+    def _matched(self, query, weights: dict[str, float] | None) -> DataFrame:
+        """(query_id, id, field, term, df, wtf, idf)."""
+        asked, hit, averages, n = self._found(query)
+        out = self._weighed(hit, document_frequencies(hit), averages, n, weights)
         return out.join(asked, "term").select("query_id", "id", "field", "term", "df", "wtf", "idf")
 
     def explain(self, query, weights: dict[str, float] | None = None) -> DataFrame:
         """(query_id, id, term, df, idf, tilde_tf, contribution); contributions sum to the score."""
-        t = self._matched(query, weights).groupBy("query_id", "id", "term", "df", "idf").agg(F.sum("wtf").alias("tilde_tf"))
-        return t.withColumn("contribution", F.col("idf") * F.col("tilde_tf") / (K1 + F.col("tilde_tf")))
+        return _contributions(self._matched(query, weights))
 
     def score(self, query, weights: dict[str, float] | None = None, where: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score) of entities with a score above 0; where (id) narrows them, not the statistics."""
-        out = self.explain(query, weights).groupBy("query_id", "id").agg(F.sum("contribution").alias("score")).where("score > 0")
+        out = _scores(self.explain(query, weights))
         return out if where is None else out.join(where.select("id"), "id", "left_semi").select("query_id", "id", "score")
 
+    def top(self, query, limit: int, weights: dict[str, float] | None = None, digits: int = 9) -> DataFrame:
+        """(query_id, id, score, rank): the first `limit` entities of each query by score, rounded to `digits`, and id, as best(score(query), limit) has them.
+
+        Queries of the same terms have one answer. Entities that have the terms asked for equally often, in fields of equal lengths, have one score, and only the first `limit` of such can be among
+        the first of all: scores are made for one of each kind, and the kinds that lead are expanded."""
+        asked, hit, averages, n = self._found(query)
+        sets = stored(asked.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("terms")), "search-queries")
+        kinds = stored(sets.groupBy("terms").agg(F.min("query_id").alias("kind")), "search-kinds")
+        has = hit.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "field", "tf", "len"))).alias("has"))
+        alike = Window.partitionBy(F.xxhash64("has"), "has").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ids = stored(has.select("id", "has", F.row_number().over(alike).alias("place"), F.first("id").over(alike).alias("head")).where(F.col("place") <= limit), "search-alike")
+        one = ids.where("place = 1").select("id", F.explode("has").alias("h")).select("id", "h.*")
+        weighed = self._weighed(one, document_frequencies(hit), averages, n, weights)
+        scores = _scores(_contributions(weighed.join(kinds.select(F.col("kind").alias("query_id"), F.explode("terms").alias("term")), "term")))
+        # a kind that comes behind `limit` others, by its first id, has none of the first entities
+        led = stored(best(scores.withColumn("score", F.round("score", digits)), limit).select("query_id", F.col("id").alias("head"), "score"), "search-led")
+        first = best(led.join(ids.select("id", "head"), "head").select("query_id", "id", "score"), limit).withColumnRenamed("query_id", "kind")
+        return sets.join(kinds, "terms").select("query_id", "kind").join(first, "kind").select("query_id", "id", "score", "rank")
+
     def field_scores(self, query, weights: dict[str, float] | None = None) -> DataFrame:
         """(query_id, id, field, score): as if each field were the only one."""
         m = self._matched(query, weights).withColumn("c", F.col("idf") * F.col("wtf") / (K1 + F.col("wtf")))

@@ -54,6 +54,30 @@ def test_scores_equal_those_of_a_fresh_index(spark, kept):
     assert {x.id for x in index.ids().collect()} == set(now)
 
 
+def test_first_hits_of_many_queries_are_those_of_all_scores(spark, kept):
+    index, fresh, _ = kept
+    copies = spark.createDataFrame([(f"c{i:02}", "old kettle of steel" if i % 3 else "old olden kettles", None) for i in range(30)], SCHEMA)
+    many = spark.createDataFrame([(i, ["Kettle x", "old kettles", "OLD kettle old", "of", "", "none"][i % 6]) for i in range(30)], "query_id int, query string")
+    told = lambda df: sorted((x.query_id, x.rank, x.id, round(x.score, 8)) for x in df.collect())
+    for i in (index, fresh, search.Index(copies, WEIGHTS), search.Index(fresh.rows.union(copies), WEIGHTS)):
+        for limit in (1, 3, 50):
+            assert told(i.top(many, limit)) == told(search.best(i.score(many).withColumn("score", F.round("score", 9)), limit))
+    assert told(index.top("old kettles", 2, {"t": 1.0})) == told(search.best(index.score("old kettles", {"t": 1.0}).withColumn("score", F.round("score", 9)), 2))
+
+
+def test_queries_of_the_same_terms_are_scored_once(spark):
+    """40 queries over 200 texts, of two kinds each: the joined rows of scores are those of the kinds."""
+    rows = spark.createDataFrame([(f"{i:03}", "old kettle" if i % 2 else "old steel", None) for i in range(200)], SCHEMA)
+    many = spark.createDataFrame([(i, "old kettle" if i % 2 else "steel") for i in range(40)], "query_id int, query string")
+    made, kept_of = [], search._scores
+    try:
+        search._scores = lambda df: made.append(df.count()) or kept_of(df)
+        got = search.Index(rows, WEIGHTS).top(many, 5).collect()
+    finally:
+        search._scores = kept_of
+    assert len(got) == 200 and sum(made) <= 6
+
+
 @pytest.mark.parametrize("few", [1_000, 0])
 def test_conditions_equal_brute_force(kept, monkeypatch, few):
     monkeypatch.setattr(search, "FEW", few)
