@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,7 +88,7 @@ class Index:
         self.spark, self.rows, self.weights, self.analyzer, self.stem = rows.sparkSession, rows, dict(weights), analyzer, stem
         self.fields = analysed(rows, self.weights, analyzer, stem)
         self.terms = _placed(self.fields)
-        self.postings = postings(self.terms)
+        self.postings = postings(_placed(analysed(_spread(rows, weights), weights, analyzer, stem)))
         self.lengths = field_lengths(rows, self.weights, analyzer)
         self.averages = average_lengths(self.lengths)
         self.n = rows.agg(F.countDistinct("id").alias("n_docs"))
@@ -285,6 +287,44 @@ def _last_segment(spark: SparkSession, path: str) -> int:
     return -1 if stats is None else stats.agg(F.max("segment")).first()[0]
 
 
+def _spread(rows: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """Ids with their fields in four parts a core, but no more than there are shuffle partitions: many short texts can lie in one small file, which would be one task's."""
+    spark, fields = rows.sparkSession, [f for f in dict.fromkeys(fields) if f != "id"]
+    return rows.select("id", *fields).repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "id")
+
+
+def _posted(fields: DataFrame, stem: bool) -> DataFrame:
+    """(id, field, len, posted) of (id, field, words); posted has (term, word, positions) of each distinct word. A batch's words are numbered and sorted within it: none is moved to be counted."""
+    kind = fields.schema["id"].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from entigraph.functions.stem import stem as stem_of
+
+        for batch in batches:
+            ids, field, words = batch.columns
+            coded, size = words.flatten().dictionary_encode(), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row, code = np.repeat(np.arange(len(size)), size), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((code, row))  # stable: places stay in order
+            row, code, pos = row[order], code[order], (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))[order]
+            new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+            known = coded.dictionary
+            terms = pa.array([stem_of(w) for w in known.to_pylist()], pa.string()) if stem else known
+            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            places = lists(np.append(new, len(row)), pa.array(pos, pa.int32()))
+            each = pa.StructArray.from_arrays([terms.take(pa.array(code[new])), known.take(pa.array(code[new])), places], ["term", "word", "positions"])
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(size)))))
+            yield pa.RecordBatch.from_arrays([ids, field, pa.array(size, pa.int32()), lists(ends, each)], ["id", "field", "len", "posted"])
+
+    return fields.select("id", "field", "words").mapInArrow(make, f"id {kind}, field string, len int, posted array<struct<term:string,word:string,positions:array<int>>>")
+
+
+def term_counts(rows: DataFrame, fields: Iterable[str], analyzer: Analyzer = raw_tokens, stem: bool = False) -> DataFrame:
+    """(term, n): how often each term occurs. Words are counted where they are read, and distinct ones stemmed."""
+    fields = list(fields)
+    words = analysed(rows, fields, analyzer).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return stemmed(words).groupBy("term").agg(F.sum("n").alias("n")) if stem else words
+
+
 def append(rows: DataFrame, path: str, weights: dict[str, float], analyzer: Analyzer = raw_tokens, stem: bool = True, varied: bool = True) -> None:
     """Adds rows to the index at path as a segment of its own; rows whose id it has take the place of the earlier ones. No earlier text or posting is read.
 
@@ -293,10 +333,9 @@ def append(rows: DataFrame, path: str, weights: dict[str, float], analyzer: Anal
     spark, segment = rows.sparkSession, _last_segment(rows.sparkSession, path) + 1
     if segment:
         retract(rows.select("id").distinct(), path)
-    fields = stored(analysed(rows, weights, analyzer, stem), "index-fields")
-    lengths = fields.select("id", "field", F.size("words").alias("len"))
-    each = fields.select("id", "field", F.size("terms").alias("len"), F.posexplode(F.arrays_zip("terms", "words")).alias("pos", "t"))
-    posted = each.groupBy("id", "field", F.col("t.terms").alias("term"), F.col("t.words").alias("word")).agg(F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    fields = stored(_posted(analysed(_spread(rows, weights), weights, analyzer), stem), "index-fields")
+    lengths = fields.select("id", "field", "len")
+    posted = fields.select("id", "field", "len", F.explode("posted").alias("p")).select("id", "field", "p.term", "p.word", "len", "p.positions")
     at = lambda what: f"{path}/{what}/segment={segment}"
     posted.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(at("postings"))
     lexicon = spark.read.parquet(at("postings")).groupBy("word", "term").agg(F.count("*").alias("n"))
