@@ -547,9 +547,10 @@ def _utterances(g):
     return g.scan_class("Utterance", []).select("id")
 
 
-def _g(name, body, via, seeds=None):
+def _g(name, body, via, seeds=None, direction=None):
+    """direction: of a path of one step with any predicate, which asks only for the edges that leave orders or lead to them."""
     of = seeds or (lambda g: _seeds(g, "Order"))
-    query(name, f"WITH RECURSIVE {EDGES_SQL}, {_CHAIN if seeds else _SEEDS_O}{body}")(lambda g: path.follow(g, of(g), via))
+    query(name, f"WITH RECURSIVE {EDGES_SQL}, {_CHAIN if seeds else _SEEDS_O}{body}")(lambda g: path.follow(g, of(g), via, edges=direction and g.edges_within("Order", 1, direction)))
 
 
 _PLACED = "(SELECT seed, dst AS node FROM seeds JOIN edges ON src = seed WHERE predicate = 'placed_by')"
@@ -561,9 +562,9 @@ _g("g4_plus", f"{_REACH} SELECT seed, node FROM reach", path.Plus(path.P("next_t
 _g("g5_star", f"{_REACH} SELECT seed, node FROM reach UNION SELECT seed, seed FROM seeds", path.Star(path.P("next_turn")), _utterances)
 _g("g6_inv", " SELECT DISTINCT s.seed, i.src AS node FROM seeds s JOIN edges l ON l.src = s.seed AND l.predicate = 'placed_by' JOIN edges i ON i.dst = l.dst AND i.predicate = 'placed_by'", path.Seq(path.P("placed_by"), path.Inv(path.P("placed_by"))))
 _g("g7_self", " SELECT seed, seed AS node FROM seeds", path.Self())
-_g("g8_any", " SELECT DISTINCT seed, dst AS node FROM seeds JOIN edges ON src = seed", path.Any())
+_g("g8_any", " SELECT DISTINCT seed, dst AS node FROM seeds JOIN edges ON src = seed", path.Any(), direction="forward")
 _g("g9_restrict", f" SELECT DISTINCT seed, node FROM {_PLACED} JOIN customer ON node = 'Customer/' || c_custkey WHERE c_mktsegment = 'BUILDING'", path.Seq(path.P("placed_by"), path.Restrict("mktsegment", "BUILDING")))
-_g("g10_not", " SELECT DISTINCT seed, src AS node FROM seeds JOIN edges ON dst = seed WHERE predicate NOT IN ('placed_by')", path.Inv(path.Not("placed_by")))
+_g("g10_not", " SELECT DISTINCT seed, src AS node FROM seeds JOIN edges ON dst = seed WHERE predicate NOT IN ('placed_by')", path.Inv(path.Not("placed_by")), direction="inverse")
 _g("g11_opt", f" SELECT seed, node FROM {_PLACED} UNION SELECT seed, seed FROM seeds", path.Opt(path.P("placed_by")))
 _g("g12_rep", ", r1 AS (SELECT seed, dst AS node FROM seeds JOIN edges ON src = seed AND predicate = 'next_turn'), r2 AS (SELECT seed, dst AS node FROM r1 JOIN edges ON src = node AND predicate = 'next_turn'), r3 AS (SELECT seed, dst AS node FROM r2 JOIN edges ON src = node AND predicate = 'next_turn') SELECT * FROM r2 UNION SELECT * FROM r3", path.Rep(path.P("next_turn"), 2, 3), _utterances)
 _g("g13_filter", f" SELECT DISTINCT p.seed, e.dst AS node FROM {_PLACED} p JOIN edges e ON e.src = p.node AND e.predicate = 'in_nation' JOIN nation ON e.dst = 'Nation/' || n_nationkey WHERE contains(n_name, 'A')", path.Filter(path.Seq(path.P("placed_by"), path.P("in_nation")), "A"))
