@@ -678,12 +678,12 @@ def _(spark, sf_dir):
 
 @query("h2_stemmed_tokens")
 def _(g):
-    return search.tokens(g.scan_class("Document", ["text"]), ["text"], stem=True).groupBy("term").agg(F.count("*").alias("n"))
+    return search.term_counts(g.scan_class("Document", ["text"]), ["text"], stem=True)
 
 
 @query("h2_stemmed_parts", f"WITH {_HSQL} SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY term")
 def _(g):
-    return search.tokens(g.scan_class("Part", _PART), _PART, stem=True).groupBy("term").agg(F.count("*").alias("n"))
+    return search.term_counts(g.scan_class("Part", _PART), _PART, stem=True)
 
 
 @query("h3_postings", f"WITH {_HSQL} SELECT id, field, term, tf FROM post")
