@@ -894,10 +894,13 @@ def _nested_versions(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").cast("long").alias("part"), F.col("l_quantity").cast("long").alias("qty"), F.concat("l_returnflag", "l_linestatus").alias("mode"))
 
     def version(orders, lines):
-        each = lines.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "part", "qty"))).alias("ls"))
-        modes = lines.groupBy("k", "mode").agg(F.count("*").alias("c")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("mode", "c"))).alias("modes"))
-        ls = F.transform(F.coalesce("ls", F.array().cast("array<struct<n:bigint,part:bigint,qty:bigint>>")), lambda x: F.struct(x["part"].alias("part"), x["qty"].alias("qty")))
-        out = orders.join(each, "k", "left").join(modes, "k", "left")
+        # an order's lines come together once: their kinds are counted within its row
+        each = lines.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "part", "qty", "mode"))).alias("ls"))
+        kinds = F.transform("ls", lambda x: x["mode"])
+        counted = F.transform(F.array_distinct(kinds), lambda m: F.struct(m.alias("mode"), F.size(F.filter("ls", lambda x: x["mode"] == m)).cast("long").alias("c")))
+        each = each.withColumn("modes", F.map_from_entries(counted))
+        ls = F.transform(F.coalesce("ls", F.array().cast("array<struct<n:bigint,part:bigint,qty:bigint,mode:string>>")), lambda x: F.struct(x["part"].alias("part"), x["qty"].alias("qty")))
+        out = orders.join(each, "k", "left")
         return out.select(F.concat(F.lit("Order/"), F.col("k").cast("string")).alias("id"), "info", F.coalesce("modes", F.create_map().cast("map<string,bigint>")).alias("modes"), ls.alias("lines"))
 
     status = F.when(F.col("k") % 7 == 0, F.concat(F.lit("x"), F.col("info.status"))).otherwise(F.col("info.status"))
