@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from entigraph.scratch import stored
+
 NESTED = (T.StructType, T.MapType, T.ArrayType)
 STEP = r'`(?:[^`]|``)*`|[^.\[`]+|\["(?:[^"\\]|\\.)*"\]|\[[0-9]+\]'
 
@@ -172,6 +174,11 @@ def _gone(changes: Column) -> Column:
     return F.exists(changes, lambda e: _own(e) & (e["op"] == "-"))
 
 
+def _staying(named: Column, changes: Column) -> Column:
+    """(of, mine) of elements, each with its step as `at`, that do not go, with their changes: the steps are made once, not for each change."""
+    return F.filter(F.transform(named, lambda e: F.struct(e.alias("of"), _below(changes, e["at"]).alias("mine"))), lambda p: ~_gone(p["mine"]))
+
+
 def _applied(a: Column, kind: T.DataType, changes: Column) -> Column:
     """A part with its changes made: all of it replaced, or field by field, key by key, place by place."""
     return _let({"a": a, "changes": changes}, lambda a, changes: _made(a, kind, changes))
@@ -183,14 +190,15 @@ def _made(a: Column, kind: T.DataType, changes: Column) -> Column:
         inner = F.struct(*[_applied(a[f.name], f.dataType, _below(changes, F.lit(_name(f.name)))).alias(f.name) for f in kind])
     elif isinstance(kind, T.MapType):
         had = F.coalesce(F.map_entries(a), F.array().cast(T.ArrayType(T.StructType([T.StructField("key", kind.keyType, False), T.StructField("value", kind.valueType)]))))
-        kept = F.transform(F.filter(had, lambda e: ~_gone(_below(changes, _key(e["key"])))), lambda e: F.struct(e["key"].alias("key"), _applied(e["value"], kind.valueType, _below(changes, _key(e["key"]))).alias("value")))
+        named = F.transform(had, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _key(e["key"]).alias("at")))
+        kept = F.transform(_staying(named, changes), lambda p: F.struct(p["of"]["key"].alias("key"), _applied(p["of"]["value"], kind.valueType, p["mine"]).alias("value")))
         fresh = F.filter(_came(changes), lambda e: ~F.exists(had, lambda h: _key(h["key"]) == F.get(e["steps"], F.lit(0))))
         key = lambda e: F.get(F.from_json(F.get(e["steps"], F.lit(0)), "array<string>"), F.lit(0)).cast(kind.keyType)
         inner = F.map_from_entries(F.concat(kept, F.transform(fresh, lambda e: F.struct(key(e).alias("key"), from_text(e["new_value"], kind.valueType).alias("value")))))
     elif isinstance(kind, T.ArrayType):
         had = F.coalesce(a, F.array().cast(kind))
-        placed = F.transform(had, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-        kept = F.transform(F.filter(placed, lambda p: ~_gone(_below(changes, _index(p["i"])))), lambda p: _applied(p["x"], kind.elementType, _below(changes, _index(p["i"]))))
+        named = F.transform(had, lambda x, i: F.struct(x.alias("x"), _index(i).alias("at")))
+        kept = F.transform(_staying(named, changes), lambda p: _applied(p["of"]["x"], kind.elementType, p["mine"]))
         place = lambda e: F.regexp_extract(F.get(e["steps"], F.lit(0)), "[0-9]+", 0).cast("int")
         fresh = F.filter(_came(changes), lambda e: place(e) >= F.size(had))
         fresh = F.array_sort(F.transform(fresh, lambda e: F.struct(place(e).alias("i"), e["new_value"].alias("v"))))
@@ -217,12 +225,18 @@ def _differs(a: Column, kind: T.DataType, changes: Column) -> Column:
             bad = bad | _wrong(a[f.name], f.dataType, _below(changes, F.lit(_name(f.name))))
         return bad | F.exists(changes, lambda e: ~_own(e) & ~step(e).isin([_name(f.name) for f in kind]))
     if isinstance(kind, T.MapType):
-        had, at, inside = F.coalesce(F.map_entries(a), F.array().cast(T.ArrayType(T.StructType([T.StructField("key", kind.keyType, False), T.StructField("value", kind.valueType)])))), lambda h: _key(h["key"]), kind.valueType
+        had, inside = F.coalesce(F.map_entries(a), F.array().cast(T.ArrayType(T.StructType([T.StructField("key", kind.keyType, False), T.StructField("value", kind.valueType)])))), kind.valueType
+        named = F.transform(had, lambda h: F.struct(_key(h["key"]).alias("at"), h["value"].alias("value")))
     else:
-        had, at, inside = F.transform(F.coalesce(a, F.array().cast(kind)), lambda x, i: F.struct(i.alias("key"), x.alias("value"))), lambda h: _index(h["key"]), kind.elementType
-    there = lambda e: F.exists(had, lambda h: at(h) == step(e))
-    missing = F.exists(changes, lambda e: ~_own(e) & F.when((e["op"] == "+") & (F.size(e["steps"]) == 1), there(e) | a.isNull()).otherwise(~there(e)))
-    return bad | missing | F.exists(had, lambda h: _wrong(h["value"], inside, F.filter(_below(changes, at(h)), lambda e: ~(_own(e) & (e["op"] == "+")))))
+        had, inside = F.coalesce(a, F.array().cast(kind)), kind.elementType
+        named = F.transform(had, lambda x, i: F.struct(_index(i).alias("at"), x.alias("value")))
+
+    def elements(named: Column, changes: Column) -> Column:
+        there = lambda e: F.exists(named, lambda h: h["at"] == step(e))
+        missing = F.exists(changes, lambda e: ~_own(e) & F.when((e["op"] == "+") & (F.size(e["steps"]) == 1), there(e) | a.isNull()).otherwise(~there(e)))
+        return missing | F.exists(named, lambda h: _wrong(h["value"], inside, F.filter(_below(changes, h["at"]), lambda e: ~(_own(e) & (e["op"] == "+")))))
+
+    return bad | _let({"named": named, "changes": changes}, elements)
 
 
 def patch(base: DataFrame, diff: DataFrame, key: str = "id", checked: bool = True) -> DataFrame:
@@ -242,6 +256,7 @@ def patch(base: DataFrame, diff: DataFrame, key: str = "id", checked: bool = Tru
         for f in fields:
             wrong = wrong | F.when(F.coalesce("row_op", F.lit("")) != "+", _wrong(*of(f))).otherwise(False)
         wrong = wrong | F.exists("cs", lambda e: ~F.get(e["steps"], F.lit(0)).isin([_name(f.name) for f in fields]))
+        both = stored(both, "patched")  # looked at twice, made once
         if n := both.where(wrong).count():
             raise ValueError(f"{n} rows are not as the diff has them")
     out = both.where(F.coalesce(F.col("row_op") != "-", F.lit(True)) & (F.col("k").isNotNull() | (F.col("row_op") == "+")))
