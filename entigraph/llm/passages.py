@@ -12,6 +12,9 @@ Such a key covers only a quarter of a passage, so its least and greatest text ma
 windows, their passages of exactly MIN_WORDS words around the least shingle are therefore keys too: all documents with the same one are linked to its
 least, which has it as well, so each equal passage links each of its documents, whatever else has a part of it.
 
+What is near but not equal can still be parted there, where the least and greatest text have a part only. So when the links are verified, the keys that have more than two windows and texts
+of several classes are opened: similar passages have a run of RUN shingles in common (see RUN), and all texts of different classes that share one in such windows are compared with each other.
+
 For each linked pair of documents the texts of the candidate stretch are compared: passages of MIN_WORDS words or more with a Jaccard similarity of their
 shingles of at least 0.8 stay.
 
@@ -41,6 +44,11 @@ WIDTH = MIN_WORDS - SHINGLE + 1
 NEAR = WIDTH // 4 + 1
 #: Pairs of min-hash functions. An equal passage has a common key with each; of 55 words with the middle one changed (similarity 0.82) at least one in 97 of 100 cases.
 FUNCTIONS = 2
+#: Shingles in a row that two similar passages share at least: a break between shared runs costs them 9 different shingles or more, so there is one break in 46 to 89 shingles, with 41 shared ones on its
+#: two sides; e > 1 breaks need 45 e shingles, of which 36 e lie in e + 1 runs.
+RUN = 21
+#: Shingles that two similar passages share at least, where none occurs twice: of WIDTH in each i are shared, and i >= SIMILAR * (2 * WIDTH - i). `has` may have lost a few that have the same number.
+MOST_SHARED = 40
 #: Shingles between shared ones that a passage may bridge: those that hold two changed words.
 BRIDGE = 2 * SHINGLE
 _ODD = 0x9E3779B97F4A7C15
@@ -285,6 +293,36 @@ def equal_passages(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("rid", "text", "around"), make, "passage long, rid long, at int")
 
 
+def shared_runs(docs: DataFrame) -> DataFrame:
+    """(run, rid, at, lo, hi, has): of docs (rid, text, around) each run of RUN shingles within one of `around`, array<struct<c, before, after>>, and the first and last shingle of those it lies in;
+    and a row without a run for each text, with numbers of the shingles of all these runs in `has`, null where one occurs again."""
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out, has = [], []
+            for r, t, around in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                s = shingles((t.as_py() or "").encode("utf-8", "replace"))
+                n = passage_numbers(s, RUN)
+                lo, hi = np.full(len(n), len(n) + RUN, np.int32), np.full(len(n), -1, np.int32)
+                for w in around:
+                    a, z = w["c"] - w["before"], w["c"] + w["after"]
+                    lo[a : z - RUN + 2] = np.minimum(lo[a : z - RUN + 2], a)
+                    hi[a : z - RUN + 2] = np.maximum(hi[a : z - RUN + 2], z)
+                at = np.flatnonzero(hi >= 0)
+                out.append((n[at].view(np.int64), np.full(len(at), r, np.int64), at.astype(np.int32), lo[at], hi[at]))
+                within = s[np.unique(at[:, None] + np.arange(RUN))]
+                has.append(None if len(np.unique(within)) < len(within) else np.unique((within >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            run, rid, *places = (np.concatenate(a) for a in zip(*out, strict=True))
+            none = np.zeros(len(has), np.int32)
+            first = [pa.array(np.concatenate((run, none)), mask=np.arange(len(run) + len(none)) >= len(run)), pa.concat_arrays([pa.array(rid), batch.column(0)])]
+            kinds = pa.concat_arrays([pa.nulls(len(run), pa.list_(pa.int32())), pa.array(has, pa.list_(pa.int32()))])
+            return pa.RecordBatch.from_arrays([*first, *[pa.array(np.concatenate((p, none))) for p in places], kinds], ["run", "rid", "at", "lo", "hi", "has"])
+
+        return f
+
+    return map_rows(docs.select("rid", "text", "around"), make, "run long, rid long, at int, lo int, hi int, has array<int>")
+
+
 def _cut(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, other, lo, words): of docs (rid, doc_id, text, other, lo, hi) the words of shingles lo..hi, A-Z lower-cased."""
 
@@ -304,12 +342,16 @@ def _with_text(docs: DataFrame, need: DataFrame) -> DataFrame:
     return docs.join(need.withColumnRenamed("doc_id", "first"), "rid").where(F.col("doc_id").eqNullSafe(F.col("first"))).drop("first")
 
 
-def candidates(docs: DataFrame, firsts: DataFrame, w: DataFrame) -> DataFrame:
-    """(rid, other, a0, a1, b0, b1): texts linked to another one, and in either the stretch of shingles that the common windows cover. docs: (rid, doc_id, text), rid the text's; firsts (rid,
-    doc_id): the document that stands for a text; w: the windows of docs."""
+def shared_windows(w: DataFrame) -> DataFrame:
+    """The windows of keys that several texts have, with the key's least and greatest text (rep, most) and its number of windows (n)."""
     shared = w.groupBy("key").agg(F.min("rid").alias("rep"), F.max("rid").alias("most"), F.count("*").alias("n")).where("rep <> most")
     # stored, a row a key: read from there, the joins can split a key that many windows have
-    w = stored(w.join(stored(shared, "passage-shared"), "key"), "passage-shared-windows")
+    return stored(w.join(stored(shared, "passage-shared"), "key"), "passage-shared-windows")
+
+
+def candidates(docs: DataFrame, firsts: DataFrame, w: DataFrame) -> DataFrame:
+    """(rid, other, a0, a1, b0, b1): texts linked to another one, and in either the stretch of shingles that the common windows cover. docs: (rid, doc_id, text), rid the text's; firsts (rid,
+    doc_id): the document that stands for a text; w: the shared windows of docs."""
     at = F.struct("c", "before", "after")
     stars = w.where("rid = rep or rid = most").groupBy("key").agg(F.min(F.when(F.expr("rid = rep"), at)).alias("first"), F.min(F.when(F.expr("rid = most"), at)).alias("last"))
     # a window that ends where the least text's ends, on both sides, has the same text: what is like the one is like the other, and the greatest need not be asked
@@ -327,14 +369,36 @@ def candidates(docs: DataFrame, firsts: DataFrame, w: DataFrame) -> DataFrame:
     return linked.unionByName(alike).groupBy("rid", "other").agg(F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("b0").alias("b0"), F.max("b1").alias("b1"))
 
 
-def near_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, rep_doc_id, rep_start, rep_end, similarity): passages in words, end exclusive, that a class's representative has nearly alike."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("text"))
-    w = stored(windows(rows.select("rid", "text")), "passage-windows")
-    ids = stored(rows.select("rid", "doc_id"), "passage-ids")
-    firsts = stored(ids.groupBy("rid").agg(F.min("doc_id").alias("doc_id")), "passage-texts-of")
-    pairs = stored(candidates(rows, firsts, w.where("key is not null")), "passage-pairs")
+def parted(docs: DataFrame, firsts: DataFrame, w: DataFrame, found: DataFrame) -> DataFrame:
+    """As candidates(), of the texts that found (rid, other) has in different classes: all that share a run in windows of keys that have several classes."""
+    some = w.where("n > 2").select("key", "rid", "c", "before", "after").distinct()
+    of = components(found.select(F.col("rid").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "rid")
+    some = stored(some.join(of, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "passage-classes")
+    several = some.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    around = some.join(several, "key", "left_semi").groupBy("rid").agg(F.collect_set(F.struct("c", "before", "after")).alias("around"), F.first("root").alias("root"))
+    around = stored(around.join(firsts, "rid"), "passage-open")
+    runs = stored(shared_runs(_with_text(docs, around.drop("root"))).join(around.select("rid", "root"), "rid"), "passage-runs")
+    between = runs.where("run is not null").groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run")
+    has = stored(runs.where("run is null").select("rid", "has"), "passage-has")
+    runs = runs.join(between, "run", "left_semi")
+    # a run that a text repeats has no alignment: all of its windows is compared
+    runs = stored(runs.groupBy("run", "rid").agg(F.first("root").alias("root"), F.min("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.count("*") > 1).alias("again")), "passage-runs-once")
+    other = runs.select("run", *[F.col(c).alias(f"o_{c}") for c in ("rid", "root", "at", "lo", "hi", "again")])
+    both = runs.join(other, "run").where("rid > o_rid and root <> o_root")
+    left, right = f"least(at - lo, o_at - o_lo) + {BRIDGE}", f"least(hi - at, o_hi - o_at) + {BRIDGE}"
+    whole = "again or o_again"
+    pairs = both.groupBy("rid", F.col("o_rid").alias("other")).agg(
+        F.min(F.expr(f"if({whole}, lo, greatest(at - ({left}), lo))")).alias("a0"), F.max(F.expr(f"if({whole}, hi, least(at + {right}, hi))")).alias("a1"),
+        F.min(F.expr(f"if({whole}, o_lo, greatest(o_at - ({left}), o_lo))")).alias("b0"), F.max(F.expr(f"if({whole}, o_hi, least(o_at + {right}, o_hi))")).alias("b1"),
+    )
+    # passages of WIDTH different shingles each are similar if they share most of them: what shares a run, a common line or so, and too little beside it is left here. Equal numbers of different
+    # shingles only let a pair pass
+    pairs = pairs.join(has, "rid").join(has.select(F.col("rid").alias("other"), F.col("has").alias("others")), "other")
+    return pairs.where(f"has is null or others is null or size(array_intersect(has, others)) >= {MOST_SHARED}").select("rid", "other", "a0", "a1", "b0", "b1")
+
+
+def verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rid, other, doc_id, start, end, rep_doc_id, rep_start, rep_end, similarity) of the pairs that candidates() gives."""
     reps = pairs.groupBy(F.col("other").alias("rid")).agg(F.min("b0").alias("lo"), F.max("b1").alias("hi"))
     need = pairs.select("rid", "other", F.col("a0").alias("lo"), F.col("a1").alias("hi")).unionByName(reps.withColumn("other", F.lit(None).cast("long")))
     cut = stored(_cut(_with_text(rows, need.join(firsts, "rid"))), "passage-texts").dropDuplicates(["rid", "other"])
@@ -344,17 +408,29 @@ def near_passages(docs: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, lo, words, rd, rlo, rwords in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, other, d, lo, words, rd, rlo, rwords in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if words == rwords:  # a copy: one stretch, all of it
                     n = words.count(" ") + 1
-                    out += [(d, lo, lo + n, rd, rlo, rlo + n, 1.0)] if n >= MIN_WORDS else []
+                    out += [(rid, other, d, lo, lo + n, rd, rlo, rlo + n, 1.0)] if n >= MIN_WORDS else []
                     continue
-                out += [(d, lo + i, lo + j, rd, rlo + p, rlo + q, s) for i, j, p, q, s in similar_stretches(words.split(" "), rwords.split(" "))]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 6 else pa.int64()) for k, c in enumerate(cols)], ["doc_id", "start", "end", "rep_doc_id", "rep_start", "rep_end", "similarity"])
+                out += [(rid, other, d, lo + i, lo + j, rd, rlo + p, rlo + q, s) for i, j, p, q, s in similar_stretches(words.split(" "), rwords.split(" "))]
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 8 else pa.int64()) for k, c in enumerate(cols)], ["rid", "other", "doc_id", "start", "end", "rep_doc_id", "rep_start", "rep_end", "similarity"])
+
+    both = mine.join(theirs, "other").select("rid", "other", "doc_id", "lo", "words", "rep_doc_id", "rep_lo", "rep_words")
+    return both.mapInArrow(verify, "rid long, other long, doc_id long, start long, end long, rep_doc_id long, rep_start long, rep_end long, similarity double")
 
-    both = mine.join(theirs, "other").select("doc_id", "lo", "words", "rep_doc_id", "rep_lo", "rep_words")
-    found = both.mapInArrow(verify, "doc_id long, start long, end long, rep_doc_id long, rep_start long, rep_end long, similarity double")
+
+def near_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, rep_doc_id, rep_start, rep_end, similarity): passages in words, end exclusive, that a class's representative has nearly alike."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("text"))
+    w = stored(windows(rows.select("rid", "text")), "passage-windows")
+    ids = stored(rows.select("rid", "doc_id"), "passage-ids")
+    firsts = stored(ids.groupBy("rid").agg(F.min("doc_id").alias("doc_id")), "passage-texts-of")
+    shared = shared_windows(w.where("key is not null"))
+    found = stored(verified(rows, firsts, stored(candidates(rows, firsts, shared), "passage-pairs")), "passage-links")
+    found = found.unionByName(verified(rows, firsts, stored(parted(rows, firsts, shared, found), "passage-parted"))).drop("rid", "other")
     zero = F.lit(0).cast("long")
     copies = ids.join(firsts.withColumnRenamed("doc_id", "first"), "rid").where("doc_id <> first or doc_id is null and first is not null").distinct()
     copies = copies.join(w.where("key is null").select("rid", F.col("c").cast("long").alias("n_words")).distinct(), "rid")

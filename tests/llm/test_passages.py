@@ -175,6 +175,35 @@ def test_recall_beside_documents_that_have_a_part(spark, holders, same, least):
     assert len({f for f in found if {d % 10 for d in f} == {0, 1}}) >= least * 200
 
 
+def test_recall_beside_many_documents_that_have_the_same_part(spark):
+    """Near pairs (80 words, one changed) beside six documents that hold the same two halves of the passage, and so are the least and greatest text of its keys in half of the groups."""
+    r, rows = random.Random(31), []
+    for k in range(100):
+        p = words(r, 80)
+        q = [*p[:40], "changed", *p[41:]]
+        docs = [words(r, 40) + p + words(r, 30), words(r, 20) + q + words(r, 50)]
+        docs += [words(r, 60) + p[:40] + words(r, 60) + p[41:] + words(r, 20) for _ in range(6)]
+        rows += [(10 * k + d, " ".join(w), "", 0) for d, w in enumerate(docs)]
+    found = {frozenset((x.doc_id, x.rep_doc_id)) for x in P.near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found <= {frozenset((10 * k, 10 * k + 1)) for k in range(100)} and len(found) >= 97
+
+
+def test_similar_passages_share_a_run():
+    """What RUN says: of passages that are told as similar, random edits or not, one run of RUN shingles or more is in both."""
+    r, told = random.Random(17), 0
+    for _ in range(3000):
+        a = words(r, r.randrange(50, 160))
+        b = list(a)
+        for _ in range(r.randrange(1, 6)):
+            i = r.randrange(len(b))
+            b[i : i + r.choice([0, 1, 1, 3])] = words(r, r.randrange(3))
+        runs = {tuple(b[i : i + P.RUN + 4]) for i in range(len(b) - P.RUN - 3)}
+        for i, j, *_ in P.similar_stretches(a, b):
+            told += 1
+            assert any(tuple(a[k : k + P.RUN + 4]) in runs for k in range(i, j - P.RUN - 3))
+    assert told > 1000
+
+
 def test_copies_are_one_text(spark):
     r = random.Random(3)
     t, u = " ".join(words(r, 60)), " ".join(words(r, 20))
