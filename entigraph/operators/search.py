@@ -88,7 +88,7 @@ class Index:
         self.spark, self.rows, self.weights, self.analyzer, self.stem = rows.sparkSession, rows, dict(weights), analyzer, stem
         self.fields = analysed(rows, self.weights, analyzer, stem)
         self.terms = _placed(self.fields)
-        self.postings = postings(_placed(analysed(_spread(rows, weights), weights, analyzer, stem)))
+        self.postings = row_postings(rows, weights, analyzer, stem)
         self.lengths = field_lengths(rows, self.weights, analyzer)
         self.averages = average_lengths(self.lengths)
         self.n = rows.agg(F.countDistinct("id").alias("n_docs"))
@@ -318,6 +318,29 @@ def _posted(fields: DataFrame, stem: bool) -> DataFrame:
     return fields.select("id", "field", "words").mapInArrow(make, f"id {kind}, field string, len int, posted array<struct<term:string,word:string,positions:array<int>>>")
 
 
+def row_postings(rows: DataFrame, fields: Iterable[str], analyzer: Analyzer = raw_tokens, stem: bool = False) -> DataFrame:
+    """(id, field, term, tf), as postings() of all tokens: rows of one id come together as texts, and their terms are counted within that row, a batch of rows at once. No token is moved or grouped."""
+    fields, kind = list(fields), rows.schema["id"].dataType.simpleString()
+    of = lambda f: lambda r: analyzer(F.array_join(r[f], " ") if rows.schema[f].dataType.typeName() == "array" else r[f])
+    once = _spread(rows, fields).groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.flatten(F.transform("rows", of(f))).alias("words")) for f in fields])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from entigraph.functions.stem import stem as stem_of
+
+        for batch in batches:
+            ids, field, words = batch.columns
+            coded, size = words.flatten().dictionary_encode(), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            terms = pa.array([stem_of(w) for w in coded.dictionary.to_pylist()] if stem else coded.dictionary, pa.string()).dictionary_encode()
+            term = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            n = max(len(terms.dictionary), 1)
+            has, tf = np.unique(np.repeat(np.arange(len(size)), size) * n + term, return_counts=True)
+            row = pa.array(has // n)
+            yield pa.RecordBatch.from_arrays([ids.take(row), field.take(row), terms.dictionary.take(pa.array(has % n)), pa.array(tf.astype(np.int64))], ["id", "field", "term", "tf"])
+
+    return once.select("id", F.explode(each).alias("f")).select("id", "f.field", "f.words").mapInArrow(make, f"id {kind}, field string, term string, tf long")
+
+
 def term_counts(rows: DataFrame, fields: Iterable[str], analyzer: Analyzer = raw_tokens, stem: bool = False) -> DataFrame:
     """(term, n): how often each term occurs. Words are counted where they are read, and distinct ones stemmed."""
     fields = list(fields)

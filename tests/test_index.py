@@ -82,6 +82,17 @@ def test_postings_are_made_within_rows(spark, stem):
     assert {r.term: r.n for r in counts.collect()} == ({"old": 3, "kettl": 5, "x": 1, "été": 1} if stem else {"old": 3, "kettles": 3, "kettle": 2, "x": 1, "été": 1})
 
 
+@pytest.mark.parametrize("stem", [True, False])
+def test_postings_group_texts_and_not_tokens(spark, stem):
+    rows = spark.createDataFrame([("a", "old kettles, Kettle old x", ["été"]), ("b", None, None), ("c", "", ["kettle", "kettles kettle"]), ("a", "old", []), (None, "x x", ["x"])], SCHEMA)
+    posted = search.Index(rows, WEIGHTS, stem=stem).postings
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
+    want = search.postings(search.tokens(rows, WEIGHTS, stem=stem)).collect()
+    assert posted.columns == ["id", "field", "term", "tf"] and sorted(map(str, posted.collect())) == sorted(map(str, want))
+    assert search.Index(rows.limit(0), WEIGHTS, stem=stem).postings.count() == 0
+
+
 def test_queries_of_the_same_terms_are_scored_once(spark):
     """40 queries over 200 texts, of two kinds each: the joined rows of scores are those of the kinds."""
     rows = spark.createDataFrame([(f"{i:03}", "old kettle" if i % 2 else "old steel", None) for i in range(200)], SCHEMA)
