@@ -13,7 +13,10 @@ windows, their passages of exactly MIN_WORDS words around the least shingle are
 least, which has it as well, so each equal passage links each of its documents, whatever else has a part of it.
 
 What is near but not equal can still be parted there, where the least and greatest text have a part only. So when the links are verified, the keys that have more than two windows and texts
-of several classes are opened: similar passages have a run of RUN shingles in common (see RUN), and all texts of different classes that share one in such windows are compared with each other.
+of several classes are opened: similar passages have a run of RUN shingles in common (see RUN) and, if they are not equal, a break beside it: the texts go on differently, and within BRIDGE
+shingles of the one and twice as many of the other a shingle is in both again, which is not one of the run's own where that has fewer than MOST different ones (too few for a break in them). All
+texts of different classes that share a run with such a break in these windows are compared with each other. A line that many otherwise different texts have, and a word said again and again, have
+no shared shingle behind their ends, so they make no pairs.
 
 For each linked pair of documents the texts of the candidate stretch are compared: passages of MIN_WORDS words or more with a Jaccard similarity of their
 shingles of at least 0.8 stay.
@@ -47,10 +50,13 @@ FUNCTIONS = 2
 #: Shingles in a row that two similar passages share at least: a break between shared runs costs them 9 different shingles or more, so there is one break in 46 to 89 shingles, with 41 shared ones on its
 #: two sides; e > 1 breaks need 45 e shingles, of which 36 e lie in e + 1 runs.
 RUN = 21
-#: Shingles that two similar passages share at least, where none occurs twice: of WIDTH in each i are shared, and i >= SIMILAR * (2 * WIDTH - i). `has` may have lost a few that have the same number.
-MOST_SHARED = 40
 #: Shingles between shared ones that a passage may bridge: those that hold two changed words.
 BRIDGE = 2 * SHINGLE
+FAR = 2 * BRIDGE + 1
+#: Different shingles that two similar passages share at least if one word is changed between them: a break costs 5 in one of them, SIMILAR of all are shared.
+MOST = 20
+#: Bytes of texts whose keys are found at once, as long as one text has not more.
+PIECE = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2**64)
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, (FUNCTIONS + 1, 2), np.uint64) | np.uint64(1)
@@ -82,18 +88,26 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - k)], x[width - k :]) if k < width else x
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """64-bit numbers of a text's shingles: of the bytes of five words with single blanks between."""
-    flat = b" ".join(text.lower().split())
+def shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit numbers of the texts' shingles: of the bytes of five words with single blanks between; how many each text has; and how many words."""
+    split = [t.lower().split() for t in texts]
+    size = np.array([len(w) for w in split], np.int64)
+    flat = b" ".join([b" ".join(w) for w in split if w])
     b = np.frombuffer(flat, np.uint8)
     blank = np.flatnonzero(b == 32)
     if len(blank) < SHINGLE - 1:
-        return np.zeros(0, np.uint64)
-    start = np.concatenate(([0], blank + 1))[: len(blank) + 2 - SHINGLE]
-    end = np.concatenate((blank, [len(b)]))[SHINGLE - 1 :]
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), size
+    first = np.flatnonzero(np.arange(len(blank) + 1) + SHINGLE <= np.repeat(np.cumsum(size), size))  # words with as many as a shingle has in their text
+    start = np.concatenate(([0], blank + 1))[first]
+    end = np.concatenate((blank, [len(b)]))[first + SHINGLE - 1]
     # a polynomial of the bytes by differences of a running sum, moved to place 0 by the odd number's inverse modulo 2^64
     run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, len(b)))))
-    return _mixed((run[end] - run[start]) * _powers(_INVERSE, len(b))[start], FUNCTIONS)
+    return _mixed((run[end] - run[start]) * _powers(_INVERSE, len(b))[start], FUNCTIONS), np.maximum(size - SHINGLE + 1, 0), size
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Those of one text."""
+    return shingles_of([text])[0]
 
 
 def compact_windows(h: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -114,20 +128,37 @@ def compact_windows(h: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return [(c, a, z) for c, a, z in zip(place, first, last, strict=True) if z - a + 1 >= width]
 
 
-def keys(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, place, tokens of the window to the left, and to the right, of each window and side. A key of the first function is even, one of the others odd."""
-    s = shingles(text)
-    near, out = min(NEAR, width), []
-    for f in range(FUNCTIONS if len(s) >= width else 0):
-        h, g = _mixed(s, f), _mixed(s, (f + 1) % FUNCTIONS)
+def keys(texts: list[bytes], width: int = WIDTH) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Key, text, place, tokens of the window to the left, and to the right, of each window and side; and each text's number of words. A key of the first function is even, one of the others odd."""
+    s, count, size = shingles_of(texts)
+    near, out = min(NEAR, width), [(np.zeros(0, np.int64),) * 5]
+    # the texts stand one behind another, each with a 0 behind it, which is less than all hashes and ends the windows around it
+    of = np.repeat(np.arange(len(texts)), count + 1)
+    base = np.cumsum(count + 1) - count - 1
+    real = np.ones(len(of), bool)
+    real[base + count] = False
+    for f in range(FUNCTIONS if count.max(initial=0) >= width else 0):
+        h, g = np.zeros(len(of), np.uint64), np.zeros(len(of), np.uint64)
+        h[real], g[real] = np.maximum(_mixed(s, f), np.uint64(1)), _mixed(s, (f + 1) % FUNCTIONS)
         least = _least(g, near)
-        c, a, z = np.array(compact_windows(h, width), np.int64).T
+        c, a, z = np.array(compact_windows(h, width), np.int64).reshape(-1, 3).T
         for side, at in ((0, c), (1, c - near + 1)):
-            fits = np.flatnonzero((at >= a) & (at + near - 1 <= z))
+            fits = np.flatnonzero((at >= a) & (at + near - 1 <= z) & real[c])
             x, at = c[fits], at[fits]
             number = _mixed(h[x] * np.uint64(_ODD) + least[at] + np.uint64(2 * f + side), FUNCTIONS)
-            out.append((number.view(np.int64) & ~1 | (f > 0), x, x - a[fits], z[fits] - x))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+            out.append((number.view(np.int64) & ~1 | (f > 0), of[x], x - base[of[x]], x - a[fits], z[fits] - x))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)), size
+
+
+def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) of texts in a row that have PIECE bytes together, or of one that has more."""
+    first = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > PIECE:
+            yield first, k
+            first, held = k, 0
+        held += len(t)
+    yield first, len(texts)
 
 
 def passage_numbers(s: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -144,10 +175,13 @@ def windows(docs: DataFrame) -> DataFrame:
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(1)]
-            got, own = [keys(t) for t in texts], np.array(batch.column(0).to_pylist(), np.int64)
-            rid = np.repeat(own, [len(k[0]) for k in got])
-            key, *places = (np.concatenate(v) for v in zip(*got, strict=True))
-            size = np.array([len(t.split()) for t in texts], np.int64)
+            own, got, sizes = batch.column(0).to_numpy(), [], []
+            for first, last in pieces(texts):
+                (key, of, *places), words = keys(texts[first:last])
+                got.append((key, own[first:last][of], *places))
+                sizes.append(words)
+            key, rid, *places = (np.concatenate(v) for v in zip(*got, strict=True))
+            size = np.concatenate(sizes)
             long = size >= MIN_WORDS
             none = np.zeros(int(long.sum()), np.int64)
             columns = [np.concatenate(v).astype(np.int32) for v in zip(places, (size[long], none, none), strict=True)]
@@ -159,15 +193,30 @@ def windows(docs: DataFrame) -> DataFrame:
     return map_rows(docs, make, "key long, rid long, c int, before int, after int")
 
 
+def numbered(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
+    """The shingles of a and of b as numbers, equal where the shingles are."""
+    ids = {w: k for k, w in enumerate(dict.fromkeys(a + b))}
+    v = np.fromiter(map(ids.__getitem__, a + b), np.int64, len(a) + len(b))
+    n = max(len(v) - SHINGLE + 1, 0)
+    if len(ids) < 4096:  # five numbers of 12 bits
+        s = sum(v[i : n + i] << 12 * i for i in range(SHINGLE))
+    else:
+        s = v[:n]
+        for i in range(1, SHINGLE):
+            s = np.unique(s * len(ids) + v[i : n + i], return_inverse=True)[1]
+    s = s.tolist()
+    return s[: max(len(a) - SHINGLE + 1, 0)], s[len(a) :]
+
+
 def similar_stretches(a: list[str], b: list[str], least: int = MIN_WORDS, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start, end, similarity) in words of a and of b: passages of a that b has nearly alike.
 
     Each word of a that lies in a passage of `least` words that b has as well is in one of them. Runs of shared shingles are joined over gaps of at most BRIDGE; where the joined passage is not similar enough, its longest ranges of runs that are."""
-    x, y = (list(zip(*(t[i:] for i in range(SHINGLE)), strict=False)) for t in (a, b))
-    where: dict[tuple, list[int]] = {s: [] for s in x}
+    x, y = numbered(a, b)
+    where: dict[int, list[int]] = {s: [] for s in set(x).intersection(y)}
     for j, s in enumerate(y):
-        if (places := where.get(s)) is not None:
-            places.append(j)
+        if s in where:
+            where[s].append(j)
     runs: list[tuple[int, int, int]] = []  # first and last in x, first in y
     i = 0
     while i < len(x):
@@ -177,6 +226,8 @@ def similar_stretches(a: list[str], b: list[str], least: int = MIN_WORDS, simila
         goes_on = runs[-1][2] + runs[-1][1] - runs[-1][0] + 1 if runs else 0  # where y goes on after the last run
         k = bisect_left(places, goes_on)
         j, n = places[k] if k < len(places) else places[0], 0
+        while len(u := x[i + n : i + n + 32]) == 32 and u == y[j + n : j + n + 32]:
+            n += 32
         while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
             n += 1
         runs.append((i, i + n - 1, j))
@@ -186,9 +237,15 @@ def similar_stretches(a: list[str], b: list[str], least: int = MIN_WORDS, simila
     def tell(group: list[tuple[int, int, int]]) -> bool:
         i0, i1 = group[0][0], group[-1][1]
         j0, j1 = min(r[2] for r in group), max(r[2] + r[1] - r[0] for r in group)
-        p, q = set(x[i0 : i1 + 1]), set(y[j0 : j1 + 1])
-        sim = len(p & q) / len(p | q)
-        if i1 - i0 + SHINGLE >= least and j1 - j0 + SHINGLE >= least and sim >= similar:
+        if i1 - i0 + SHINGLE < least or j1 - j0 + SHINGLE < least:
+            return False
+        if len(group) == 1:  # the same shingles
+            sim = 1.0
+        else:
+            p, q = set(x[i0 : i1 + 1]), set(y[j0 : j1 + 1])
+            both = len(p & q)
+            sim = both / (len(p) + len(q) - both)
+        if sim >= similar:
             out.append((i0, i1 + SHINGLE, j0, j1 + SHINGLE, sim))
             return True
         return False
@@ -233,9 +290,9 @@ def similar_stretches(a: list[str], b: list[str], least: int = MIN_WORDS, simila
     return sorted(out)
 
 
-def _before(s: list[tuple]) -> np.ndarray:
+def _before(s: list) -> np.ndarray:
     """For each place, where its shingle stood last before it, or -1."""
-    seen: dict[tuple, int] = {}
+    seen: dict = {}
     out = np.empty(len(s), np.int64)
     for i, t in enumerate(s):
         out[i] = seen.get(t, -1)
@@ -243,7 +300,7 @@ def _before(s: list[tuple]) -> np.ndarray:
     return out
 
 
-def _similar_ranges(x: list[tuple], y: list[tuple], group: list[tuple[int, int, int]], width: int, similar: float) -> list[tuple[int, int]]:
+def _similar_ranges(x: list, y: list, group: list[tuple[int, int, int]], width: int, similar: float) -> list[tuple[int, int]]:
     """First and last run of each range of the group's runs, of `width` shingles or more, that is similar enough and lies in no other such range.
 
     Shingles of x between runs are not in y, so those of a range that both have are the distinct ones of its runs in x."""
@@ -293,13 +350,25 @@ def equal_passages(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("rid", "text", "around"), make, "passage long, rid long, at int")
 
 
+def beside_again(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, where its shingle stands last before it, or -1, and first after it, or the number of shingles."""
+    order = np.argsort(s, kind="stable")
+    same = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+    earlier, later = np.full(len(s), -1), np.full(len(s), len(s))
+    earlier[order[same + 1]] = order[same]
+    later[order[same]] = order[same + 1]
+    return earlier, later
+
+
 def shared_runs(docs: DataFrame) -> DataFrame:
-    """(run, rid, at, lo, hi, has): of docs (rid, text, around) each run of RUN shingles within one of `around`, array<struct<c, before, after>>, and the first and last shingle of those it lies in;
-    and a row without a run for each text, with numbers of the shingles of all these runs in `has`, null where one occurs again."""
+    """(run, rid, at, lo, hi, again, before, after, all): of docs (rid, text, around) each run of RUN shingles within one of `around`, array<struct<c, before, after>>, the first and last shingle of those it
+    lies in and numbers of the shingles before and after the run, null where no shingle within reach there can tell of a break, or the same run
+    comes again within reach, which tells it; whether the text has the run again; and a row without a run for each text, with numbers of all its
+    shingles in `all`."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out, has = [], []
+            out, ends, every, repeated = [], [], [], []
             for r, t, around in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 s = shingles((t.as_py() or "").encode("utf-8", "replace"))
                 n = passage_numbers(s, RUN)
@@ -310,17 +379,30 @@ def shared_runs(docs: DataFrame) -> DataFrame:
                     hi[a : z - RUN + 2] = np.maximum(hi[a : z - RUN + 2], z)
                 at = np.flatnonzero(hi >= 0)
                 out.append((n[at].view(np.int64), np.full(len(at), r, np.int64), at.astype(np.int32), lo[at], hi[at]))
-                within = s[np.unique(at[:, None] + np.arange(RUN))]
-                has.append(None if len(np.unique(within)) < len(within) else np.unique((within >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                short = (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                every.append(short)
+                earlier, later = beside_again(n)
+                repeated.append((earlier[at] >= 0) | (later[at] < len(n)))
+                first, last = (earlier[at] < 0) | (at - earlier[at] > FAR), (later[at] == len(n)) | (later[at] - at > FAR)
+                earlier, later = beside_again(s)
+                many = (earlier[at[:, None] + np.arange(RUN)] < at[:, None]).sum(1) >= MOST
+                reach = np.arange(FAR)
+                left, right = at[:, None] - 1 - reach, at[:, None] + RUN + reach
+                told_left = (at > 0) & first & (many | ((left >= 0) & (later[np.maximum(left, 0)] >= at[:, None] + RUN)).any(1))
+                told_right = (at + RUN < len(s)) & last & (many | ((right < len(s)) & (earlier[np.minimum(right, len(s) - 1)] < at[:, None])).any(1))
+                ends.append((short[at - 1], ~told_left, short[np.minimum(at + RUN, len(s) - 1)], ~told_right) if len(at) else (np.zeros(0, np.int32), np.zeros(0, bool)) * 2)
             run, rid, *places = (np.concatenate(a) for a in zip(*out, strict=True))
-            none = np.zeros(len(has), np.int32)
-            first = [pa.array(np.concatenate((run, none)), mask=np.arange(len(run) + len(none)) >= len(run)), pa.concat_arrays([pa.array(rid), batch.column(0)])]
-            kinds = pa.concat_arrays([pa.nulls(len(run), pa.list_(pa.int32())), pa.array(has, pa.list_(pa.int32()))])
-            return pa.RecordBatch.from_arrays([*first, *[pa.array(np.concatenate((p, none))) for p in places], kinds], ["run", "rid", "at", "lo", "hi", "has"])
+            before, no_before, after, no_after = (np.concatenate(a) for a in zip(*ends, strict=True))
+            none = len(every)
+            again = pa.array(np.concatenate((*repeated, np.zeros(none, bool))))
+            first = [pa.array(np.concatenate((run, np.zeros(none, np.int64))), mask=np.arange(len(run) + none) >= len(run)), pa.concat_arrays([pa.array(rid), batch.column(0)])]
+            beside = [pa.concat_arrays([pa.array(v, mask=m), pa.nulls(none, pa.int32())]) for v, m in ((before, no_before), (after, no_after))]
+            full = pa.concat_arrays([pa.nulls(len(run), pa.list_(pa.int32())), pa.array(every, pa.list_(pa.int32()))])
+            return pa.RecordBatch.from_arrays([*first, *[pa.array(np.concatenate((p, np.zeros(none, np.int32)))) for p in places], again, *beside, full], ["run", "rid", "at", "lo", "hi", "again", "before", "after", "all"])
 
         return f
 
-    return map_rows(docs.select("rid", "text", "around"), make, "run long, rid long, at int, lo int, hi int, has array<int>")
+    return map_rows(docs.select("rid", "text", "around"), make, "run long, rid long, at int, lo int, hi int, again boolean, before int, after int, all array<int>")
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -370,7 +452,7 @@ def candidates(docs: DataFrame, firsts: DataFrame, w: DataFrame) -> DataFrame:
 
 
 def parted(docs: DataFrame, firsts: DataFrame, w: DataFrame, found: DataFrame) -> DataFrame:
-    """As candidates(), of the texts that found (rid, other) has in different classes: all that share a run in windows of keys that have several classes."""
+    """As candidates(), of the texts that found (rid, other) has in different classes: all that share a run with a break beside it in windows of keys that have several classes."""
     some = w.where("n > 2").select("key", "rid", "c", "before", "after").distinct()
     of = components(found.select(F.col("rid").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "rid")
     some = stored(some.join(of, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "passage-classes")
@@ -378,23 +460,33 @@ def parted(docs: DataFrame, firsts: DataFrame, w: DataFrame, found: DataFrame) -
     around = some.join(several, "key", "left_semi").groupBy("rid").agg(F.collect_set(F.struct("c", "before", "after")).alias("around"), F.first("root").alias("root"))
     around = stored(around.join(firsts, "rid"), "passage-open")
     runs = stored(shared_runs(_with_text(docs, around.drop("root"))).join(around.select("rid", "root"), "rid"), "passage-runs")
-    between = runs.where("run is not null").groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("run")
-    has = stored(runs.where("run is null").select("rid", "has"), "passage-has")
-    runs = runs.join(between, "run", "left_semi")
+    shingle = runs.where("run is null").select("rid", "all")
+    # a run has a break beside it where texts go on differently, or some have it again and again
+    side = lambda c: f"{c} is not null and (more or low_{c} <> high_{c})"
+    between = runs.where("run is not null").groupBy("run").agg(*[f(c).alias(f"{n}_{c}") for c in ("root", "before", "after") for n, f in (("low", F.min), ("high", F.max))], F.max("again").alias("more"))
+    between = between.where("low_root <> high_root and (more or low_before <> high_before or low_after <> high_after)")
+    sides = F.expr(f"array_compact(array(if({side('before')}, struct(true as left, before as beside), null), if({side('after')}, struct(false as left, after as beside), null)))")
+    ends = stored(runs.where("before is not null or after is not null").join(between, "run").select("run", "rid", "root", "at", "lo", "hi", "again", F.explode(sides).alias("s")).select("run", "rid", "root", "at", "lo", "hi", "again", "s.*"), "passage-ends")
+    # what is beside the end of a run, from there outwards
+    beyond = F.expr(f"if(left, reverse(slice(all, greatest(at - {FAR}, 0) + 1, least(at, {FAR}))), slice(all, at + {RUN + 1}, {FAR}))")
+    own = F.expr(f"slice(all, at + 1, {RUN})")
+    near = ends.join(shingle, "rid").select("run", "rid", "root", "at", "lo", "hi", "again", "left", "beside", own.alias("own"), (F.size(F.array_distinct(own)) >= MOST).alias("many"), F.posexplode(beyond).alias("d", "near"))
     # a run that a text repeats has no alignment: all of its windows is compared
-    runs = stored(runs.groupBy("run", "rid").agg(F.first("root").alias("root"), F.min("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.count("*") > 1).alias("again")), "passage-runs-once")
-    other = runs.select("run", *[F.col(c).alias(f"o_{c}") for c in ("rid", "root", "at", "lo", "hi", "again")])
-    both = runs.join(other, "run").where("rid > o_rid and root <> o_root")
+    near = near.where("many or not array_contains(own, near)").groupBy("run", "left", "near", "rid", "beside", "d").agg(
+        F.first("root").alias("root"), F.min("at").alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("again").alias("again"),
+    )
+    near, by = stored(near, "passage-near"), ["run", "left", "near"]
+    several = near.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in ("root", "beside", "d") for n, f in (("low", F.min), ("high", F.max))], F.max("again").alias("more"))
+    several = several.where("low_root <> high_root and (more or low_beside <> high_beside or low_d <> high_d)")
+    near = stored(near.join(several.select(*by), by, "left_semi"), "passage-breaks")
+    other = near.select(*by, *[F.col(c).alias(f"o_{c}") for c in ("rid", "root", "at", "lo", "hi", "again", "beside", "d")])
+    both = near.join(other, by).where(f"rid > o_rid and root <> o_root and d <= {BRIDGE} and (beside <> o_beside or d <> o_d or again or o_again)")
     left, right = f"least(at - lo, o_at - o_lo) + {BRIDGE}", f"least(hi - at, o_hi - o_at) + {BRIDGE}"
     whole = "again or o_again"
-    pairs = both.groupBy("rid", F.col("o_rid").alias("other")).agg(
+    return both.groupBy("rid", F.col("o_rid").alias("other")).agg(
         F.min(F.expr(f"if({whole}, lo, greatest(at - ({left}), lo))")).alias("a0"), F.max(F.expr(f"if({whole}, hi, least(at + {right}, hi))")).alias("a1"),
         F.min(F.expr(f"if({whole}, o_lo, greatest(o_at - ({left}), o_lo))")).alias("b0"), F.max(F.expr(f"if({whole}, o_hi, least(o_at + {right}, o_hi))")).alias("b1"),
     )
-    # passages of WIDTH different shingles each are similar if they share most of them: what shares a run, a common line or so, and too little beside it is left here. Equal numbers of different
-    # shingles only let a pair pass
-    pairs = pairs.join(has, "rid").join(has.select(F.col("rid").alias("other"), F.col("has").alias("others")), "other")
-    return pairs.where(f"has is null or others is null or size(array_intersect(has, others)) >= {MOST_SHARED}").select("rid", "other", "a0", "a1", "b0", "b1")
 
 
 def verified(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -188,6 +188,19 @@ def test_recall_beside_many_documents_that_have_the_same_part(spark):
     assert found <= {frozenset((10 * k, 10 * k + 1)) for k in range(100)} and len(found) >= 97
 
 
+def test_common_lines_and_repeated_words_make_no_pairs(spark, monkeypatch):
+    """Otherwise different documents that have the same two lines, and others where words are said again and again, are in the same keys and not compared with each other; a near pair among them is."""
+    r, rows, pairs = random.Random(41), [], []
+    one, two, near = words(r, 30), words(r, 30), words(r, 80)
+    rows += [(d, " ".join(words(r, 60) + one + words(r, 90) + two + words(r, 60)), "", 0) for d in range(60)]
+    rows += [(100 + d, " ".join(words(r, 60) + ["ha"] * r.randrange(30, 45) + words(r, 90) + ["ho", "hum"] * r.randrange(15, 20) + words(r, 60)), "", 0) for d in range(60)]
+    rows += [(200 + k, " ".join(words(r, 20) + [*near[:40], *(["changed"] if k else near[40:41]), *near[41:]] + words(r, 20) + one + words(r, 30)), "", 0) for k in range(2)]
+    old = P.parted
+    monkeypatch.setattr(P, "parted", lambda *a: pairs.append(old(*a)) or pairs[-1])
+    found = {frozenset((x.doc_id, x.rep_doc_id)) for x in P.near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {frozenset((200, 201))} and pairs[0].count() <= 10
+
+
 def test_similar_passages_share_a_run():
     """What RUN says: of passages that are told as similar, random edits or not, one run of RUN shingles or more is in both."""
     r, told = random.Random(17), 0
